@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograph.llm import mixing, sharding, url_filters, warc
+from chronograph.llm import classifier, mixing, sharding, url_filters, warc
 from chronograph.llm.storage import new_path
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.filter_pages(table(spark, sf_dir, "pages"), url_filters.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -38,7 +42,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
 
 ORACLES = {
     "op2_mixing": r"""
