@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograph.llm import classifier, mixing, sharding, url_filters, warc
+from chronograph.llm import classifier, mixing, quality_rules, sharding, url_filters, warc
 from chronograph.llm.storage import new_path
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -28,6 +28,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,9 +46,38 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
+
+GRID_VALUES = ", ".join(f"('{name}', {i}, CAST({cut} AS DOUBLE))" for name, cuts in quality_rules.GRIDS.items() for i, cut in enumerate(cuts))
 
 ORACLES = {
+    "op4_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+tri AS (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM dup, (VALUES (0), (1), (2)) o(j) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+dl AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (r) LEFT JOIN dl USING (r) LEFT JOIN rep USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS n FROM m),
+sig AS (SELECT *, {'symbols_per_word': n_symbols / n, 'dup_lines_per_100_words': 100 * n_dup_lines / n, 'repeat_word_share': n_repeat_words / n,
+  'mean_word_chars': word_chars / n, 'short_word_chars': -(word_chars / n)} AS s FROM v),
+grid(signal, rank, cutoff) AS (VALUES @GRID@),
+val AS (SELECT sig.*, signal, rank, cutoff, CASE signal WHEN 'symbols_per_word' THEN s.symbols_per_word WHEN 'dup_lines_per_100_words' THEN s.dup_lines_per_100_words
+  WHEN 'repeat_word_share' THEN s.repeat_word_share WHEN 'mean_word_chars' THEN s.mean_word_chars ELSE s.short_word_chars END AS x FROM sig, grid),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING avg(quality) >= 0.5),
+k AS (SELECT lang, signal, rank, cutoff, count(*) AS n, count(*) FILTER (WHERE x > cutoff) AS k FROM val JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang, signal, rank, cutoff),
+p AS (SELECT *, CASE WHEN k >= n * CAST(0.01 AS DOUBLE) THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(CAST(0.01 AS DOUBLE)) + (n - i) * ln(CAST(0.99 AS DOUBLE))))) END AS p_value,
+  CAST(0.05 AS DOUBLE) / count(*) OVER () AS lim FROM k),
+cut AS (SELECT lang AS stratum, signal AS sg, arg_min(cutoff, rank) AS cutoff FROM p WHERE p_value <= lim GROUP BY lang, signal),
+bad AS (SELECT DISTINCT lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words FROM val JOIN cut ON lang IS NOT DISTINCT FROM stratum AND signal = sg WHERE x > cut.cutoff)
+SELECT doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, base_failed, NOT base_failed AND bad.n_words IS NULL AS kept
+FROM v LEFT JOIN bad ON v.lang IS NOT DISTINCT FROM bad.lang AND v.n_words = bad.n_words AND v.word_chars = bad.word_chars AND v.n_symbols = bad.n_symbols
+  AND v.n_dup_lines = bad.n_dup_lines AND v.n_repeat_words = bad.n_repeat_words""".replace("@GRID@", GRID_VALUES),
     "op2_mixing": r"""
 WITH lean AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
