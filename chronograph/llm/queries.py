@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograph.llm import classifier, mixing, quality_rules, sharding, url_filters, warc
+from chronograph.llm import classifier, decontaminate, mixing, quality_rules, sharding, url_filters, warc
 from chronograph.llm.storage import new_path
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -46,7 +46,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
+QUERIES = {"op1_warc": op1_warc, "op10_decontamination": op10_decontamination, "op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) leak."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
 GRID_VALUES = ", ".join(f"('{name}', {i}, CAST({cut} AS DOUBLE))" for name, cuts in quality_rules.GRIDS.items() for i, cut in enumerate(cuts))
 
