@@ -5,8 +5,8 @@ belong to a weighted sample without replacement. A source with target t and size
 (complete epochs first); the rest of its budget is filled by its documents in order of key up to the prefix sum of sizes
 that comes nearest the budget. Documents are taken whole, so a source misses its target by half a document at most.
 
-Prefix sums run in two levels, over key ranges of about ``rows_per_sort`` documents and within each range, so a source
-that holds a third of all rows is still sorted in many tasks.
+Prefix sums run in two levels: a source of n documents has about sqrt(n) key ranges of about sqrt(n) documents, so neither
+level meets in one task as a whole, even where a source holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return x.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * level)).select("source", "source_size", "n", "target")
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, rows_per_sort: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> DataFrame:
     """doc_id, source, size (words), source_size, target and taken (words, repeats counted) of every row of ``docs``.
 
     ``weights`` has w_id and weight (above 0; 1 where absent). A null text has size 0 and takes nothing; null sources are
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, rows_
     sizes = lean.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = materialize(source_targets(sizes), "mixing-targets").withColumnRenamed("source", "s")
     x = lean.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_sort))
+    ranges = F.ceil(F.sqrt("n"))
     x = x.withColumn("range", F.least(ranges - 1, F.floor(ranges * (1 - F.exp(-F.col("key"))))))
     offsets = x.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     offsets = offsets.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.sum("in_range").over(W.partitionBy("source").orderBy("range")) - F.col("in_range")).alias("before"))
