@@ -46,8 +46,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op1_warc": op1_warc, "op10_decontamination": op10_decontamination, "op2_mixing": op2_mixing, "op4_quality_rules": op4_quality_rules, "op7_quality_classifier": op7_quality_classifier, "op8_url_filters": op8_url_filters, "op9_sharding": op9_sharding}
-
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -117,3 +115,13 @@ f AS (SELECT k, r.verdict, r.host || r.path AS rule,
   FROM p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.k = f.k AND rn = 1""",
 }
+
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filters": op8_url_filters,
+    "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
+}
