@@ -6,8 +6,8 @@ size by its binary logarithm. Rows are ordered by the index of their cell on the
 order is cut into runs of equal row counts, so a shard covers a compact box of the metadata space and min/max statistics
 prune it on any dimension.
 
-Nothing is sorted globally: cells (at most 2**(3*bits)) and hash buckets of crowded cells give offsets, and only rows of
-one bucket meet in one task, so a cell with a third of all rows is still sorted in many tasks.
+Nothing is sorted globally: cells (at most 2**(3*bits)) and about sqrt(n) hash buckets in a cell of n rows give offsets,
+and only rows of one bucket meet in one task, so a cell with a third of all rows is still sorted in many tasks.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def _size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def assign(docs: DataFrame, shards: int = 16, bits: int = 5, rows_per_sort: int = 50_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, bits: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Shard and slot of every row of ``docs`` (doc_id, text, lang, source; other columns are ignored unless carried).
 
     Shard sizes differ by one row at most; slots count from 0 within a shard. Within a cell the order is by a hash of the
@@ -91,7 +91,7 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = 5, rows_per_sort: int
     keyed = placed(lean)
     cells = keyed.groupBy("h").agg(F.count("*").alias("n"))
     cells = cells.select(
-        "h", F.ceil(F.col("n") / rows_per_sort).alias("_buckets"),
+        "h", F.ceil(F.sqrt("n")).alias("_buckets"),
         (F.sum("n").over(W.orderBy("h")) - F.col("n")).alias("_before"), F.sum("n").over(W.partitionBy()).alias("_total"),
     )
     cells = F.broadcast(materialize(cells, "sharding-cells"))  # a row for each cell of the curve at most
