@@ -74,3 +74,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> Da
     rest = F.col("target") - epochs * F.col("source_size")
     extra = (rest > 0) & (2 * F.col("before") + F.col("size") <= 2 * rest)
     return x.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (epochs + extra.cast("int"))).cast("long").alias("taken"))
+
+
+def keep(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with all their columns; a document that it takes several times
+    appears as often, so that what is written holds the mix's epochs.
+
+    Rows meet their share by id; rows without an id, and rows that share an id, are taken as often as any of them is.
+    """
+    taken = mix(docs, weights, seed).where("taken > 0")
+    times = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    times = times.withColumnRenamed("doc_id", "_id")
+    x = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).drop("_n")

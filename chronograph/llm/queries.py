@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograph.llm import classifier, decontaminate, html_extract, jaccard_join, mixing, quality_rules, sharding, url_filters, warc
-from chronograph.llm.storage import new_path
+from chronograph.llm import classifier, decontaminate, html_extract, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, url_filters, warc
+from chronograph.llm.storage import new_path, ship_package
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +42,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of all 200-byte repeats from all documents."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -131,6 +137,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -82,3 +83,22 @@ def filesystem(uri: str):
 def ensure_local_parent(uri: str) -> None:
     if path := local_path(uri):
         Path(path).mkdir(parents=True, exist_ok=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, where the driver runs it from a source folder."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    source = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="chronograph-"))  # the driver's own: Spark sends the archive to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / f"{source.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(source.rglob("*.py")):
+            z.write(f, f.relative_to(source.parent))
+    spark.sparkContext.addPyFile(str(archive))
