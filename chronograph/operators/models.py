@@ -133,14 +133,14 @@ def matrices(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def predictions(df: DataFrame, net: Network) -> DataFrame:
     """``df`` with p (the probability of label 1, or of the chosen class) and predicted."""
     shared = df.sparkSession.sparkContext.broadcast(net)
-    at = df.columns.index("features")
+    at, names = df.columns.index("features"), [*df.columns, "p", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
             p = shared.value.predict(x) if batch.num_rows else np.zeros(0)
             chosen = (p > 0.5).astype(np.int32) if p.ndim == 1 else p.argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p if p.ndim == 1 else p.max(axis=1)), pa.array(chosen)], [*df.columns, "p", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p if p.ndim == 1 else p.max(axis=1)), pa.array(chosen)], names)
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("p", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
