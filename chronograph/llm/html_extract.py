@@ -290,7 +290,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "layout", "tree")
     texts = joined.mapInArrow(observe, "host long, layout long, node long, text long").distinct()
-    counts = texts.groupBy("host", "layout", "node").agg(F.count("*").alias("n"))
+    counts = materialize(texts.groupBy("host", "layout", "node").agg(F.count("*").alias("n")), "texts")
     pages_of = counts.where("node = -1").select("host", "layout", F.col("n").alias("pages"))
     constant = counts.where("node >= 0").join(pages_of, ["host", "layout"]).where((F.col("pages") >= MIN_PAGES) & (F.col("n") * MAX_SHARE <= F.col("pages")))
     constant = constant.groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
