@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronograph.llm.storage import materialize
+from chronograph.llm.storage import drop, materialize
 from chronograph.llm.text import _PLAIN, _pow, column_bytes, mix
 
 LENGTH = 200
@@ -413,6 +413,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge_anchors, entries), "codes")
     settled = packed.where("bucket < 0").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(settle, f"kind int, chunk long, bucket long, blob binary, {_OUT}")
     settled = materialize(settled, "settled")
+    drop(packed, codes)
     verdicts = settled.where("kind = 2").select("chunk", "bucket", "blob").groupBy("bucket").applyInArrow(_judge_windows, entries)
     rest = settled.where("kind = 1").select("chunk", "blob").groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(finish, _OUT)
     done = settled.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
