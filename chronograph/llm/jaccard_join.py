@@ -114,7 +114,7 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
             order = np.argsort(bucket, kind="stable")  # rows stay ascending within a bucket
             rest, r, bucket = ((h >> shift) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], r[order].astype(np.uint32), bucket[order]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(bucket))
+            ends = np.append(starts[1:], len(bucket))[: len(starts)]
             keys, blobs = [-1], [blob]
             for a, b in zip(starts, ends, strict=True):
                 gaps = np.diff(r[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T  # byte planes; all but one are nearly empty

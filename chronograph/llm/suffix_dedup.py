@@ -205,7 +205,7 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, first, end) of the stretches of sorted hashes that share their first bits."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+    for a, b in zip(cut, np.append(cut[1:], len(bucket))[: len(cut)], strict=True):
         yield int(bucket[a]), int(a), int(b)
 
 
