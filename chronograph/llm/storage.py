@@ -12,6 +12,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _roots: dict[str, str] = {}
 
 
@@ -43,10 +45,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: the lineage ends in replicated files, so a lost
-    executor costs only its running tasks, and later passes read only the columns they need."""
+    executor costs only its running tasks, and later passes read only the columns they need. The write's shuffle files
+    go when it ends, instead of when the driver next collects garbage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._chronograph_path = path
     return out
