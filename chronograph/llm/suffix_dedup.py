@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +32,12 @@ from chronograph.llm.storage import drop, materialize
 from chronograph.llm.text import _PLAIN, _pow, column_bytes, mix
 
 LENGTH = 200
-KGRAM = 32
+KGRAM = 96  # longer grams leave fewer windows open, shorter ones need fewer anchors
 SPAN = LENGTH - KGRAM + 1  # grams in a window
 PIECE = 1_000_000  # bytes hashed at once
 CHUNK = 2_000_000  # bytes of text in one chunk, or one longer document
 PER_BUCKET = 500_000
+LEVEL = 6  # of zstd, for the texts and states between steps
 WORDS = LENGTH // 8 - 1  # full symbols in every window
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
@@ -201,9 +201,13 @@ def _distinct(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return a[new], b[new], np.bincount(index, minlength=int(new.sum())) > 1, index
 
 
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, first, end) of the stretches of sorted hashes that share their first bits."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    """(bucket, first, end) of the stretches of hashes, ordered by bucket, that share one."""
+    bucket = _bucket(keys, bits)
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     for a, b in zip(cut, np.append(cut[1:], len(bucket))[: len(cut)], strict=True):
         yield int(bucket[a]), int(a), int(b)
@@ -253,9 +257,37 @@ def _judge_windows(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array([out[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)], pa.binary())})
 
 
+def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of n numbers each."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _pack(state: tuple) -> bytes:
+    raw = pickle.dumps(state)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
+def _unpack(blob: pa.BinaryScalar) -> tuple:
+    raw = memoryview(blob.as_buffer())
+    return pickle.loads(pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little")))
+
+
+def _shrink(klass: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Classes numbered by first occurrence as one bit a window, set for the first of a class, and the other windows' classes."""
+    first = np.diff(np.maximum.accumulate(klass), prepend=-1) > 0
+    return np.packbits(first).tobytes(), klass[~first].astype(np.int32)
+
+
+def _expand(bits: bytes, others: np.ndarray, n: int) -> np.ndarray:
+    first = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    klass = np.cumsum(first) - 1
+    klass[~first] = others
+    return klass
+
+
 def equal_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of some contexts: their starts, each one's class of equal windows, each class's hash (ascending), and
-    whether it has two members. Classes come from the suffix array of the contexts' 8-byte symbols."""
+    """The windows of some contexts: their starts, each one's class of equal windows (numbered by first occurrence), each
+    class's hash, and whether it has two members. Classes come from the suffix array of the contexts' 8-byte symbols."""
     front = -(-(x - lo) // 8)  # symbols before the anchor, the first of them padded
     grid = x - 8 * front
     count = -(-(hi + LENGTH - grid) // 8)
@@ -281,7 +313,7 @@ def equal_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray
     run = np.empty(total, np.int64)
     run[order] = np.concatenate([[0], np.cumsum(~same)])
     n = hi - lo + 1
-    start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = _ranges(lo, n)
     g = start - np.repeat(grid, n)
     first = np.repeat(at[:-1], n) + -(-g // 8)
     lead = (-g) % 8
@@ -294,15 +326,15 @@ def equal_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray
     new = np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)])
     klass = np.empty(len(rows), np.int64)
     klass[sort] = np.cumsum(new) - 1
-    one = sort[new]  # a member of each class
+    one = sort[new]  # the first member of each class
     h = mix(before[one] * _A + after[one] * _B + lead[one].astype(np.uint64))
     for k in range(WORDS):
         h = mix(h ^ words[first[one] + k]) * _A
     h = mix(h)
-    by_hash = np.argsort(h, kind="stable")
+    by_first = np.argsort(one)
     rank = np.empty(len(h), np.int64)
-    rank[by_hash] = np.arange(len(h))
-    return start, rank[klass], h[by_hash], np.bincount(klass, minlength=len(h))[by_hash] > 1
+    rank[by_first] = np.arange(len(h))
+    return start, rank[klass], h[by_first], np.bincount(klass, minlength=len(h))[by_first] > 1
 
 
 def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -337,7 +369,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     base = docs.select("doc_id", "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, total / 85 / PER_BUCKET))))
+    bits = max(6, math.ceil(math.log2(max(1, 2 * total / SPAN / PER_BUCKET))))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -351,7 +383,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             buf, off = np.concatenate([b for b, _ in texts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in texts]))]).astype(np.int64)
             _, _, _, g, c = _found(buf, off)
             g, c, twice, _ = _distinct(g, c)
-            rows = [(-1, zlib.compress(pickle.dumps((pa.concat_arrays(ids).to_pylist(), buf.tobytes(), off)), 1))]
+            rows = [(-1, _pack((pa.concat_arrays(ids).to_pylist(), buf.tobytes(), off)))]
             rows += [(k, g[a:b].tobytes() + c[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(g, bits)]
             yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + number] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["chunk", "bucket", "blob"])
             number, held, ids, texts = number + 1, 0, [], []
@@ -372,7 +404,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     def settle(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
         """Finished documents as rows of kind 0; for the others a row of kind 1 with what is needed to finish them, and
         rows of kind 2 with window hashes."""
-        ids, text, off = pickle.loads(zlib.decompress(chunk.column("blob")[0].as_py()))
+        ids, text, off = _unpack(chunk.column("blob")[0])
         buf = np.frombuffer(text, np.uint8)
         x, lo, hi, g, c = _found(buf, off)
         _, _, _, index = _distinct(g, c)
@@ -394,18 +426,24 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         byte = np.repeat(pending, np.diff(off))
         moved = np.cumsum(byte) - 1
         finished = _result(ids.take(pa.array(done)), buf[~byte], np.concatenate([[0], np.cumsum(np.diff(off)[~pending])]).astype(np.int64), gone[~byte], with_kept)
-        state = (ids.filter(pa.array(pending)).to_pylist(), buf[byte].tobytes(), cut, np.packbits(gone[byte]).tobytes(), moved[start].astype(np.int32), klass.astype(np.int32), len(h))
-        rows = [(1, chunk_id, -1, zlib.compress(pickle.dumps(state), 1))]
+        bucket = _bucket(h, bits)
+        runs = moved[lo[ship]].astype(np.int32), (hi - lo + 1)[ship].astype(np.uint8)
+        state = (ids.filter(pa.array(pending)).to_pylist(), buf[byte].tobytes(), cut, np.packbits(gone[byte]).tobytes(), runs, _shrink(klass), bucket.astype(np.min_scalar_type((1 << bits) - 1)))
+        rows = [(1, chunk_id, -1, _pack(state))]
+        order = np.argsort(bucket, kind="stable")
+        h, twice = h[order], twice[order]
         rows += [(2, chunk_id, k, h[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(h, bits)]
         return pa.concat_tables([_rows(finished), _rows(None, rows)])
 
     def finish(key, chunk: pa.Table, verdicts: pa.Table) -> pa.Table:
-        ids, text, off, gone, start, klass, size = pickle.loads(zlib.decompress(chunk.column("blob")[0].as_py()))
+        ids, text, off, gone, (lo, n), klass, bucket = _unpack(chunk.column("blob")[0])
         buf = np.frombuffer(text, np.uint8)
         gone = np.unpackbits(np.frombuffer(gone, np.uint8), count=len(buf)).astype(bool)
         got = sorted(zip(verdicts.column("bucket").to_pylist(), verdicts.column("blob").to_pylist(), strict=True))
-        twice = np.frombuffer(b"".join(b for _, b in got), np.uint8).astype(bool)
-        hit = start[twice[klass]].astype(np.int64)
+        twice = np.empty(len(bucket), bool)
+        twice[np.argsort(bucket, kind="stable")] = np.frombuffer(b"".join(b for _, b in got), np.uint8).astype(bool)
+        start = _ranges(lo.astype(np.int64), n.astype(np.int64))
+        hit = start[twice[_expand(*klass, len(start))]]
         return _result(pa.array(ids, pa.int64()), buf, off, gone | _marked(len(buf), hit, hit), with_kept)
 
     packed = materialize(base.mapInArrow(survey, "chunk long, bucket long, blob binary"), "chunks")
