@@ -28,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronograph.llm.storage import drop, materialize
+from chronograph.llm.storage import drop, materialize, settings
 from chronograph.llm.text import _PLAIN, _pow, column_bytes, mix
 
 LENGTH = 200
 KGRAM = 96  # longer grams leave fewer windows open, shorter ones need fewer anchors
 SPAN = LENGTH - KGRAM + 1  # grams in a window
-PIECE = 1_000_000  # bytes hashed at once
+PIECE = 250_000  # bytes hashed at once
 CHUNK = 2_000_000  # bytes of text in one chunk, or one longer document
 PER_BUCKET = 500_000
+BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
 LEVEL = 6  # of zstd, for the texts and states between steps
 WORDS = LENGTH // 8 - 1  # full symbols in every window
 _LOW = np.uint64((1 << 20) - 1)
@@ -446,7 +447,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
         hit = start[twice[_expand(*klass, len(start))]]
         return _result(pa.array(ids, pa.int64()), buf, off, gone | _marked(len(buf), hit, hit), with_kept)
 
-    packed = materialize(base.mapInArrow(survey, "chunk long, bucket long, blob binary"), "chunks")
+    with settings(base.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
+        packed = materialize(base.mapInArrow(survey, "chunk long, bucket long, blob binary"), "chunks")
     entries = "chunk long, bucket long, blob binary"
     codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge_anchors, entries), "codes")
     settled = packed.where("bucket < 0").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(settle, f"kind int, chunk long, bucket long, blob binary, {_OUT}")
