@@ -161,7 +161,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     hi = starts[np.append(np.flatnonzero(cut)[1:] - 1, len(starts) - 1)]
     x = at[cut]
     context = mix((sums[hi + LENGTH] - sums[lo]) * inv[lo] + (x - lo).astype(np.uint64) * _A + (hi - lo).astype(np.uint64) * _B)
-    return x, lo, hi, grams[x], context
+    return x, lo, hi, mix(grams[x] * _A), context  # anew, as least hashes would crowd the first buckets
 
 
 def _pieces(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
