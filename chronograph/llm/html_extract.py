@@ -2,8 +2,9 @@
 
 Pages of a host with the same set of element names share a layout. The layout's page with the fewest blocks is its wrapper;
 every page's block tree is aligned with it by simple tree matching (the largest order-keeping match of equal labels), and
-the texts under each wrapper node are counted over all pages. A node with next to one text over many different pages is
-template; the others are slots. The main text is what the slots hold, inside the article or main element where there is
+the pages that show each text under each wrapper node are counted. A text is template at a node if at least MIN_PAGES
+different pages show it there and at most one in MAX_SHARE of the pages that have text there shows another; every other
+text is kept, also at such a node. The main text is what is kept, inside the article or main element where there is
 one, and outside elements that say by tag, role, class or id that they are menus, headers, footers, sidebars, notices,
 adverts, forms or comments. Page blocks that match no wrapper node vary by definition.
 
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from chronograph.llm.storage import materialize
 
-MIN_PAGES = 20  # different pages of a layout before anything counts as template
+MIN_PAGES = 20  # different pages that show a text before it counts as template
 MAX_DEPTH = 200  # blocks nested deeper become siblings
-MAX_SHARE = 20  # template: at least so many different pages per different text
+MAX_SHARE = 20  # template: of the pages with text at a node, at most one in so many shows another text
 
 # HTML's element kinds, and words that mark what is not main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -210,7 +211,8 @@ def _mains(node: Node) -> list[Node]:
     return found or ([node] if node.tag == "main" else [])
 
 
-def main_text(root: Node, matched: dict[int, int], template: frozenset[int]) -> str:
+def main_text(root: Node, matched: dict[int, int], template: dict[int, int]) -> str:
+    """The text of a page without the texts (hashes, by wrapper node) that are template."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -225,7 +227,7 @@ def main_text(root: Node, matched: dict[int, int], template: frozenset[int]) ->
                 return
             flush()
             return
-        constant = matched.get(id(node)) in template
+        constant = (known := template.get(matched.get(id(node)))) is not None and known == _key(_own_text(node))
         flush()
         for p in node.parts:
             if isinstance(p, str):
@@ -270,41 +272,43 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = materialize(wrappers.groupBy("host", "layout").agg(F.min(F.struct("blocks", "tree"))["tree"].alias("tree")), "wrappers")
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int, int, int]] = set()
+        seen: set[tuple[int, int, int, int, int]] = set()
         for batch in batches:
             for html, host, layout, tree in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 root, matched = _aligned(html, tree)
-                texts, stack = [], [root]
+                texts, at, stack = [], [], [root]
                 while stack:
                     node = stack.pop()
                     stack += node.kids
                     if not node.dropped and (text := _own_text(node)):
                         texts.append(h := _key(text))
                         if (number := matched.get(id(node))) is not None:
-                            seen.add((host, layout, number, h))
-                seen.add((host, layout, -1, _key(str(sorted(texts)))))
+                            at.append((number, h))
+                page = _key(str(sorted(texts)))
+                seen.update((host, layout, number, h, page) for number, h in at)
             if len(seen) > 200_000:
                 yield _counted(seen)
                 seen = set()
         yield _counted(seen)
 
     joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "layout", "tree")
-    texts = joined.mapInArrow(observe, "host long, layout long, node long, text long").distinct()
-    counts = materialize(texts.groupBy("host", "layout", "node").agg(F.count("*").alias("n")), "texts")
-    pages_of = counts.where("node = -1").select("host", "layout", F.col("n").alias("pages"))
-    constant = counts.where("node >= 0").join(pages_of, ["host", "layout"]).where((F.col("pages") >= MIN_PAGES) & (F.col("n") * MAX_SHARE <= F.col("pages")))
-    constant = constant.groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
-    final = materialize(wrappers.join(constant, ["host", "layout"], "left").select("host", "layout", "tree", "nodes"), "wrappers")
+    texts = joined.mapInArrow(observe, "host long, layout long, node long, text long, page long").distinct()
+    counts = materialize(texts.groupBy("host", "layout", "node", "text").agg(F.count("*").alias("n")), "texts")
+    filled = counts.groupBy("host", "layout", "node").agg(F.sum("n").alias("filled"))
+    constant = counts.where(F.col("n") >= MIN_PAGES).join(filled, ["host", "layout", "node"]).where((F.col("filled") - F.col("n")) * MAX_SHARE <= F.col("filled"))
+    constant = constant.groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("known"))
+    constant = constant.select("host", "layout", F.col("known.node").alias("nodes"), F.col("known.text").alias("texts"))
+    final = materialize(wrappers.join(constant, ["host", "layout"], "left").select("host", "layout", "tree", "nodes", "texts"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for html, tree, nodes in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
+            for html, tree, nodes, texts in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 root, matched = _aligned(html, tree)
-                out.append(main_text(root, matched, frozenset(nodes or ())))
+                out.append(main_text(root, matched, dict(zip(nodes or (), texts or (), strict=True))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    out = base.join(final, ["host", "layout"]).select("page_id", "url", "html", "tree", "nodes").mapInArrow(take, "page_id long, url string, text string")
+    out = base.join(final, ["host", "layout"]).select("page_id", "url", "html", "tree", "nodes", "texts").mapInArrow(take, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -329,6 +333,6 @@ def _packed(best: dict[tuple[int, int], tuple[int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()], strict=True)], ["host", "layout", "blocks", "tree"])
 
 
-def _counted(seen: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*seen, strict=True)) if seen else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "layout", "node", "text"])
+def _counted(seen: set[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*seen, strict=True)) if seen else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "layout", "node", "text", "page"])

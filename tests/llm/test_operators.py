@@ -131,6 +131,19 @@ def test_html_extraction(spark):
     assert (got[40]["text"], got[41]["text"], got[43]["text"]) == ("", "", "plain text")
 
 
+def extracted(spark, pages):
+    ship_package(spark)
+    rows = [(i, url, html) for i, (url, html) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_extraction_keeps_texts_that_differ(spark):
+    page = lambda i, bare, by: f"<html><body><article>{bare}<h1>Title {i}</h1><h2>{by}</h2><p>Body {i}</p></article></body></html>"
+    got = extracted(spark, [(f"http://h/{i}", page(i, "Bare words" if i == 3 else "", f"By writer {i % 2}")) for i in range(60)] + [(f"http://g/{i}", page(i, "", "Filed by the desk" if i else "A guest")) for i in range(60)])
+    assert got[3] == "Bare words\n\nTitle 3\n\nBy writer 1\n\nBody 3" and got[4] == "Title 4\n\nBy writer 0\n\nBody 4"
+    assert got[60] == "Title 0\n\nA guest\n\nBody 0" and got[61] == "Title 1\n\nBody 1"
+
+
 def test_classifier_on_held_out_rows(spark, docs, labels):
     scored = q.op7_quality_classifier(spark, "/root/testdata/sf0.01").join(q.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null"), "doc_id").where("held_out")
     rows = scored.select("score", "quality").collect()
