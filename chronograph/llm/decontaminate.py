@@ -1,10 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens lose case and edge punctuation; numbers, names and units become typed placeholders, so a question whose figures or
-names were exchanged keeps its template. Windows of five template tokens are looked up in a hash table of the benchmark's
-windows. For each document and item the slot values under matched windows must be consistent: every benchmark value
+names were exchanged keeps its template. Characters of scripts without blanks between words are tokens of their own.
+Windows of five tokens are looked up in a hash table of the benchmark's windows: by template if enough of their tokens are
+literal, else by their values. Where a window matches by template, the item's windows of fewer literals are compared with
+the tokens at their places. For each document and item the slot values under matched windows must be consistent: every benchmark value
 (within the item) stands for one document value, the most frequent one, and windows that say otherwise are dropped. An
-item is leaked if the remaining windows cover at least ``coverage`` of its tokens.
+item is leaked if the remaining windows cover at least ``coverage`` of its tokens, and of its literal tokens where windows
+of fewer literals took other values. Items of two to four tokens are leaked if their values stand in the document in a row,
+those of one token if it stands there as a sentence or line of its own.
 
 The corpus is only scanned: the benchmark is read in blocks of bounded size, each block's table is broadcast, and every
 block is matched against all documents. No document's windows are shuffled or gathered.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from chronograph.llm.text import _FOLDED, _IS_GAP, _pow, column_bytes, mix
 
 WINDOW = 5
-LITERALS = 3  # of a window's tokens at least, so that placeholders alone match nothing
+LITERALS = 3  # of a window's tokens at least, else its values count, so that placeholders alone match nothing
 COVERAGE = 0.6
 BLOCK_BYTES = 8 << 20  # of benchmark text in one broadcast table
 
@@ -45,6 +49,30 @@ _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 PIECE = 1 << 20
+_C_VALUE = np.random.default_rng(12).integers(1, 2**63, WINDOW + 1, dtype=np.uint64) | np.uint64(1)
+MARKS = "\u3000、。〃「」『』【】〈〉《》〔〕！，．：；？（）"  # parted from the characters around them
+STOPS = "。！？"
+
+
+def _scripts(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes begin a character of a script without blanks or come after one, which belong to its punctuation, and
+    which end a sentence or a line."""
+    n = len(buf)
+    first, marks, stop = np.zeros(n + 4, bool), np.zeros(n, bool), buf == 10
+    at = np.flatnonzero(buf >= 0xE0)
+    if not len(at):
+        return first[:n], marks, stop
+    lead, second, third = buf[at], buf[np.minimum(at + 1, n - 1)], buf[np.minimum(at + 2, n - 1)]
+    code = (lead.astype(np.int64) << 16) | (second.astype(np.int64) << 8) | third
+    mark = np.isin(code, [int.from_bytes(c.encode(), "big") for c in MARKS])
+    for i in range(3):
+        marks[np.minimum(at[mark] + i, n - 1)] = True
+    stop[at[np.isin(code, [int.from_bytes(c.encode(), "big") for c in STOPS])]] = True
+    wide = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & np.isin(second, [0x80, 0x81, 0x82, 0x9E, 0x9F])
+    four = (lead == 0xF0) & (second >= 0xA0) & (second <= 0xAF)
+    for which, length in ((wide & ~mark, 3), (four, 4)):
+        first[at[which]] = first[at[which] + length] = True
+    return first[:n], marks, stop
 
 
 def _fold(buf: np.ndarray) -> np.ndarray:
@@ -58,14 +86,14 @@ def _fold(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts buf[off[i]:off[i+1]]: each token's row, value hash, template hash (a placeholder for slots) and
-    whether it is a slot. Tokens of punctuation alone are passed over."""
+def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts buf[off[i]:off[i+1]]: each token's row, value hash, template hash (a placeholder for slots), whether it
+    is a slot and whether it is a sentence or line of its own. Tokens of punctuation alone are passed over."""
     n = len(buf)
-    solid = ~_IS_GAP[buf]
-    first = np.empty(n, bool)
+    first, marks, stop = _scripts(buf)
+    solid = ~(_IS_GAP[buf] | marks)
     first[0] = True
-    first[1:] = ~solid[:-1]
+    first[1:] |= ~solid[:-1]
     begins = off[:-1] - off[0]
     first[begins[begins < n]] = True
     last = np.empty(n, bool)
@@ -85,7 +113,7 @@ def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends, row, closes = starts[real], ends[real], row[real], closes[real]
     if not len(starts):
         z = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), z, z, np.zeros(0, bool)
+        return np.zeros(0, np.int64), z, z, np.zeros(0, bool), np.zeros(0, bool)
     folded = _fold(buf)
     p, inv = _pow(n)
 
@@ -110,7 +138,10 @@ def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     unit[after] = np.isin(value[after], _unit_hashes())  # a unit follows a number
     slot = number | name | unit
     kind = np.where(number, NUMBER, np.where(unit, UNIT, NAME))
-    return row, value, np.where(slot, mix(kind), value), slot
+    stops = sums(stop.astype(np.int64))
+    opens = np.ones(len(starts) + 1, bool)
+    opens[1:-1] = begin[1:] | (stops[starts[1:]] > stops[ends[:-1]])
+    return row, value, np.where(slot, mix(kind), value), slot, opens[:-1] & opens[1:]
 
 
 _units: list[np.ndarray] = []
@@ -127,20 +158,39 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def windows(row: np.ndarray, tokens: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, hash) of every window of template tokens within a text that has enough literal tokens."""
+def windows(row: np.ndarray, value: np.ndarray, tokens: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, hash, whether by template) of every window within a text: of its template tokens if enough of them are
+    literal, else of its values."""
     k = max(0, len(tokens) - WINDOW + 1)
     if not k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, literal = np.zeros(k, np.uint64), np.zeros(k, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    h, exact, literal = np.zeros(k, np.uint64), np.zeros(k, np.uint64), np.zeros(k, np.int64)
     for i in range(WINDOW):
         h += tokens[i : i + k] * _C[i]
+        exact += value[i : i + k] * _C_VALUE[i]
         literal += ~slot[i : i + k]
-    ok = (row[:k] == row[WINDOW - 1 :]) & (literal >= LITERALS)
-    at = np.flatnonzero(ok)
+    at = np.flatnonzero(row[:k] == row[WINDOW - 1 :])
+    rich = literal[at] >= LITERALS
+    return at, mix(np.where(rich, h[at], exact[at] + _C_VALUE[WINDOW])), rich
+
+
+def runs(row: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, hash) of every ``size`` values in a row within a text."""
+    k = max(0, len(value) - size + 1)
+    h = np.full(k, size, np.uint64)
+    for i in range(size):
+        h += value[i : i + k] * _C_VALUE[i]
+    at = np.flatnonzero(row[:k] == row[size - 1 : size - 1 + k])
     return at, mix(h[at])
 
 
+def _lookup(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``h``, index into the sorted ``keys``) of all equal pairs."""
+    lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+    n = hi - lo
+    return np.repeat(np.arange(len(h)), n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Table:
     """A block of benchmark items as sorted window hashes with their tokens."""
 
@@ -148,28 +198,74 @@ class Table:
         self.ids = [i for i, _ in items]
         buf, off = column_bytes(pa.array([t for _, t in items], pa.string()))
         if len(buf):
-            self.row, self.value, self.token, self.slot = template(buf, off)
+            self.row, self.value, self.token, self.slot, _ = template(buf, off)
         else:
             self.row, self.value, self.token, self.slot = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
-        at, h = windows(self.row, self.token, self.slot)
+        at, h, rich = windows(self.row, self.value, self.token, self.slot)
         order = np.argsort(h, kind="stable")
         self.at, self.hash = at[order], h[order]
         self.size = np.bincount(self.row, minlength=len(items))
+        self.literals = np.bincount(self.row[~self.slot], minlength=len(items))
+        self.begin = np.cumsum(self.size) - self.size
+        self.dense = at[~rich]  # windows of few literals, in item order
+        self.dense_of = np.bincount(self.row[self.dense], minlength=len(items))
+        self.short = {}  # by number of tokens: sorted hashes of whole items and their indices
+        for k in range(1, WINDOW):
+            at, h = runs(self.row, self.value, k)
+            whole = self.size[self.row[at]] == k
+            if whole.any():
+                order = np.argsort(h[whole], kind="stable")
+                self.short[k] = h[whole][order], self.row[at[whole]][order]
         self.flags = np.zeros(1 << 20, bool)
         self.flags[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
-    def match(self, row: np.ndarray, value: np.ndarray, token: np.ndarray, slot: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+    def match_short(self, row: np.ndarray, value: np.ndarray, alone: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """As ``match``, for the items of fewer tokens than a window."""
+        found = []
+        for k, (keys, items) in self.short.items():
+            at, h = runs(row, value, k)
+            if k == 1:
+                at, h = at[alone[at]], h[alone[at]]
+            i, j = _lookup(keys, h)
+            pairs = np.unique(row[at[i]] * len(self.ids) + items[j])
+            found += [(int(p) // len(self.ids), int(p) % len(self.ids), k, k, 0) for p in pairs]
+        return found
+
+    def extended(self, here: np.ndarray, there: np.ndarray, row: np.ndarray, value: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of few literals that equal the item's template, with other values, in line with the given windows."""
+        item = self.row[there]
+        lines = np.unique(np.stack([here - there, item, row[here]], axis=1)[self.dense_of[item] > 0], axis=0)
+        found, steps = [(here[:0], there[:0])], np.arange(WINDOW)
+        first = np.cumsum(self.dense_of) - self.dense_of
+        n = self.dense_of[lines[:, 1]]
+        total, i = np.cumsum(n), 0
+        while i < len(lines):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - n[i] + PIECE // 4, "right")))
+            part, m = lines[i:j], n[i:j]
+            w = self.dense[np.repeat(first[part[:, 1]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            x, r = w + np.repeat(part[:, 0], m), np.repeat(part[:, 2], m)
+            inside = (x >= 0) & (x + WINDOW <= len(row))
+            x, w, r = x[inside], w[inside], r[inside]
+            same = (row[x] == r) & (row[x + WINDOW - 1] == r) & (token[x[:, None] + steps] == self.token[w[:, None] + steps]).all(axis=1)
+            x, w = x[same], w[same]
+            other = (value[x[:, None] + steps] != self.value[w[:, None] + steps]).any(axis=1)
+            found.append((x[other], w[other]))
+            i = j
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def match(self, row: np.ndarray, value: np.ndarray, token: np.ndarray, slot: np.ndarray, alone: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
         """(row, item index, tokens covered, tokens of the item, slots whose value differs) of every leak."""
-        at, h = windows(row, token, slot)
+        short = self.match_short(row, value, alone)
+        at, h, rich = windows(row, value, token, slot)
         likely = self.flags[(h >> np.uint64(44)).astype(np.int64)]
-        at, h = at[likely], h[likely]
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        if not len(at):
-            return []
-        here = np.repeat(at, n)
-        there = self.at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at, h, rich = at[likely], h[likely], rich[likely]
+        i, j = _lookup(self.hash, h)
+        here, there, rich = at[i], self.at[j], rich[i]
+        if not len(here):
+            return short
+        x, w = self.extended(here[rich], there[rich], row, value, token)
+        direct = np.arange(len(here) + len(x)) < len(here)
+        here, there = np.concatenate([here, x]), np.concatenate([there, w])
         pair = row[here] * len(self.ids) + self.row[there]
         # windows whose slots contradict the item's prevailing values are dropped
         steps = np.arange(WINDOW)
@@ -185,13 +281,16 @@ class Table:
             np.logical_and.at(ok, w, best[inverse])
             for p in combos[best & (combos[:, 1] != combos[:, 2])][:, 0]:
                 differing[int(p)] = differing.get(int(p), 0) + 1
-        here, there, pair = here[ok], there[ok], pair[ok]
-        if not len(here):
-            return []
-        covered = np.unique(np.stack([np.repeat(pair, WINDOW), (there[:, None] + steps).ravel()], axis=1), axis=0)
-        pairs, counts = np.unique(covered[:, 0], return_counts=True)
-        sizes = self.size[pairs % len(self.ids)]
-        return [(int(p) // len(self.ids), int(p) % len(self.ids), int(c), int(s), differing.get(int(p), 0)) for p, c, s in zip(pairs, counts, sizes, strict=True) if c >= coverage * s]
+        there, pair, direct = there[ok], pair[ok], direct[ok]
+        covered = np.stack([np.repeat(pair, WINDOW), (there[:, None] + steps).ravel()], axis=1)
+        full = np.unique(covered, axis=0)
+        pairs, counts = np.unique(full[:, 0], return_counts=True)
+        literal = np.bincount(np.searchsorted(pairs, full[:, 0]), ~self.slot[full[:, 1]], len(pairs))
+        plain = np.unique(covered[np.repeat(direct, WINDOW)], axis=0)
+        plain = np.bincount(np.searchsorted(pairs, plain[:, 0]), minlength=len(pairs))
+        sizes, literals = self.size[pairs % len(self.ids)], self.literals[pairs % len(self.ids)]
+        leak = (plain >= coverage * sizes) | (counts >= coverage * sizes) & (literal >= coverage * literals)
+        return short + [(int(p) // len(self.ids), int(p) % len(self.ids), int(c), int(s), differing.get(int(p), 0)) for p, c, s in zip(pairs[leak], counts[leak], sizes[leak], strict=True)]
 
 
 def leaks_in(column: pa.Array, table: Table, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -225,7 +324,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
     """A row for each document and benchmark item whose template it repeats: doc_id, item_id, covered and n_tokens (of the
     item), new_values (slots of the item that the document fills otherwise; 0: verbatim but for punctuation and case).
 
-    Items of fewer than five tokens, null texts and empty texts match nothing; repeated documents and items each give
+    Items of fewer than five tokens match as a whole; null texts, empty texts and items without tokens match nothing; repeated documents and items each give
     rows of their own; null ids are carried. An empty benchmark or corpus gives no rows.
     """
     spark, base = docs.sparkSession, docs.select("doc_id", "text")

@@ -175,6 +175,26 @@ def test_decontamination_finds_plain_and_changed_copies(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def leaks(spark, docs, items):
+    ship_package(spark)
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["new_values"] for r in decontaminate.find_leaks(docs, bench).collect()}
+
+
+def test_decontamination_of_dense_and_short_items(spark):
+    numbers = "The values are 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610. What is next?"
+    names = "Present were Anna, Bruno, Carla, Dario, Elena, Fabio, Greta, Hugo, Irene, Jonas."
+    chinese = "小明有十二个苹果，他给了小红三个，还剩几个？"
+    items = [numbers, names, chinese, "Name the capital.", "Photosynthesis?"]
+    docs = [f"Quiz. {x} Done." for x in items[:2]] + [f"今天我们学习数学。{chinese}请写下答案。", "First name the capital, then go on.", "Easy one. Photosynthesis? Sure."]
+    docs += ["The values are 4, 6, 9, 14, 22, 35, 56, 90, 145, 234, 378, 611. What is next?"]
+    docs += ["The values are 9, 6, 9, 14, 22, 35, 56, 90, 145, 234, 378, 611, as we saw in the table of last week.", "It does photosynthesis in the sun. The capital has no name.", "今天天气很好，我们去公园散步。"]
+    got = leaks(spark, docs, items)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0)}
+    assert got[0, 0] == got[1, 1] == got[2, 2] == 0 and got[5, 0] == 12
+
+
 def test_defined_on_the_odd_rows_and_on_nothing(spark, docs, none, labels):
     for frame, n in ((docs, len(fixture_rows())), (none, 0)):
         assert mixing.mix(frame, mixing.quality_weights(labels)).count() == n
