@@ -2,13 +2,15 @@
 
 Tokens lose case and edge punctuation; numbers, names and units become typed placeholders, so a question whose figures or
 names were exchanged keeps its template. Characters of scripts without blanks between words are tokens of their own.
-Windows of five tokens are looked up in a hash table of the benchmark's windows: by template if enough of their tokens are
-literal, else by their values. Where a window matches by template, the item's windows of fewer literals are compared with
-the tokens at their places. For each document and item the slot values under matched windows must be consistent: every benchmark value
-(within the item) stands for one document value, the most frequent one, and windows that say otherwise are dropped. An
-item is leaked if the remaining windows cover at least ``coverage`` of its tokens, and of its literal tokens where windows
-of fewer literals took other values. Items of two to four tokens are leaked if their values stand in the document in a row,
-those of one token if it stands there as a sentence or line of its own.
+Windows of five tokens are looked up in a hash table of the benchmark's windows: by their values, and by template if enough
+of their tokens are literal. Where a window matches by template, the item's windows of fewer literals are compared with
+the tokens at their places. Within one occurrence of an item the slot values under matched windows must be consistent: every
+benchmark value (within the item) stands for one document value, the most frequent one, and windows that say otherwise are
+dropped. Occurrences are the windows in one line (document position minus item position), those whose lines differ by less
+than the item's length (copies with words put in or left out), and all windows of the document (copies in pieces). An item
+is leaked if in any occurrence the remaining windows cover at least ``coverage`` of its tokens, and of its literal tokens
+where windows of fewer literals took other values. Items of two to four tokens are leaked if their values stand in the
+document in a row, those of one token if it stands there as a sentence or line of its own.
 
 The corpus is only scanned: the benchmark is read in blocks of bounded size, each block's table is broadcast, and every
 block is matched against all documents. No document's windows are shuffled or gathered.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from chronograph.llm.text import _FOLDED, _IS_GAP, _pow, column_bytes, mix
 
 WINDOW = 5
-LITERALS = 3  # of a window's tokens at least, else its values count, so that placeholders alone match nothing
+LITERALS = 3  # of a window's tokens at least if it is to match by template, so that placeholders alone match nothing
 COVERAGE = 0.6
 BLOCK_BYTES = 8 << 20  # of benchmark text in one broadcast table
 
@@ -159,8 +161,8 @@ def _unit_hashes() -> np.ndarray:
 
 
 def windows(row: np.ndarray, value: np.ndarray, tokens: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, hash, whether by template) of every window within a text: of its template tokens if enough of them are
-    literal, else of its values."""
+    """(first token, hash, whether by template) of windows within a text: of the template tokens where enough of them are
+    literal, and of the values of every window."""
     k = max(0, len(tokens) - WINDOW + 1)
     if not k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
@@ -170,8 +172,8 @@ def windows(row: np.ndarray, value: np.ndarray, tokens: np.ndarray, slot: np.nda
         exact += value[i : i + k] * _C_VALUE[i]
         literal += ~slot[i : i + k]
     at = np.flatnonzero(row[:k] == row[WINDOW - 1 :])
-    rich = literal[at] >= LITERALS
-    return at, mix(np.where(rich, h[at], exact[at] + _C_VALUE[WINDOW])), rich
+    rich = at[literal[at] >= LITERALS]
+    return np.concatenate([rich, at]), mix(np.concatenate([h[rich], exact[at] + _C_VALUE[WINDOW]])), np.arange(len(rich) + len(at)) < len(rich)
 
 
 def runs(row: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +209,7 @@ class Table:
         self.size = np.bincount(self.row, minlength=len(items))
         self.literals = np.bincount(self.row[~self.slot], minlength=len(items))
         self.begin = np.cumsum(self.size) - self.size
-        self.dense = at[~rich]  # windows of few literals, in item order
+        self.dense = np.setdiff1d(at[~rich], at[rich])  # windows of few literals, in item order
         self.dense_of = np.bincount(self.row[self.dense], minlength=len(items))
         self.short = {}  # by number of tokens: sorted hashes of whole items and their indices
         for k in range(1, WINDOW):
@@ -261,36 +263,73 @@ class Table:
         at, h, rich = at[likely], h[likely], rich[likely]
         i, j = _lookup(self.hash, h)
         here, there, rich = at[i], self.at[j], rich[i]
+        new = rich.copy()  # a window that matches both ways counts once
+        steps = np.arange(WINDOW)
+        new[~rich] = (token[here[~rich][:, None] + steps] != self.token[there[~rich][:, None] + steps]).any(axis=1) | np.isin(there[~rich], self.dense)
+        here, there, rich = here[new], there[new], rich[new]
         if not len(here):
             return short
         x, w = self.extended(here[rich], there[rich], row, value, token)
         direct = np.arange(len(here) + len(x)) < len(here)
         here, there = np.concatenate([here, x]), np.concatenate([there, w])
         pair = row[here] * len(self.ids) + self.row[there]
-        # windows whose slots contradict the item's prevailing values are dropped
+        # pairs that could not cover enough if no window were dropped
+        seen = np.unique(np.stack([np.repeat(pair, WINDOW), (there[:, None] + np.arange(WINDOW)).ravel()], axis=1), axis=0)
+        pairs, counts = np.unique(seen[:, 0], return_counts=True)
+        keep = np.isin(pair, pairs[counts >= coverage * self.size[pairs % len(self.ids)]])
+        here, there, pair, direct = here[keep], there[keep], pair[keep], direct[keep]
+        if not len(here):
+            return short
+        best: dict[int, tuple[int, int]] = {}
+
+        def judge(group: np.ndarray, of: np.ndarray, which: np.ndarray) -> np.ndarray:
+            """Note the leaks among the occurrences and return which windows were dropped."""
+            ok, differing = self.consistent(group, here[which], there[which], value, slot)
+            for g, c in self.covering(group[ok], of, there[which][ok], direct[which][ok], coverage):
+                p, new = int(of[g]), (c, -differing.get(g, 0))
+                best[p] = max(best.get(p, new), new)
+            return ~ok
+
+        every = np.arange(len(here))
+        pairs, group = np.unique(pair, return_inverse=True)
+        dropped = judge(group.reshape(-1), pairs, every)
+        which = np.flatnonzero(np.isin(pair, pair[dropped]))
+        if len(which):
+            item = self.row[there[which]]
+            line, size = here[which] - there[which] + self.begin[item], self.size[item]
+            for occurrence in (line, line // size, (line + size // 2) // size):
+                groups, group = np.unique(np.stack([pair[which], occurrence], axis=1), axis=0, return_inverse=True)
+                judge(group.reshape(-1), groups[:, 0], which)
+        return short + [(p // len(self.ids), p % len(self.ids), c, int(self.size[p % len(self.ids)]), -d) for p, (c, d) in best.items()]
+
+    def consistent(self, group: np.ndarray, here: np.ndarray, there: np.ndarray, value: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+        """Which windows agree with the prevailing values of their group, and the slots that have another value, by group."""
         steps = np.arange(WINDOW)
         w, i = np.nonzero(slot[here[:, None] + steps])
         ok, differing = np.ones(len(here), bool), {}
         if len(w):
-            rows = np.stack([pair[w].astype(np.uint64), self.value[there[w] + i], value[here[w] + i]], axis=1)
+            rows = np.stack([group[w].astype(np.uint64), self.value[there[w] + i], value[here[w] + i]], axis=1)
             combos, inverse, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
             inverse = inverse.reshape(-1)
             order = np.lexsort((combos[:, 2], -count, combos[:, 1], combos[:, 0]))
             best = np.zeros(len(combos), bool)
             best[order] = np.concatenate([[True], (combos[order][1:, :2] != combos[order][:-1, :2]).any(axis=1)])
             np.logical_and.at(ok, w, best[inverse])
-            for p in combos[best & (combos[:, 1] != combos[:, 2])][:, 0]:
-                differing[int(p)] = differing.get(int(p), 0) + 1
-        there, pair, direct = there[ok], pair[ok], direct[ok]
-        covered = np.stack([np.repeat(pair, WINDOW), (there[:, None] + steps).ravel()], axis=1)
+            for g in combos[best & (combos[:, 1] != combos[:, 2])][:, 0]:
+                differing[int(g)] = differing.get(int(g), 0) + 1
+        return ok, differing
+
+    def covering(self, group: np.ndarray, of: np.ndarray, there: np.ndarray, direct: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
+        """(group, tokens covered) of the groups of windows that cover enough of the item."""
+        covered = np.stack([np.repeat(group, WINDOW), (there[:, None] + np.arange(WINDOW)).ravel()], axis=1)
         full = np.unique(covered, axis=0)
-        pairs, counts = np.unique(full[:, 0], return_counts=True)
-        literal = np.bincount(np.searchsorted(pairs, full[:, 0]), ~self.slot[full[:, 1]], len(pairs))
-        plain = np.unique(covered[np.repeat(direct, WINDOW)], axis=0)
-        plain = np.bincount(np.searchsorted(pairs, plain[:, 0]), minlength=len(pairs))
-        sizes, literals = self.size[pairs % len(self.ids)], self.literals[pairs % len(self.ids)]
+        counts = np.bincount(full[:, 0], minlength=len(of))
+        literal = np.bincount(full[:, 0], ~self.slot[full[:, 1]], len(of))
+        plain = np.bincount(np.unique(covered[np.repeat(direct, WINDOW)], axis=0)[:, 0], minlength=len(of))
+        sizes, literals = self.size[of % len(self.ids)], self.literals[of % len(self.ids)]
         leak = (plain >= coverage * sizes) | (counts >= coverage * sizes) & (literal >= coverage * literals)
-        return short + [(int(p) // len(self.ids), int(p) % len(self.ids), int(c), int(s), differing.get(int(p), 0)) for p, c, s in zip(pairs[leak], counts[leak], sizes[leak], strict=True)]
+        for g in np.flatnonzero(leak & (counts > 0)):
+            yield int(g), int(counts[g])
 
 
 def leaks_in(column: pa.Array, table: Table, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:

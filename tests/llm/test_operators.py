@@ -188,11 +188,24 @@ def test_decontamination_of_dense_and_short_items(spark):
     chinese = "小明有十二个苹果，他给了小红三个，还剩几个？"
     items = [numbers, names, chinese, "Name the capital.", "Photosynthesis?"]
     docs = [f"Quiz. {x} Done." for x in items[:2]] + [f"今天我们学习数学。{chinese}请写下答案。", "First name the capital, then go on.", "Easy one. Photosynthesis? Sure."]
+    docs[3:3] = ["they asked What is 3 plus 4 then"]
+    items[3:3] = ["What is 3 plus 4?"]
     docs += ["The values are 4, 6, 9, 14, 22, 35, 56, 90, 145, 234, 378, 611. What is next?"]
     docs += ["The values are 9, 6, 9, 14, 22, 35, 56, 90, 145, 234, 378, 611, as we saw in the table of last week.", "It does photosynthesis in the sun. The capital has no name.", "今天天气很好，我们去公园散步。"]
     got = leaks(spark, docs, items)
-    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0)}
-    assert got[0, 0] == got[1, 1] == got[2, 2] == 0 and got[5, 0] == 12
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 0)}
+    assert got[0, 0] == got[1, 1] == got[2, 2] == got[3, 3] == 0 and got[6, 0] == 12
+
+
+def test_decontamination_votes_within_an_occurrence(spark):
+    item = "Buy 3 pens 5 caps 7 hats 9 cups"
+    version = lambda i: f"Buy {i}1 pens {i}2 caps {i}3 hats {i}4 cups"
+    sheet = " ".join(f"{version(i)} and then" for i in range(1, 9))
+    longer = "A farmer sold 12 baskets of ripe apples to Anna for 30 euros and then bought 7 more baskets from the market in town."
+    parted = "\n".join(longer.replace("12", f"1{i}0").replace("30", f"2{i}0").replace("7", f"3{i}0").replace("Anna", f"Mina{i}").replace("ripe", "ripe and quite red") for i in range(8))
+    got = leaks(spark, [sheet, parted, f"{sheet} so. {item}.", "Buy 3 pens and caps or hats or 9 cups"], [item, longer])
+    assert set(got) == {(0, 0), (1, 1), (2, 0)}
+    assert got[0, 0] == 4 and got[2, 0] == 0
 
 
 def test_defined_on_the_odd_rows_and_on_nothing(spark, docs, none, labels):
