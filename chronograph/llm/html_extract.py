@@ -1,14 +1,16 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages of a host with the same set of element names share a layout. The layout's page with the fewest blocks is its wrapper;
-every page's block tree is aligned with it by simple tree matching (the largest order-keeping match of equal labels), and
+Pages of a host with the same set of block element names share a layout; inline elements do not matter. The page with the
+fewest blocks is the wrapper of its layout, for the MAX_WRAPPERS most common layouts of the host that have OWN_WRAPPER
+different pages, and for the most common one in any case. Pages of other layouts belong to the wrapper of their host that is
+most like their layout's smallest page. Every page's block tree is aligned with its wrapper by simple tree matching (the largest order-keeping match of equal labels), and
 the pages that show each text under each wrapper node are counted. A text is template at a node if at least MIN_PAGES
 different pages show it there and at most one in MAX_SHARE of the pages that have text there shows another; every other
 text is kept, also at such a node. The main text is what is kept, inside the article or main element where there is
 one, and outside elements that say by tag, role, class or id that they are menus, headers, footers, sidebars, notices,
 adverts, forms or comments. Page blocks that match no wrapper node vary by definition.
 
-Three passes read the pages; wrappers (a few hundred bytes per layout) join them by host and layout, and only hashes of
+So all pages of a host are aligned, however few have a layout. Four passes read the pages; wrappers join them by host and layout, and only hashes of
 texts are shuffled, keyed by the text, so a host with a third of all pages is spread over all tasks.
 """
 
@@ -21,12 +23,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronograph.llm.storage import materialize
 
-MIN_PAGES = 20  # different pages that show a text before it counts as template
+MIN_PAGES = 5  # different pages that show a text before it counts as template
+OWN_WRAPPER = 20  # different pages of a layout before it has a wrapper beside that of the host's most common layout
+MAX_WRAPPERS = 8  # of a host; bounds the comparisons, not the pages that are aligned
 MAX_DEPTH = 200  # blocks nested deeper become siblings
 MAX_SHARE = 20  # template: of the pages with text at a node, at most one in so many shows another text
 
@@ -136,7 +140,7 @@ def skeleton(node: Node) -> list:
     return [node.label, [skeleton(k) for k in node.kids]] if node.kids else [node.label]
 
 
-def _size(node: Node) -> int:
+def _size(node: Node | Wrapper) -> int:
     return 1 + sum(_size(k) for k in node.kids)
 
 
@@ -152,7 +156,7 @@ class Wrapper:
         self.kids = [Wrapper(t, counter) for t in tree[1]] if len(tree) > 1 else []
 
 
-def _score(a: Node, b: Wrapper, memo: dict) -> int:
+def _score(a: Node | Wrapper, b: Wrapper, memo: dict) -> int:
     """Simple tree matching: the nodes in the largest match of two trees that keeps order and parents."""
     if a.label != b.label:
         return 0
@@ -193,6 +197,11 @@ def align(a: Node, b: Wrapper, out: dict[int, int], memo: dict) -> None:
             i, j = i - 1, j - 1
 
 
+def _likeness(a: Wrapper, b: Wrapper) -> float:
+    """The share of two trees' nodes that their largest match holds."""
+    return 2 * _score(a, b, {}) / (_size(a) + _size(b))
+
+
 def _own_text(node: Node) -> str:
     return " ".join(entities.unescape("".join(p if isinstance(p, str) else " " for p in node.parts)).split())
 
@@ -252,7 +261,8 @@ def extract(pages: DataFrame) -> DataFrame:
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("host", F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))))
     names = F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][a-zA-Z0-9-]*)"), F.lit(1)), lambda x: F.lower(x))
-    base = base.withColumn("layout", F.xxhash64(F.concat_ws(" ", F.array_sort(F.array_distinct(names)))))
+    blocks = F.array_intersect(names, F.array(*(F.lit(b) for b in sorted(BLOCKS))))
+    base = base.withColumn("layout", F.xxhash64(F.concat_ws(" ", F.array_sort(blocks))))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], tuple[int, str]] = {}
@@ -268,13 +278,29 @@ def extract(pages: DataFrame) -> DataFrame:
                 best = {}
         yield _packed(best)
 
-    wrappers = base.select("html", "host", "layout").mapInArrow(survey, "host long, layout long, blocks long, tree string")
-    wrappers = materialize(wrappers.groupBy("host", "layout").agg(F.min(F.struct("blocks", "tree"))["tree"].alias("tree")), "wrappers")
+    layouts = base.select("html", "host", "layout").mapInArrow(survey, "host long, layout long, blocks long, tree string")
+    layouts = layouts.groupBy("host", "layout").agg(F.min(F.struct("blocks", "tree"))["tree"].alias("tree"))
+    different = base.select("host", "layout", F.xxhash64("html").alias("page")).distinct()
+    layouts = materialize(layouts.join(different.groupBy("host", "layout").agg(F.count("*").alias("pages")), ["host", "layout"]), "layouts")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
+    own = layouts.select("host", "layout", "pages", rank.alias("rank")).where(f"rank = 1 or rank <= {MAX_WRAPPERS} and pages >= {OWN_WRAPPER}")
+    own = materialize(layouts.join(own.select("host", "layout"), ["host", "layout"]).select("host", F.col("layout").alias("wrapper"), "tree"), "own")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            likeness = [_likeness(_wrapper(a), _wrapper(b)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(likeness, pa.float64())], ["host", "layout", "wrapper", "likeness"])
+
+    rest = layouts.join(own.select("host", F.col("wrapper").alias("layout")), ["host", "layout"], "left_anti").withColumnRenamed("tree", "small")
+    rest = rest.join(own, "host").select("host", "layout", "wrapper", "small", "tree").mapInArrow(compare, "host long, layout long, wrapper long, likeness double")
+    nearest = rest.groupBy("host", "layout").agg(F.max(F.struct("likeness", "wrapper"))["wrapper"].alias("wrapper"))
+    nearest = nearest.unionByName(own.select("host", F.col("wrapper").alias("layout"), "wrapper"))
+    wrappers = materialize(nearest.join(own, ["host", "wrapper"]), "wrappers")
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int, int, int]] = set()
         for batch in batches:
-            for html, host, layout, tree in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for html, host, wrapper, tree in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 root, matched = _aligned(html, tree)
                 texts, at, stack = [], [], [root]
                 while stack:
@@ -285,20 +311,20 @@ def extract(pages: DataFrame) -> DataFrame:
                         if (number := matched.get(id(node))) is not None:
                             at.append((number, h))
                 page = _key(str(sorted(texts)))
-                seen.update((host, layout, number, h, page) for number, h in at)
+                seen.update((host, wrapper, number, h, page) for number, h in at)
             if len(seen) > 200_000:
                 yield _counted(seen)
                 seen = set()
         yield _counted(seen)
 
-    joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "layout", "tree")
-    texts = joined.mapInArrow(observe, "host long, layout long, node long, text long, page long").distinct()
-    counts = materialize(texts.groupBy("host", "layout", "node", "text").agg(F.count("*").alias("n")), "texts")
-    filled = counts.groupBy("host", "layout", "node").agg(F.sum("n").alias("filled"))
-    constant = counts.where(F.col("n") >= MIN_PAGES).join(filled, ["host", "layout", "node"]).where((F.col("filled") - F.col("n")) * MAX_SHARE <= F.col("filled"))
-    constant = constant.groupBy("host", "layout").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("known"))
-    constant = constant.select("host", "layout", F.col("known.node").alias("nodes"), F.col("known.text").alias("texts"))
-    final = materialize(wrappers.join(constant, ["host", "layout"], "left").select("host", "layout", "tree", "nodes", "texts"), "wrappers")
+    joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "wrapper", "tree")
+    texts = joined.mapInArrow(observe, "host long, wrapper long, node long, text long, page long").distinct()
+    counts = materialize(texts.groupBy("host", "wrapper", "node", "text").agg(F.count("*").alias("n")), "texts")
+    filled = counts.groupBy("host", "wrapper", "node").agg(F.sum("n").alias("filled"))
+    constant = counts.where(F.col("n") >= MIN_PAGES).join(filled, ["host", "wrapper", "node"]).where((F.col("filled") - F.col("n")) * MAX_SHARE <= F.col("filled"))
+    constant = constant.groupBy("host", "wrapper").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("known"))
+    constant = constant.select("host", "wrapper", F.col("known.node").alias("nodes"), F.col("known.text").alias("texts"))
+    final = materialize(wrappers.join(constant, ["host", "wrapper"], "left").select("host", "layout", "tree", "nodes", "texts"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,15 +341,19 @@ def extract(pages: DataFrame) -> DataFrame:
 _wrappers: dict[str, Wrapper] = {}
 
 
-def _aligned(html: str, tree: str) -> tuple[Node, dict[int, int]]:
-    """A page's block tree, and the wrapper node of each of its matched nodes."""
-    root = parse(html)
-    matched: dict[int, int] = {}
+def _wrapper(tree: str) -> Wrapper:
     if tree not in _wrappers:
         if len(_wrappers) > 1000:
             _wrappers.clear()
         _wrappers[tree] = Wrapper(json.loads(tree))
-    align(root, _wrappers[tree], matched, {})
+    return _wrappers[tree]
+
+
+def _aligned(html: str, tree: str) -> tuple[Node, dict[int, int]]:
+    """A page's block tree, and the wrapper node of each of its matched nodes."""
+    root = parse(html)
+    matched: dict[int, int] = {}
+    align(root, _wrapper(tree), matched, {})
     return root, matched
 
 
@@ -335,4 +365,4 @@ def _packed(best: dict[tuple[int, int], tuple[int, str]]) -> pa.RecordBatch:
 
 def _counted(seen: set[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*seen, strict=True)) if seen else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "layout", "node", "text", "page"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "wrapper", "node", "text", "page"])

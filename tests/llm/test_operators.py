@@ -144,6 +144,14 @@ def test_html_extraction_keeps_texts_that_differ(spark):
     assert got[60] == "Title 0\n\nA guest\n\nBody 0" and got[61] == "Title 1\n\nBody 1"
 
 
+def test_html_extraction_aligns_all_pages_of_a_host(spark):
+    extra = ("", "<ul><li>a{0}</li></ul>", "<table><tr><td>b{0}</td></tr></table>", "<blockquote>c{0}</blockquote>", "<pre>d{0}</pre>", "<p><em>e{0}</em></p>")
+    page = lambda i: f"<html><body><div class=x>Our site since 1999</div><div class=y><h2>Title {i}</h2><p>Body {i}</p>{extra[i % 6].format(i)}</div><div class=z>All rights kept</div></body></html>"
+    got = extracted(spark, [(f"http://h/{i}", page(i)) for i in range(12)])
+    assert got[0] == "Title 0\n\nBody 0" and got[8] == "Title 8\n\nBody 8\n\nb8" and got[11] == "Title 11\n\nBody 11\n\ne11"
+    assert not [t for t in got.values() if "since" in t or "rights" in t]
+
+
 def test_classifier_on_held_out_rows(spark, docs, labels):
     scored = q.op7_quality_classifier(spark, "/root/testdata/sf0.01").join(q.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null"), "doc_id").where("held_out")
     rows = scored.select("score", "quality").collect()
