@@ -1,17 +1,20 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages of a host with the same set of block element names share a layout; inline elements do not matter. The page with the
-fewest blocks is the wrapper of its layout, for the MAX_WRAPPERS most common layouts of the host that have OWN_WRAPPER
-different pages, and for the most common one in any case. Pages of other layouts belong to the wrapper of their host that is
-most like their layout's smallest page. Every page's block tree is aligned with its wrapper by simple tree matching (the largest order-keeping match of equal labels), and
-the pages that show each text under each wrapper node are counted. A text is template at a node if at least MIN_PAGES
-different pages show it there and at most one in MAX_SHARE of the pages that have text there shows another; every other
-text is kept, also at such a node. The main text is what is kept, inside the article or main element where there is
-one, and outside elements that say by tag, role, class or id that they are menus, headers, footers, sidebars, notices,
-adverts, forms or comments. Page blocks that match no wrapper node vary by definition.
-
-So all pages of a host are aligned, however few have a layout. Four passes read the pages; wrappers join them by host and layout, and only hashes of
-texts are shuffled, keyed by the text, so a host with a third of all pages is spread over all tasks.
+Pages of a host with the same set of block element names share a layout; inline elements do not matter. The page with
+the fewest blocks is the wrapper of its layout, for the MAX_WRAPPERS most common layouts of the host that have
+OWN_WRAPPER different pages, and for the most common one in any case. Pages of other layouts belong to the wrapper of
+their host that is most like their layout's smallest page. Every page's block tree is aligned with its wrapper by simple
+tree matching (the largest order-keeping match of equal labels), and the pages that show each text under each wrapper
+node are counted. A text is template at a node if at least MIN_PAGES different pages show it there and at most one in
+MAX_SHARE of the pages that have text there shows another; every other text is kept, also at such a node. The main text
+is what is kept, inside the article or main element where there is one, and outside elements that say by tag that they
+are menus, headers, footers, sidebars or forms. An element that says so by its role, its id or one of its classes, each
+taken whole, is looked into for an article or main element only if there is none elsewhere; it is not dropped, as
+alignment finds its constant texts. Page blocks that match no wrapper node vary by definition.
+
+So all pages of a host are aligned, however few have a layout. Four passes read the pages; wrappers join them by host
+and layout, and only hashes of texts are shuffled, keyed by the text, so a host with a third of all pages is spread over
+all tasks.
 """
 
 from __future__ import annotations
@@ -45,29 +48,27 @@ SCOPE = frozenset("ul ol dl table body html article section div main td th".spli
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("depth", "dropped", "kids", "label", "parts", "tag")
+    __slots__ = ("depth", "dropped", "kids", "label", "marked", "parts", "tag")
 
-    def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.parts, self.kids, self.depth = tag, label, dropped, [], [], 0
+    def __init__(self, tag: str, label: str, dropped: bool, marked: bool = False):
+        self.tag, self.label, self.dropped, self.marked, self.parts, self.kids, self.depth = tag, label, dropped, marked, [], [], 0
 
 
-def _described(attrs: str) -> tuple[str, bool]:
-    """The first class, and whether the attributes mark what is not main text."""
-    first, bad = "", False
+def _described(attrs: str) -> tuple[str, bool, bool]:
+    """The first class, whether the attributes hide the element, and whether they mark what is not main text."""
+    first, hidden, marked = "", False, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
-            bad = True
+            hidden = True
         elif name != "style":
             if name == "class" and value:
                 first = value.split()[0] if value.split() else ""
-            spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            bad = bad or not BOILER.isdisjoint(_SPLIT.split(spaced)) or name == "role" and value.lower() == "banner"
-    return first, bad
+            marked = marked or not BOILER.isdisjoint(value.lower().split())
+    return first, hidden, marked
 
 
 def parse(html: str) -> Node:
@@ -104,8 +105,8 @@ def parse(html: str) -> Node:
             stack[-1].parts.append(" ")
         attrs = m[3] or m[6] or ""
         block = tag in BLOCKS
-        first, bad = _described(attrs) if attrs and tag not in ("html", "body", "article", "main") else ("", False)
-        dropped = bad or tag in DROPPED or tag == "header" and not in_main
+        first, hidden, marked = _described(attrs) if attrs and tag not in ("html", "body", "article", "main") else ("", False, False)
+        dropped = hidden or tag in DROPPED or tag == "header" and not in_main
         if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, pos)
             pos = end.end() if end else len(html)
@@ -122,7 +123,7 @@ def parse(html: str) -> Node:
                     del stack[k:]
                 elif stack[k].tag in SCOPE:
                     break
-        node = Node(tag, f"{tag}.{first}" if first else tag, dropped)
+        node = Node(tag, f"{tag}.{first}" if first else tag, dropped, marked)
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if len(stack) >= MAX_DEPTH and tag not in VOID:
@@ -210,13 +211,14 @@ def _key(label: str) -> int:
     return int.from_bytes(hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _mains(node: Node) -> list[Node]:
-    """The outermost article or main elements outside dropped ones; an article inside main goes first."""
-    if node.dropped:
+def _mains(node: Node, marked: bool = False) -> list[Node]:
+    """The outermost article or main elements outside dropped ones, and outside marked ones unless ``marked``; an article
+    inside main goes first."""
+    if node.dropped or node.marked and not marked:
         return []
     if node.tag == "article":
         return [node]
-    found = [m for k in node.kids for m in _mains(k)]
+    found = [m for k in node.kids for m in _mains(k, marked)]
     return found or ([node] if node.tag == "main" else [])
 
 
@@ -246,7 +248,7 @@ def main_text(root: Node, matched: dict[int, int], template: dict[int, int]) ->
                 walk(p)
         flush()
 
-    for top in _mains(root) or [root]:
+    for top in _mains(root) or _mains(root, True) or [root]:
         walk(top)
     return "\n\n".join(blocks)
 

@@ -152,6 +152,17 @@ def test_html_extraction_aligns_all_pages_of_a_host(spark):
     assert not [t for t in got.values() if "since" in t or "rights" in t]
 
 
+def test_html_extraction_keeps_marked_elements_that_hold_text(spark):
+    article = "<article><h1>Title {0}</h1><p class=notice>Note {0}</p><p>See <span class=related-term>term {0}</span></p><div class=share>Share this</div></article>"
+    around = ("<div class='content has-sidebar'>", "<div id=search-results>", "<div class='page with-comments'>", "<div class='page comments'>")
+    pages = [(f"http://{k}/{i}", f"<html><body>{a}{article.format(i)}</div><div class=comments><p>reader {i}</p></div></body></html>") for k, a in enumerate(around) for i in range(6)]
+    pages += [(f"http://x/{i}", f"<html><body><div class=sidebar>Fixed</div><p class=notice>Words {i}</p></body></html>") for i in range(6)]
+    pages += [("http://y/", "<main>Real<div class=comments><article>reader</article></div></main>")]
+    got = extracted(spark, pages)
+    assert all(got[k * 6 + i] == f"Title {i}\n\nNote {i}\n\nSee term {i}" for k in range(4) for i in range(6))
+    assert got[24] == "Words 0" and got[30] == "Real\n\nreader"
+
+
 def test_classifier_on_held_out_rows(spark, docs, labels):
     scored = q.op7_quality_classifier(spark, "/root/testdata/sf0.01").join(q.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null"), "doc_id").where("held_out")
     rows = scored.select("score", "quality").collect()
