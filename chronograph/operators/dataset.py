@@ -50,9 +50,40 @@ def negatives(positives: DataFrame, edges: DataFrame, num_nodes: int, seed: int,
     return positives.select("eid").join(first, "eid", "left").select("eid", F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c").isNull().alias("exhausted"))
 
 
+def _nth_missing(taken: list[int] | None, n: int) -> int:
+    """The n-th (from 0) natural number that is not in ``taken``."""
+    for t in sorted(taken or ()):
+        if t > n:
+            break
+        n += 1
+    return n
+
+
+def complete_negatives(positives: DataFrame, edges: DataFrame, num_nodes: int, seed: int) -> DataFrame:
+    """As ``negatives``, with an exhausted positive given a pair of its own by hash: of its source with the vertices that are
+    no neighbours, or, if there are none or both ends are redrawn, of any source that has some. ``exhausted`` are only
+    positives of a graph that has every edge."""
+    found = negatives(positives, edges, num_nodes, seed)
+    left = positives.join(found.where("exhausted").select("eid"), "eid").select("eid", F.col("src").alias("s"))
+    known = edges.where(f"src between 0 and {num_nodes - 1} and dst between 0 and {num_nodes - 1}").select("src", "dst").distinct()
+    full = known.groupBy("src").count().where(F.col("count") >= num_nodes).select("src")
+    closed = F.broadcast(full.agg(F.sort_array(F.collect_list("src")).alias("closed")))
+    nth = F.udf(_nth_missing, "long")
+    pick = lambda end, n: F.pmod(uniform32(seed, F.lit(end), F.col("eid")), n)
+    x = left.crossJoin(closed).where(F.size("closed") < num_nodes)
+    tail = (uniform(seed, F.lit("side"), F.col("eid")) > 0.5) & ~F.array_contains("closed", F.col("s"))
+    x = x.select("eid", F.when(tail, F.col("s")).otherwise(nth("closed", pick("free source", num_nodes - F.size("closed")))).alias("src"))
+    taken = known.join(x.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("taken"))
+    x = x.join(taken, "src", "left")
+    free = num_nodes - F.size(F.coalesce("taken", F.array().cast("array<bigint>")))
+    x = x.select("eid", F.col("src").alias("s"), nth("taken", pick("free end", free)).alias("d"))
+    both = found.join(x, "eid", "left")
+    return both.select("eid", F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), (F.col("exhausted") & F.col("s").isNull()).alias("exhausted"))
+
+
 def link_dataset(edges: DataFrame, ratio: float = 0.8, seed: int = 42, disjoint: bool = False) -> DataFrame:
     """(split, label, eid, src, dst): temporal hold-out, train and valid samples (independent unless ``disjoint``), and a
-    negative for each positive."""
+    negative for each positive unless every pair is an edge."""
     sizes = split_sizes(edges.count(), ratio)
     pool, test = temporal_holdout(edges, sizes["test"])
     train = sampled(pool, sizes["train"], f"{seed}-train")
@@ -62,7 +93,7 @@ def link_dataset(edges: DataFrame, ratio: float = 0.8, seed: int = 42, disjoint:
     out = None
     for k, (name, part) in enumerate((("train", train), ("valid", valid), ("test", test))):
         pos = part.select(F.lit(name).alias("split"), F.lit(1).alias("label"), "eid", "src", "dst")
-        neg = negatives(part, edges, n, seed + k).where("not exhausted").select(F.lit(name).alias("split"), F.lit(0).alias("label"), "eid", "src", "dst")
+        neg = complete_negatives(part, edges, n, seed + k).where("not exhausted").select(F.lit(name).alias("split"), F.lit(0).alias("label"), "eid", "src", "dst")
         both = pos.unionByName(neg)
         out = both if out is None else out.unionByName(both)
     return out
