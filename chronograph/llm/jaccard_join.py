@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronograph.llm.components import components
 from chronograph.llm.storage import drop, materialize
-from chronograph.llm.text import hashed_words, mix, shingles
+from chronograph.llm.text import hashed_words, mix, shingles, word_count, words
 
 CHUNK = 2_000_000  # shingles whose frequencies are looked up together
 PER_BUCKET = 1_000_000  # shingles counted together
@@ -340,8 +340,16 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, with all their columns; rows without an id are
-    kept."""
+    """One row of ``docs`` of each component and text, with all its columns: of the rows of the smallest id, one for each
+    text (as words without the case of A-Z). Rows without an id are kept once for each such text that no row with an
+    id has. Rows without words are kept."""
     found = join_components(docs, size, num, den)
     gone = found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    marked = docs.withColumn("_text", F.xxhash64(F.array_join(words(lower), " "))).withColumn("_empty", word_count(F.col("text")) == 0)
+    named = marked.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))).where("_n = 1 or _empty")
+    known = marked.where("doc_id is not null and not _empty").select("_text").distinct()
+    bare = marked.where("doc_id is null").join(known, "_text", "left_anti")
+    bare = bare.withColumn("_n", F.row_number().over(Window.partitionBy("_text").orderBy("text"))).where("_n = 1 or _empty")
+    return named.unionByName(bare).select(*docs.columns)

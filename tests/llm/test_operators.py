@@ -240,6 +240,14 @@ def test_defined_on_the_odd_rows_and_on_nothing(spark, docs, none, labels):
     assert url_filters.filter_pages(pages, url_filters.rule_table(spark, q.URL_RULES)).count() == 0
 
 
+def test_one_of_each_leaves_one_of_repeated_rows(spark):
+    ship_package(spark)
+    text = "one two three four five six seven"
+    rows = [(1, text), (1, text), (2, text.upper()), (None, text), (None, "other words"), (None, "other words"), (3, ""), (None, None), (4, "apart"), (4, "quite another")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, text), (None, "other words"), (3, ""), (None, None), (4, "apart"), (4, "quite another")])
+
+
 def test_pipeline_keeps_and_removes(spark):
     import corpus_pipeline
 
