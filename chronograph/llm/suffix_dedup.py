@@ -1,19 +1,22 @@
 """Exact removal of repeated byte strings, with suffix arrays built by linear grouping.
 
 A byte is removed if a LENGTH-byte string that covers it also starts anywhere else in the corpus. Strings never cross
-documents. The corpus is too large for one suffix array, so repeats are found in three steps, each exact:
-
-1. Every LENGTH-byte window selects an anchor: its KGRAM-byte gram of least hash (the last of equal ones). Equal windows
-   select equal grams at equal offsets. The windows that select one anchor are neighbours and form its context. Anchors
-   travel, as hashes only, to hash buckets. A context that occurs elsewhere settles all its windows; so does a gram that
-   occurs nowhere else.
-2. The rest are the ends of repeats. In each chunk of documents their contexts, cut into 8-byte symbols counted from the
-   anchor, get a suffix array: suffixes are grouped by Lyndon prefix, groups are processed in descending order with
+documents. The corpus is too large for one suffix array, so hashes select what is put in order together, and the order
+says what is repeated:
+
+1. Candidates. Every LENGTH-byte window selects an anchor: its KGRAM-byte gram of least hash (the last of equal ones).
+   Equal windows select equal grams at equal offsets. The windows that select one anchor are neighbours; the bytes they
+   cover are its context. Anchors travel as hashes to buckets, where grams that occur once drop out.
+2. Orders. Of every context that is left, its first two copies in the corpus (or its only one) are sent to the bucket of
+   its gram, whichever chunks of documents they come from. The contexts of a gram are cut into 8-byte symbols counted from the
+   anchor and get a suffix array: suffixes are grouped by Lyndon prefix, groups are processed in descending order with
    previous-smaller pointers, and each group's order is emitted from the order of what follows it (no recursion, no
-   renaming). Neighbours that share 24 symbols, and the bytes on either side, are equal windows.
-3. One hash per class of equal windows goes to hash buckets, so equal windows of different chunks meet.
+   renaming). Runs of neighbours that share 24 symbols, and the bytes on either side, are equal windows.
+3. Removal. Each chunk learns which windows of its contexts are repeated and drops the bytes that they cover.
 
-A chunk sends each distinct hash once, so text that a third of all documents share costs a bucket one entry per chunk.
+Copies beyond the second of a context take its verdict, so text that a third of all documents share is put in order
+twice, not as often as it occurs. A gram with more than ``hot`` different contexts (a common line in ever new
+surroundings) is taken window by window: windows are selected by their own hashes, and at most two copies of each meet.
 """
 
 from __future__ import annotations
@@ -32,16 +35,22 @@ from chronograph.llm.storage import drop, materialize, settings
 from chronograph.llm.text import _PLAIN, _pow, column_bytes, mix
 
 LENGTH = 200
-KGRAM = 96  # longer grams leave fewer windows open, shorter ones need fewer anchors
+KGRAM = 64  # longer grams select fewer candidates, shorter ones need fewer anchors
 SPAN = LENGTH - KGRAM + 1  # grams in a window
 PIECE = 250_000  # bytes hashed at once
 CHUNK = 2_000_000  # bytes of text in one chunk, or one longer document
-PER_BUCKET = 500_000
+PER_BUCKET = 300_000  # anchors judged together
+SYMBOLS = 40_000  # in one suffix array, or one gram's contexts
+HOT = 1000  # contexts of one gram in one suffix array
 BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
-LEVEL = 6  # of zstd, for the texts and states between steps
+LEVEL = 6  # of zstd, for the texts between steps
 WORDS = LENGTH // 8 - 1  # full symbols in every window
+BY_WINDOW = 1 << 40  # added to the buckets of single windows
+NONE, KNOWN, SHIP, SHIP_TWO, BY_WINDOWS = range(5)  # what is to be done with a context
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_OTHER = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_WIDTH = -(-SPAN // 8)  # bytes of a bit per window of a context
 
 
 def suffix_array(symbols: list[int]) -> list[int]:
@@ -214,48 +223,53 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(bucket[a]), int(a), int(b)
 
 
-def _judge_anchors(table: pa.Table) -> pa.Table:
-    """Codes of a bucket's entries: 0 the gram occurs once; 1 open; 2 the context is repeated; 3 as 2, and its windows are
-    needed by open contexts of the same gram."""
+def _read_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     parts, sizes = [], []
     for blob in table.column("blob"):
         raw = blob.as_buffer()
         k = len(raw) // 17
         parts.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint64, k, 8 * k), np.frombuffer(raw, np.uint8, k, 16 * k)))
         sizes.append(k)
-    g, c, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return *(np.concatenate(x) for x in zip(*parts, strict=True)), sizes
+
+
+def judge(table: pa.Table, hot: int) -> pa.Table:
+    """What is to be done with each entry (gram, context, whether twice in its chunk) of a bucket, and for those that are
+    candidates the numbers of their context and of their gram's first context."""
+    g, c, twice, sizes = _read_entries(table)
     order = np.lexsort((c, g))
-    a, b = g[order], c[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    context = np.cumsum(new) - 1
-    gram = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
-    repeated = np.bincount(context, 1 + twice[order].astype(np.float64)) >= 2
-    several = np.bincount(gram[new]) > 1
-    code = np.where(repeated[context], 2, np.where(several[gram], 1, 0)).astype(np.uint8)
-    open_ = np.zeros(len(several), bool)
-    open_[gram[code == 1]] = True
-    code[(code == 2) & new & open_[gram]] = 3
-    out = np.empty(len(code), np.uint8)
-    out[order] = code
+    a, b, more = g[order], c[order], twice[order].astype(np.int64)
+    n = len(a)
+    new_gram, new = np.ones(n, bool), np.ones(n, bool)
+    new_gram[1:] = a[1:] != a[:-1]
+    new[1:] = new_gram[1:] | (b[1:] != b[:-1])
+    context, gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
+    several = np.bincount(gram, 1 + more) > 1
+    crowded = np.bincount(gram[new]) > hot
+    first = np.flatnonzero(new)
+    nth = np.arange(n) - first[context]
+    code = np.full(n, KNOWN, np.uint8)
+    code[nth == 0] = np.where(more[nth == 0] > 0, SHIP_TWO, SHIP)
+    code[(nth == 1) & (more[first[context]] == 0)] = SHIP
+    code[crowded[gram]] = BY_WINDOWS
+    code[~several[gram]] = NONE
+    group = (np.cumsum(new)[np.flatnonzero(new_gram)] - 1)[gram]
+    out = np.empty((3, n), np.uint32)
+    out[:, order] = np.stack([code, context, group])
     ends = np.cumsum(sizes)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array([out[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)], pa.binary())})
+    blobs, hots = [], []
+    for e, k in zip(ends, sizes, strict=True):
+        code, context, group = out[:, e - k : e]
+        some = (code > NONE) & (code < BY_WINDOWS)
+        blobs.append(code.astype(np.uint8).tobytes() + context[some].tobytes() + group[some].tobytes())
+        hots.append(int((code == BY_WINDOWS).sum()))
+    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary()), "entries": pa.array(sizes, pa.int64()), "hot": pa.array(hots, pa.int64())})
 
 
-def _judge_windows(table: pa.Table) -> pa.Table:
-    """Whether each hash of a bucket occurs twice."""
-    parts, sizes = [], []
-    for blob in table.column("blob"):
-        raw = blob.as_buffer()
-        k = len(raw) // 9
-        parts.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint8, k, 8 * k)))
-        sizes.append(k)
-    w, twice = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, index = np.unique(w, return_inverse=True)
-    index = index.reshape(-1)
-    out = (np.bincount(index, 1 + twice.astype(np.float64)) >= 2)[index].astype(np.uint8)
-    ends = np.cumsum(sizes)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array([out[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)], pa.binary())})
+def _read_codes(blob: pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code = np.frombuffer(blob, np.uint8, n)
+    k = (len(blob) - n) // 8
+    return code, np.frombuffer(blob[n : n + 4 * k], np.uint32), np.frombuffer(blob[n + 4 * k :], np.uint32)
 
 
 def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -263,32 +277,19 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _pack(state: tuple) -> bytes:
-    raw = pickle.dumps(state)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+def _squeeze(raw: bytes, level: int = LEVEL) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
-def _unpack(blob: pa.BinaryScalar) -> tuple:
+def _unsqueeze(blob: pa.BinaryScalar) -> bytes:
     raw = memoryview(blob.as_buffer())
-    return pickle.loads(pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little")))
-
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
-def _shrink(klass: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Classes numbered by first occurrence as one bit a window, set for the first of a class, and the other windows' classes."""
-    first = np.diff(np.maximum.accumulate(klass), prepend=-1) > 0
-    return np.packbits(first).tobytes(), klass[~first].astype(np.int32)
 
-
-def _expand(bits: bytes, others: np.ndarray, n: int) -> np.ndarray:
-    first = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    klass = np.cumsum(first) - 1
-    klass[~first] = others
-    return klass
-
-
-def equal_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of some contexts: their starts, each one's class of equal windows (numbered by first occurrence), each
-    class's hash, and whether it has two members. Classes come from the suffix array of the contexts' 8-byte symbols."""
+def repeated_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Of the windows that start at lo, lo + 1, ... hi of each context, one context after another: whether an equal one is
+    among them, as the suffix array of the contexts' 8-byte symbols says. Contexts are laid out from their anchors x, so
+    windows of one gram that are equal fall on symbols alike."""
     front = -(-(x - lo) // 8)  # symbols before the anchor, the first of them padded
     grid = x - 8 * front
     count = -(-(hi + LENGTH - grid) // 8)
@@ -296,46 +297,81 @@ def equal_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray
     total = int(at[-1])
     raw = np.zeros(8 * total, np.uint8)
     size = hi + LENGTH - lo
-    inside = np.repeat(at[:-1] * 8 + (lo - grid), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    raw[inside] = buf[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    raw[_ranges(at[:-1] * 8 + (lo - grid), size)] = buf[_ranges(lo, size)]
     words = raw.view("<u8")
     _, symbol = np.unique(words, return_inverse=True)
     symbol = symbol.reshape(-1) + 2
     symbol[at[1:] - 1] = 1
     order = np.array(suffix_array([*symbol.tolist(), 0])[1:])
-    room = np.zeros(total, np.int64)  # symbols up to the separator
-    room[: total] = np.repeat(at[1:] - 1, count + 1) - np.arange(total)
-    padded = np.concatenate([symbol, np.zeros(WORDS + 1, symbol.dtype)])
+    room = np.repeat(at[1:] - 1, count + 1) - np.arange(total)  # symbols up to the separator
     a, b = order[:-1], order[1:]
     same = (room[a] >= WORDS) & (room[b] >= WORDS)
     for k in range(WORDS):
         live = np.flatnonzero(same)
-        same[live] = padded[a[live] + k] == padded[b[live] + k]
+        same[live] = symbol[a[live] + k] == symbol[b[live] + k]
     run = np.empty(total, np.int64)
     run[order] = np.concatenate([[0], np.cumsum(~same)])
     n = hi - lo + 1
-    start = _ranges(lo, n)
-    g = start - np.repeat(grid, n)
+    g = _ranges(lo, n) - np.repeat(grid, n)
     first = np.repeat(at[:-1], n) + -(-g // 8)
     lead = (-g) % 8
     keep = (np.uint64(64) - np.uint64(8) * lead.astype(np.uint64)) % np.uint64(64)
     before = np.where(lead > 0, words[np.maximum(first - 1, 0)] >> keep, np.uint64(0))
     after = words[np.minimum(first + WORDS, total - 1)] << (np.uint64(8) * lead.astype(np.uint64))
-    rows = np.stack([run[first].astype(np.uint64) * np.uint64(8) + lead.astype(np.uint64), before, after], axis=1)
-    sort = np.lexsort(rows.T[::-1])
-    s = rows[sort]
-    new = np.concatenate([[True], (s[1:] != s[:-1]).any(axis=1)])
-    klass = np.empty(len(rows), np.int64)
-    klass[sort] = np.cumsum(new) - 1
-    one = sort[new]  # the first member of each class
-    h = mix(before[one] * _A + after[one] * _B + lead[one].astype(np.uint64))
-    for k in range(WORDS):
-        h = mix(h ^ words[first[one] + k]) * _A
-    h = mix(h)
-    by_first = np.argsort(one)
-    rank = np.empty(len(h), np.int64)
-    rank[by_first] = np.arange(len(h))
-    return start, rank[klass], h[by_first], np.bincount(klass, minlength=len(h))[by_first] > 1
+    key = run[first] * 8 + lead
+    sort = np.lexsort((after, before, key))
+    same = (key[sort][1:] == key[sort][:-1]) & (before[sort][1:] == before[sort][:-1]) & (after[sort][1:] == after[sort][:-1])
+    out = np.zeros(len(key), bool)
+    out[sort[1:][same]] = out[sort[:-1][same]] = True
+    return out
+
+
+def _send(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray, group: np.ndarray) -> bytes:
+    """Contexts with their text: number, gram's number, bytes before the anchor, windows."""
+    text = buf[_ranges(lo, hi + LENGTH - lo)]
+    return _squeeze(b"".join([len(x).to_bytes(8, "little"), context.astype(np.uint32).tobytes(), group.astype(np.uint32).tobytes(), (x - lo).astype(np.uint8).tobytes(), (hi - lo + 1).astype(np.uint8).tobytes(), text.tobytes()]), 3)
+
+
+def order_bucket(texts: pa.Table) -> np.ndarray:
+    """A row for each context of a bucket, by number: a bit for each of its windows, set if the window is repeated."""
+    parts = []
+    for blob in texts.column("blob"):
+        raw = _unsqueeze(blob)
+        k = int.from_bytes(raw[:8], "little")
+        cut = 8 + np.cumsum([0, 4 * k, 4 * k, k, k])
+        parts.append((*(np.frombuffer(raw, t, k, int(o)) for t, o in zip((np.uint32, np.uint32, np.uint8, np.uint8), cut[:4], strict=True)), np.frombuffer(raw, np.uint8, -1, int(cut[4]))))
+    if not parts:
+        return np.zeros((0, _WIDTH), np.uint8)
+    context, group, front, windows, buf = (np.concatenate(p) for p in zip(*parts, strict=True))
+    windows = windows.astype(np.int64)
+    size = windows + LENGTH - 1
+    start = np.cumsum(size) - size
+    by = np.argsort(group, kind="stable")
+    symbols = np.cumsum(size[by] // 8 + 2)
+    ends = np.flatnonzero(np.append(group[by][1:] != group[by][:-1], True)) + 1
+    bits = np.zeros((int(context.max()) + 1, 8 * _WIDTH), bool)
+    i = 0
+    while i < len(by):
+        done = symbols[i - 1] if i else 0
+        j = max(int(ends[np.searchsorted(ends, i, "right")]), int(ends[max(0, np.searchsorted(symbols[ends - 1], done + SYMBOLS, "right") - 1)]))
+        at = by[i:j]
+        if len(at) > 1:
+            hit = repeated_windows(buf, start[at] + front[at], start[at], start[at] + windows[at] - 1)
+            bits[np.repeat(context[at], windows[at])[hit], _ranges(np.zeros(len(at), np.int64), windows[at])[hit]] = True
+        i = j
+    return np.packbits(bits, axis=1)
+
+
+def answer(codes: pa.Table, texts: pa.Table) -> pa.Table:
+    """For each chunk that asked a bucket: its codes, and the bits of its candidates."""
+    bits = order_bucket(texts)
+    rows = []
+    for chunk, bucket, n, blob in zip(*(codes.column(c).to_pylist() for c in ("chunk", "bucket", "entries")), codes.column("blob"), strict=True):
+        code, context, _ = _read_codes(blob.as_buffer(), n)
+        if (code > NONE).any():
+            rows.append((chunk, bucket, _squeeze(code.tobytes() + bits[context].tobytes(), 3)))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "blob"])
 
 
 def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -360,13 +396,61 @@ def _result(ids: pa.Array, buf: np.ndarray, off: np.ndarray, gone: np.ndarray, w
     return pa.table([ids, *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+def _text_of(chunk: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    ids, text, off = pickle.loads(_unsqueeze(chunk.column("blob")[0]))
+    return ids, np.frombuffer(text, np.uint8), off
+
+
+def _entry_rows(chunk: int, g: np.ndarray, c: np.ndarray, twice: np.ndarray, bits: int, base: int = 0) -> list[tuple[int, int, bytes]]:
+    return [(chunk, base + k, g[a:b].tobytes() + c[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(g, bits)]
+
+
+def _as_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "blob"])
+
+
+class _Contexts:
+    """A chunk's contexts, or single windows, in the order of their distinct hashes, with what the buckets said."""
+
+    def __init__(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, g: np.ndarray, c: np.ndarray, bits: int, base: int):
+        self.x, self.lo, self.hi, self.bits, self.base = x, lo, hi, bits, base
+        self.g, self.c, self.twice, self.index = _distinct(g, c)
+
+    def rows(self, chunk: int) -> list[tuple[int, int, bytes]]:
+        return _entry_rows(chunk, self.g, self.c, self.twice, self.bits, self.base)
+
+    def places(self) -> Iterator[tuple[int, int, int]]:
+        for k, a, b in _split(self.g, self.bits):
+            yield self.base + k, a, b
+
+
+def _of_windows(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, bits: int) -> _Contexts:
+    """The windows at ``starts`` as contexts of their own, each its own gram."""
+    g, c = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(starts, starts[i] + PIECE, "right"))
+        a, b = int(starts[i]), int(starts[j - 1]) + LENGTH
+        p, inv = _pow(b - a + 1)
+        for values, out in ((_PLAIN, g), (_OTHER, c)):
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(values[buf[a:b]] * p[: b - a], dtype=np.uint64, out=sums[1:])
+            s = starts[i:j] - a
+            out[i:j] = mix((sums[s + LENGTH] - sums[s]) * inv[s])
+        i = j
+    return _Contexts(starts, starts, starts, mix(g * _B), c, bits, BY_WINDOW)
+
+
+def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (if asked for) kept bytes of every row of ``docs`` (doc_id,
     text): all bytes that LENGTH-byte repeats cover are removed, from every copy.
 
-    A null or short text keeps all its bytes; repeated rows are repeats of each other; null ids are carried; an empty
-    table gives no rows. Strings are compared by 64-bit hashes. Memory follows the chunk: CHUNK bytes of text or one
-    longer document.
+    A null or short text keeps all its bytes; repeated rows are repeats of each other; null ids are carried; other columns
+    are passed over; an empty table gives no rows. Which contexts are copies of one another is decided by 128 bits of
+    hash, whether windows are repeated by suffix arrays over the text. Memory follows the chunk (CHUNK bytes of text or
+    one longer document) and the bucket. ``hot`` bounds the contexts of one gram in a suffix array; it does not
+    change the result.
     """
     base = docs.select("doc_id", "text")
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -382,11 +466,10 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
             if not ids:
                 return
             buf, off = np.concatenate([b for b, _ in texts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in texts]))]).astype(np.int64)
-            _, _, _, g, c = _found(buf, off)
-            g, c, twice, _ = _distinct(g, c)
-            rows = [(-1, _pack((pa.concat_arrays(ids).to_pylist(), buf.tobytes(), off)))]
-            rows += [(k, g[a:b].tobytes() + c[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(g, bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + number] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["chunk", "bucket", "blob"])
+            chunk = part * (1 << 32) + number
+            rows = [(chunk, -1, _squeeze(pickle.dumps((pa.concat_arrays(ids).to_pylist(), buf.tobytes(), off))))]
+            rows += _Contexts(*_found(buf, off), bits, 0).rows(chunk)
+            yield from _as_table(rows).to_batches()
             number, held, ids, texts = number + 1, 0, [], []
 
         for batch in batches:
@@ -402,68 +485,90 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                 i = j
         yield from flush()
 
-    def settle(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
-        """Finished documents as rows of kind 0; for the others a row of kind 1 with what is needed to finish them, and
-        rows of kind 2 with window hashes."""
-        ids, text, off = _unpack(chunk.column("blob")[0])
-        buf = np.frombuffer(text, np.uint8)
-        x, lo, hi, g, c = _found(buf, off)
-        _, _, _, index = _distinct(g, c)
-        got = sorted(zip(codes.column("bucket").to_pylist(), codes.column("blob").to_pylist(), strict=True))
-        code = np.frombuffer(b"".join(b for _, b in got), np.uint8)[index] if len(index) else np.zeros(0, np.uint8)
-        gone = _marked(len(buf), lo[code >= 2], hi[code >= 2])
-        ship = code == 1
-        firsts = np.flatnonzero(code == 3)
-        ship[firsts[np.unique(index[firsts], return_index=True)[1]]] = True
-        chunk_id = chunk.column("chunk")[0].as_py()
-        ids = pa.array(ids, pa.int64())
-        if not ship.any():
-            return _rows(_result(ids, buf, off, gone, with_kept))
-        start, klass, h, twice = equal_windows(buf, x[ship], lo[ship], hi[ship])
-        pending = np.zeros(len(off) - 1, bool)
-        pending[np.searchsorted(off, start, "right") - 1] = True
-        done = np.flatnonzero(~pending)
-        cut = np.concatenate([[0], np.cumsum(np.diff(off)[pending])]).astype(np.int64)
-        byte = np.repeat(pending, np.diff(off))
-        moved = np.cumsum(byte) - 1
-        finished = _result(ids.take(pa.array(done)), buf[~byte], np.concatenate([[0], np.cumsum(np.diff(off)[~pending])]).astype(np.int64), gone[~byte], with_kept)
-        bucket = _bucket(h, bits)
-        runs = moved[lo[ship]].astype(np.int32), (hi - lo + 1)[ship].astype(np.uint8)
-        state = (ids.filter(pa.array(pending)).to_pylist(), buf[byte].tobytes(), cut, np.packbits(gone[byte]).tobytes(), runs, _shrink(klass), bucket.astype(np.min_scalar_type((1 << bits) - 1)))
-        rows = [(1, chunk_id, -1, _pack(state))]
-        order = np.argsort(bucket, kind="stable")
-        h, twice = h[order], twice[order]
-        rows += [(2, chunk_id, k, h[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(h, bits)]
-        return pa.concat_tables([_rows(finished), _rows(None, rows)])
-
-    def finish(key, chunk: pa.Table, verdicts: pa.Table) -> pa.Table:
-        ids, text, off, gone, (lo, n), klass, bucket = _unpack(chunk.column("blob")[0])
-        buf = np.frombuffer(text, np.uint8)
-        gone = np.unpackbits(np.frombuffer(gone, np.uint8), count=len(buf)).astype(bool)
-        got = sorted(zip(verdicts.column("bucket").to_pylist(), verdicts.column("blob").to_pylist(), strict=True))
-        twice = np.empty(len(bucket), bool)
-        twice[np.argsort(bucket, kind="stable")] = np.frombuffer(b"".join(b for _, b in got), np.uint8).astype(bool)
-        start = _ranges(lo.astype(np.int64), n.astype(np.int64))
-        hit = start[twice[_expand(*klass, len(start))]]
-        return _result(pa.array(ids, pa.int64()), buf, off, gone | _marked(len(buf), hit, hit), with_kept)
+    def in_order(found: _Contexts, rows: dict[int, tuple]) -> np.ndarray:
+        """The code of each distinct context."""
+        code = np.zeros(len(found.g), np.uint8)
+        for k, a, b in found.places():
+            if k in rows:
+                code[a:b] = rows[k][0]
+        return code
+
+    def by_windows(found: _Contexts, code: np.ndarray, buf: np.ndarray, off: np.ndarray) -> _Contexts:
+        crowded = code[found.index] == BY_WINDOWS
+        lo, hi = found.lo[crowded], found.hi[crowded]
+        return _of_windows(buf, off, np.unique(_ranges(lo, hi - lo + 1)), bits)
+
+    def read(codes: pa.Table) -> dict[int, tuple]:
+        return {k: _read_codes(blob.as_buffer(), n) for k, n, blob in zip(codes.column("bucket").to_pylist(), codes.column("entries").to_pylist(), codes.column("blob"), strict=True)}
+
+    def split_hot(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
+        _, buf, off = _text_of(chunk)
+        found = _Contexts(*_found(buf, off), bits, 0)
+        return _as_table(by_windows(found, in_order(found, read(codes)), buf, off).rows(chunk.column("chunk")[0].as_py()))
+
+    def ship(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
+        """The texts that the buckets asked for."""
+        if not chunk.num_rows or not codes.num_rows:
+            return _as_table([])
+        _, buf, off = _text_of(chunk)
+        said, rows = read(codes), []
+        found = _Contexts(*_found(buf, off), bits, 0)
+        levels = [found]
+        if any(k >= BY_WINDOW for k in said):
+            levels.append(by_windows(found, in_order(found, said), buf, off))
+        for level in levels:
+            order = np.argsort(level.index, kind="stable")
+            first = np.searchsorted(level.index[order], np.arange(len(level.g)))
+            for k, a, _ in level.places():
+                if k not in said:
+                    continue
+                code, context, group = said[k]
+                some = np.flatnonzero((code > NONE) & (code < BY_WINDOWS))
+                one, two = code[some] >= SHIP, code[some] == SHIP_TWO
+                at = np.concatenate([order[first[a + some[one]]], order[first[a + some[two]] + 1]])
+                if len(at):
+                    rows.append((-1, k, _send(buf, level.x[at], level.lo[at], level.hi[at], np.concatenate([context[one], context[two]]), np.concatenate([group[one], group[two]]))))
+        return _as_table(rows)
+
+    def finish(key, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, buf, off = _text_of(chunk)
+        gone = np.zeros(len(buf), bool)
+        if answers.num_rows:
+            said = dict(zip(answers.column("bucket").to_pylist(), map(_unsqueeze, answers.column("blob")), strict=True))
+            level, windows = _Contexts(*_found(buf, off), bits, 0), False
+            while True:
+                code, known = np.zeros(len(level.g), np.uint8), np.zeros((len(level.g), _WIDTH), np.uint8)
+                for k, a, b in level.places():
+                    if k in said:
+                        code[a:b] = np.frombuffer(said[k], np.uint8, b - a)
+                        known[a + np.flatnonzero((code[a:b] > NONE) & (code[a:b] < BY_WINDOWS))] = np.frombuffer(said[k], np.uint8, -1, b - a).reshape(-1, _WIDTH)
+                context, offset = np.nonzero(np.unpackbits(known, axis=1))
+                order = np.argsort(level.index, kind="stable")
+                first = np.searchsorted(level.index[order], np.arange(len(level.g) + 1))
+                copies = (first[1:] - first[:-1])[context]
+                hit = level.lo[order[_ranges(first[context], copies)]] + np.repeat(offset, copies)
+                gone |= _marked(len(buf), hit, hit)
+                if windows or not (code == BY_WINDOWS).any():
+                    break
+                level, windows = by_windows(level, code, buf, off), True
+        return _result(pa.array(ids, pa.int64()), buf, off, gone, with_kept)
 
-    with settings(base.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
-        packed = materialize(base.mapInArrow(survey, "chunk long, bucket long, blob binary"), "chunks")
     entries = "chunk long, bucket long, blob binary"
-    codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_judge_anchors, entries), "codes")
-    settled = packed.where("bucket < 0").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(settle, f"kind int, chunk long, bucket long, blob binary, {_OUT}")
-    settled = materialize(settled, "settled")
-    drop(packed, codes)
-    verdicts = settled.where("kind = 2").select("chunk", "bucket", "blob").groupBy("bucket").applyInArrow(_judge_windows, entries)
-    rest = settled.where("kind = 1").select("chunk", "blob").groupBy("chunk").cogroup(verdicts.groupBy("chunk")).applyInArrow(finish, _OUT)
-    done = settled.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-    out = done.union(rest)
+    judged = f"{entries}, entries long, hot long"
+    with settings(base.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
+        packed = materialize(base.mapInArrow(survey, entries), "chunks")
+    texts = packed.where("bucket < 0").select("chunk", "blob")
+    codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: judge(t, hot), judged), "codes")
+    made = [codes]
+    crowded = codes.where("hot > 0")
+    if crowded.limit(1).count():
+        some = texts.join(crowded.select("chunk").distinct(), "chunk", "left_semi")
+        single = some.groupBy("chunk").cogroup(crowded.groupBy("chunk")).applyInArrow(split_hot, entries)
+        more = single.groupBy("bucket").applyInArrow(lambda t: judge(t, hot), judged)
+        made.append(materialize(more, "codes"))
+        codes = codes.unionByName(made[1])
+    sent = texts.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(ship, entries)
+    answers = materialize(codes.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b), entries), "answers")
+    drop(*made)
+    out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, _OUT)
     return out if with_kept else out.drop("kept")
-
-
-def _rows(finished: pa.Table | None, rows: list[tuple] = ()) -> pa.Table:
-    n = finished.num_rows if finished is not None else len(rows)
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    left = [pa.array([0] * n, pa.int32()), *(pa.nulls(n, t) for t in kinds[1:])] if finished is not None else [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-    right = finished.columns if finished is not None else [pa.nulls(n, t) for t in (*[pa.int64()] * 4, pa.string(), pa.binary())]
-    return pa.table([*left, *right], ["kind", "chunk", "bucket", "blob", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
