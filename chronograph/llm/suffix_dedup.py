@@ -8,15 +8,18 @@ says what is repeated:
    Equal windows select equal grams at equal offsets. The windows that select one anchor are neighbours; the bytes they
    cover are its context. Anchors travel as hashes to buckets, where grams that occur once drop out.
 2. Orders. Of every context that is left, its first two copies in the corpus (or its only one) are sent to the bucket of
-   its gram, whichever chunks of documents they come from. The contexts of a gram are cut into 8-byte symbols counted from the
-   anchor and get a suffix array: suffixes are grouped by Lyndon prefix, groups are processed in descending order with
+   its gram, whichever chunks of documents they come from. The contexts of a gram are cut into SYMBOL-byte symbols counted
+   from the anchor and get a suffix array: suffixes are grouped by Lyndon prefix, groups are processed in descending order with
    previous-smaller pointers, and each group's order is emitted from the order of what follows it (no recursion, no
-   renaming). Runs of neighbours that share 24 symbols, and the bytes on either side, are equal windows.
+   renaming). Runs of neighbours that share the symbols that every window holds whole, and the bytes on either side, are
+   equal windows.
 3. Removal. Each chunk learns which windows of its contexts are repeated and drops the bytes that they cover.
 
 Copies beyond the second of a context take its verdict, so text that a third of all documents share is put in order
-twice, not as often as it occurs. A gram with more than ``hot`` different contexts (a common line in ever new
-surroundings) is taken window by window: windows are selected by their own hashes, and at most two copies of each meet.
+twice, not as often as it occurs. The contexts of a gram with more than ``hot`` different ones (a common line in ever new
+surroundings) are parted: windows whose offsets from the anchor are alike but for STEPS[1] bytes share more than the gram,
+are selected anew by that longer gram, and where it is as common still, each window is selected by its own hash, so that
+at most two copies of it meet.
 """
 
 from __future__ import annotations
@@ -40,13 +43,15 @@ SPAN = LENGTH - KGRAM + 1  # grams in a window
 PIECE = 250_000  # bytes hashed at once
 CHUNK = 2_000_000  # bytes of text in one chunk, or one longer document
 PER_BUCKET = 300_000  # anchors judged together
-SYMBOLS = 40_000  # in one suffix array, or one gram's contexts
+SYMBOL = 40  # bytes; divides LENGTH, so that what a window holds besides whole symbols lies in one symbol on either side
+SYMBOLS = 15_000  # in one suffix array, or one gram's contexts
 HOT = 1000  # contexts of one gram in one suffix array
 BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
 LEVEL = 6  # of zstd, for the texts between steps
-WORDS = LENGTH // 8 - 1  # full symbols in every window
-BY_WINDOW = 1 << 40  # added to the buckets of single windows
-NONE, KNOWN, SHIP, SHIP_TWO, BY_WINDOWS = range(5)  # what is to be done with a context
+WORDS = LENGTH // SYMBOL - 1  # full symbols in every window
+STEPS = (SPAN, 16, 1)  # windows in a context, and in the parts of contexts of common grams
+PARTED = 1 << 40  # times the step's number, added to the buckets of parts
+NONE, KNOWN, SHIP, SHIP_TWO, PART = range(5)  # what is to be done with a context
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _OTHER = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -251,7 +256,7 @@ def judge(table: pa.Table, hot: int) -> pa.Table:
     code = np.full(n, KNOWN, np.uint8)
     code[nth == 0] = np.where(more[nth == 0] > 0, SHIP_TWO, SHIP)
     code[(nth == 1) & (more[first[context]] == 0)] = SHIP
-    code[crowded[gram]] = BY_WINDOWS
+    code[crowded[gram]] = PART
     code[~several[gram]] = NONE
     group = (np.cumsum(new)[np.flatnonzero(new_gram)] - 1)[gram]
     out = np.empty((3, n), np.uint32)
@@ -260,9 +265,9 @@ def judge(table: pa.Table, hot: int) -> pa.Table:
     blobs, hots = [], []
     for e, k in zip(ends, sizes, strict=True):
         code, context, group = out[:, e - k : e]
-        some = (code > NONE) & (code < BY_WINDOWS)
+        some = (code > NONE) & (code < PART)
         blobs.append(code.astype(np.uint8).tobytes() + context[some].tobytes() + group[some].tobytes())
-        hots.append(int((code == BY_WINDOWS).sum()))
+        hots.append(int((code == PART).sum()))
     return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array(blobs, pa.binary()), "entries": pa.array(sizes, pa.int64()), "hot": pa.array(hots, pa.int64())})
 
 
@@ -286,22 +291,37 @@ def _unsqueeze(blob: pa.BinaryScalar) -> bytes:
     return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
 
+def _edge_classes(rows: np.ndarray) -> np.ndarray:
+    """A number for the first k bytes of each row, for k from 0 to the rows' length; equal ones have equal numbers."""
+    big = rows.reshape(len(rows), -1, 8)[:, :, ::-1].copy().view("<u8")[:, :, 0]
+    order = np.lexsort(big.T[::-1])
+    a = rows[order]
+    alike = np.zeros(len(rows), np.int64)
+    same = a[1:] == a[:-1]
+    alike[1:] = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))
+    out = np.empty((rows.shape[1] + 1, len(rows)), np.uint64)
+    for k in range(rows.shape[1] + 1):
+        out[k, order] = np.cumsum(alike < k)
+    return out
+
+
 def repeated_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Of the windows that start at lo, lo + 1, ... hi of each context, one context after another: whether an equal one is
-    among them, as the suffix array of the contexts' 8-byte symbols says. Contexts are laid out from their anchors x, so
-    windows of one gram that are equal fall on symbols alike."""
-    front = -(-(x - lo) // 8)  # symbols before the anchor, the first of them padded
-    grid = x - 8 * front
-    count = -(-(hi + LENGTH - grid) // 8)
+    among them, as the suffix array of the contexts' symbols says. Contexts are laid out from their anchors x, so windows
+    of one gram that are equal fall on symbols alike."""
+    grid = x + SYMBOL * ((lo - x) // SYMBOL)  # the first symbol is padded in front
+    count = -(-(hi + LENGTH - grid) // SYMBOL)
     at = np.concatenate([[0], np.cumsum(count + 1)])  # each context is followed by a separator
     total = int(at[-1])
-    raw = np.zeros(8 * total, np.uint8)
+    raw = np.zeros(SYMBOL * total, np.uint8)
     size = hi + LENGTH - lo
-    raw[_ranges(at[:-1] * 8 + (lo - grid), size)] = buf[_ranges(lo, size)]
-    words = raw.view("<u8")
-    _, symbol = np.unique(words, return_inverse=True)
-    symbol = symbol.reshape(-1) + 2
+    raw[_ranges(at[:-1] * SYMBOL + (lo - grid), size)] = buf[_ranges(lo, size)]
+    rows = raw.reshape(-1, SYMBOL)
+    ahead, back = _edge_classes(rows), _edge_classes(np.ascontiguousarray(rows[:, ::-1]))
+    symbol = ahead[SYMBOL].astype(np.int64) + 2
     symbol[at[1:] - 1] = 1
+    _, symbol = np.unique(symbol, return_inverse=True)
+    symbol = symbol.reshape(-1) + 1
     order = np.array(suffix_array([*symbol.tolist(), 0])[1:])
     room = np.repeat(at[1:] - 1, count + 1) - np.arange(total)  # symbols up to the separator
     a, b = order[:-1], order[1:]
@@ -309,18 +329,22 @@ def repeated_windows(buf: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndar
     for k in range(WORDS):
         live = np.flatnonzero(same)
         same[live] = symbol[a[live] + k] == symbol[b[live] + k]
-    run = np.empty(total, np.int64)
+    run = np.empty(total, np.uint64)
     run[order] = np.concatenate([[0], np.cumsum(~same)])
     n = hi - lo + 1
     g = _ranges(lo, n) - np.repeat(grid, n)
-    first = np.repeat(at[:-1], n) + -(-g // 8)
-    lead = (-g) % 8
-    keep = (np.uint64(64) - np.uint64(8) * lead.astype(np.uint64)) % np.uint64(64)
-    before = np.where(lead > 0, words[np.maximum(first - 1, 0)] >> keep, np.uint64(0))
-    after = words[np.minimum(first + WORDS, total - 1)] << (np.uint64(8) * lead.astype(np.uint64))
-    key = run[first] * 8 + lead
-    sort = np.lexsort((after, before, key))
-    same = (key[sort][1:] == key[sort][:-1]) & (before[sort][1:] == before[sort][:-1]) & (after[sort][1:] == after[sort][:-1])
+    first = np.repeat(at[:-1], n) + -(-g // SYMBOL)
+    lead = (-g) % SYMBOL
+    before = back[lead, np.maximum(first - 1, 0)]
+    after = ahead[SYMBOL - lead, np.minimum(first + WORDS, total - 1)]
+    bits = np.uint64(total.bit_length())
+    if 3 * int(bits) + 6 <= 64:
+        key = (((run[first] << np.uint64(6) | lead.astype(np.uint64)) << bits | before) << bits) | after
+    else:  # a gram with long contexts; numbers do not fit one word
+        _, key = np.unique(np.stack([run[first] << np.uint64(6) | lead.astype(np.uint64), before, after], axis=1), axis=0, return_inverse=True)
+        key = key.reshape(-1)
+    sort = np.argsort(key, kind="stable")
+    same = key[sort][1:] == key[sort][:-1]
     out = np.zeros(len(key), bool)
     out[sort[1:][same]] = out[sort[:-1][same]] = True
     return out
@@ -347,7 +371,7 @@ def order_bucket(texts: pa.Table) -> np.ndarray:
     size = windows + LENGTH - 1
     start = np.cumsum(size) - size
     by = np.argsort(group, kind="stable")
-    symbols = np.cumsum(size[by] // 8 + 2)
+    symbols = np.cumsum(size[by] // SYMBOL + 2)
     ends = np.flatnonzero(np.append(group[by][1:] != group[by][:-1], True)) + 1
     bits = np.zeros((int(context.max()) + 1, 8 * _WIDTH), bool)
     i = 0
@@ -369,9 +393,9 @@ def answer(codes: pa.Table, texts: pa.Table) -> pa.Table:
     for chunk, bucket, n, blob in zip(*(codes.column(c).to_pylist() for c in ("chunk", "bucket", "entries")), codes.column("blob"), strict=True):
         code, context, _ = _read_codes(blob.as_buffer(), n)
         if (code > NONE).any():
-            rows.append((chunk, bucket, _squeeze(code.tobytes() + bits[context].tobytes(), 3)))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "blob"])
+            rows.append((chunk, bucket, n, _squeeze(code.tobytes() + bits[context].tobytes(), 3)))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "entries", "blob"])
 
 
 def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -401,45 +425,59 @@ def _text_of(chunk: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
     return ids, np.frombuffer(text, np.uint8), off
 
 
-def _entry_rows(chunk: int, g: np.ndarray, c: np.ndarray, twice: np.ndarray, bits: int, base: int = 0) -> list[tuple[int, int, bytes]]:
-    return [(chunk, base + k, g[a:b].tobytes() + c[a:b].tobytes() + twice[a:b].tobytes()) for k, a, b in _split(g, bits)]
-
-
 def _as_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "blob"])
 
 
 class _Contexts:
-    """A chunk's contexts, or single windows, in the order of their distinct hashes, with what the buckets said."""
+    """A chunk's contexts, or parts of them, with the order of their distinct hashes."""
 
-    def __init__(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, g: np.ndarray, c: np.ndarray, bits: int, base: int):
-        self.x, self.lo, self.hi, self.bits, self.base = x, lo, hi, bits, base
+    def __init__(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, g: np.ndarray, c: np.ndarray, bits: int, step: int = 0):
+        self.x, self.lo, self.hi, self.bits, self.step = x, lo, hi, bits, step
         self.g, self.c, self.twice, self.index = _distinct(g, c)
 
     def rows(self, chunk: int) -> list[tuple[int, int, bytes]]:
-        return _entry_rows(chunk, self.g, self.c, self.twice, self.bits, self.base)
+        return [(chunk, k, self.g[a:b].tobytes() + self.c[a:b].tobytes() + self.twice[a:b].tobytes()) for k, a, b in self.places()]
 
     def places(self) -> Iterator[tuple[int, int, int]]:
+        """(bucket, first, end) of the stretches of distinct hashes."""
         for k, a, b in _split(self.g, self.bits):
-            yield self.base + k, a, b
-
-
-def _of_windows(buf: np.ndarray, off: np.ndarray, starts: np.ndarray, bits: int) -> _Contexts:
-    """The windows at ``starts`` as contexts of their own, each its own gram."""
-    g, c = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = int(np.searchsorted(starts, starts[i] + PIECE, "right"))
-        a, b = int(starts[i]), int(starts[j - 1]) + LENGTH
-        p, inv = _pow(b - a + 1)
-        for values, out in ((_PLAIN, g), (_OTHER, c)):
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(values[buf[a:b]] * p[: b - a], dtype=np.uint64, out=sums[1:])
-            s = starts[i:j] - a
-            out[i:j] = mix((sums[s + LENGTH] - sums[s]) * inv[s])
-        i = j
-    return _Contexts(starts, starts, starts, mix(g * _B), c, bits, BY_WINDOW)
+            yield self.step * PARTED + k, a, b
+
+    def codes(self, said: dict[int, np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(self.g), np.uint8)
+        for k, a, b in self.places():
+            if k in said:
+                out[a:b] = said[k]
+        return out
+
+    def parted(self, code: np.ndarray, buf: np.ndarray) -> _Contexts:
+        """The parts of the contexts that are to be parted, each with the hash of what all its possible windows share."""
+        some = code[self.index] == PART
+        x, lo, hi = self.x[some], self.lo[some], self.hi[some]
+        size = STEPS[self.step + 1]
+        near, far = (x - hi) // size, (x - lo) // size
+        n = far - near + 1
+        x, lo, hi, block = np.repeat(x, n), np.repeat(lo, n), np.repeat(hi, n), _ranges(near, n)
+        last = np.minimum(block * size + size - 1, SPAN - 1)
+        begin, end = x - block * size, x - last + LENGTH
+        lo, hi = np.maximum(lo, x - last), np.minimum(hi, begin)
+        order = np.argsort(lo, kind="stable")
+        x, lo, hi, block, begin, end = (v[order] for v in (x, lo, hi, block, begin, end))
+        g, c = np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)
+        i = 0
+        while i < len(x):
+            j = int(np.searchsorted(lo, lo[i] + PIECE, "right"))
+            a, b = int(lo[i]), int(hi[i:j].max()) + LENGTH
+            p, inv = _pow(b - a + 1)
+            plain, other = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[buf[a:b]] * p[: b - a], dtype=np.uint64)]) for values in (_PLAIN, _OTHER))
+            u, v = begin[i:j] - a, end[i:j] - a
+            g[i:j] = (plain[v] - plain[u]) * inv[u] + block[i:j].astype(np.uint64) * _A
+            u, v = lo[i:j] - a, hi[i:j] + LENGTH - a
+            c[i:j] = mix((other[v] - other[u]) * inv[u] + (x - lo)[i:j].astype(np.uint64) * _A + (hi - lo)[i:j].astype(np.uint64) * _B)
+            i = j
+        return _Contexts(x, lo, hi, mix(mix(g) * _B), c, self.bits, self.step + 1)
 
 
 def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) -> DataFrame:
@@ -468,7 +506,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
             buf, off = np.concatenate([b for b, _ in texts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in texts]))]).astype(np.int64)
             chunk = part * (1 << 32) + number
             rows = [(chunk, -1, _squeeze(pickle.dumps((pa.concat_arrays(ids).to_pylist(), buf.tobytes(), off))))]
-            rows += _Contexts(*_found(buf, off), bits, 0).rows(chunk)
+            rows += _Contexts(*_found(buf, off), bits).rows(chunk)
             yield from _as_table(rows).to_batches()
             number, held, ids, texts = number + 1, 0, [], []
 
@@ -485,26 +523,25 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
                 i = j
         yield from flush()
 
-    def in_order(found: _Contexts, rows: dict[int, tuple]) -> np.ndarray:
-        """The code of each distinct context."""
-        code = np.zeros(len(found.g), np.uint8)
-        for k, a, b in found.places():
-            if k in rows:
-                code[a:b] = rows[k][0]
-        return code
-
-    def by_windows(found: _Contexts, code: np.ndarray, buf: np.ndarray, off: np.ndarray) -> _Contexts:
-        crowded = code[found.index] == BY_WINDOWS
-        lo, hi = found.lo[crowded], found.hi[crowded]
-        return _of_windows(buf, off, np.unique(_ranges(lo, hi - lo + 1)), bits)
+    def levels(buf: np.ndarray, off: np.ndarray, said: dict[int, np.ndarray]) -> Iterator[tuple[_Contexts, np.ndarray]]:
+        """The contexts with the codes that the buckets gave them, and the parts of those that were parted."""
+        level = _Contexts(*_found(buf, off), bits)
+        while True:
+            code = level.codes(said)
+            yield level, code
+            if not (code == PART).any():
+                return
+            level = level.parted(code, buf)
 
     def read(codes: pa.Table) -> dict[int, tuple]:
         return {k: _read_codes(blob.as_buffer(), n) for k, n, blob in zip(codes.column("bucket").to_pylist(), codes.column("entries").to_pylist(), codes.column("blob"), strict=True)}
 
-    def split_hot(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
+    def part(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
+        """The entries of the parts that have no codes yet."""
         _, buf, off = _text_of(chunk)
-        found = _Contexts(*_found(buf, off), bits, 0)
-        return _as_table(by_windows(found, in_order(found, read(codes)), buf, off).rows(chunk.column("chunk")[0].as_py()))
+        said = {k: code for k, (code, _, _) in read(codes).items()}
+        level, _ = list(levels(buf, off, said))[-1]
+        return _as_table(level.rows(chunk.column("chunk")[0].as_py()))
 
     def ship(key, chunk: pa.Table, codes: pa.Table) -> pa.Table:
         """The texts that the buckets asked for."""
@@ -512,18 +549,14 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
             return _as_table([])
         _, buf, off = _text_of(chunk)
         said, rows = read(codes), []
-        found = _Contexts(*_found(buf, off), bits, 0)
-        levels = [found]
-        if any(k >= BY_WINDOW for k in said):
-            levels.append(by_windows(found, in_order(found, said), buf, off))
-        for level in levels:
+        for level, _ in levels(buf, off, {k: code for k, (code, _, _) in said.items()}):
             order = np.argsort(level.index, kind="stable")
             first = np.searchsorted(level.index[order], np.arange(len(level.g)))
             for k, a, _ in level.places():
                 if k not in said:
                     continue
                 code, context, group = said[k]
-                some = np.flatnonzero((code > NONE) & (code < BY_WINDOWS))
+                some = np.flatnonzero((code > NONE) & (code < PART))
                 one, two = code[some] >= SHIP, code[some] == SHIP_TWO
                 at = np.concatenate([order[first[a + some[one]]], order[first[a + some[two]] + 1]])
                 if len(at):
@@ -534,41 +567,45 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
         ids, buf, off = _text_of(chunk)
         gone = np.zeros(len(buf), bool)
         if answers.num_rows:
-            said = dict(zip(answers.column("bucket").to_pylist(), map(_unsqueeze, answers.column("blob")), strict=True))
-            level, windows = _Contexts(*_found(buf, off), bits, 0), False
-            while True:
-                code, known = np.zeros(len(level.g), np.uint8), np.zeros((len(level.g), _WIDTH), np.uint8)
-                for k, a, b in level.places():
-                    if k in said:
-                        code[a:b] = np.frombuffer(said[k], np.uint8, b - a)
-                        known[a + np.flatnonzero((code[a:b] > NONE) & (code[a:b] < BY_WINDOWS))] = np.frombuffer(said[k], np.uint8, -1, b - a).reshape(-1, _WIDTH)
-                context, offset = np.nonzero(np.unpackbits(known, axis=1))
+            blobs, said = {}, {}
+            for k, n, blob in zip(answers.column("bucket").to_pylist(), answers.column("entries").to_pylist(), answers.column("blob"), strict=True):
+                blobs[k] = _unsqueeze(blob)
+                said[k] = np.frombuffer(blobs[k], np.uint8, n)
+            for level, _ in levels(buf, off, said):
                 order = np.argsort(level.index, kind="stable")
                 first = np.searchsorted(level.index[order], np.arange(len(level.g) + 1))
-                copies = (first[1:] - first[:-1])[context]
-                hit = level.lo[order[_ranges(first[context], copies)]] + np.repeat(offset, copies)
-                gone |= _marked(len(buf), hit, hit)
-                if windows or not (code == BY_WINDOWS).any():
-                    break
-                level, windows = by_windows(level, code, buf, off), True
+                for k, a, b in level.places():
+                    if k not in said:
+                        continue
+                    known = np.frombuffer(blobs[k], np.uint8, -1, b - a).reshape(-1, _WIDTH)
+                    context, offset = np.nonzero(np.unpackbits(known, axis=1))
+                    context = a + np.flatnonzero((said[k] > NONE) & (said[k] < PART))[context]
+                    copies = (first[1:] - first[:-1])[context]
+                    hit = level.lo[order[_ranges(first[context], copies)]] + np.repeat(offset, copies)
+                    gone |= _marked(len(buf), hit, hit)
         return _result(pa.array(ids, pa.int64()), buf, off, gone, with_kept)
 
+    def judging(limit: int):
+        return lambda t: judge(t, limit)
+
     entries = "chunk long, bucket long, blob binary"
     judged = f"{entries}, entries long, hot long"
     with settings(base.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
         packed = materialize(base.mapInArrow(survey, entries), "chunks")
     texts = packed.where("bucket < 0").select("chunk", "blob")
-    codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: judge(t, hot), judged), "codes")
+    codes = materialize(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(judging(hot), judged), "codes")
     made = [codes]
-    crowded = codes.where("hot > 0")
-    if crowded.limit(1).count():
-        some = texts.join(crowded.select("chunk").distinct(), "chunk", "left_semi")
-        single = some.groupBy("chunk").cogroup(crowded.groupBy("chunk")).applyInArrow(split_hot, entries)
-        more = single.groupBy("bucket").applyInArrow(lambda t: judge(t, hot), judged)
-        made.append(materialize(more, "codes"))
-        codes = codes.unionByName(made[1])
+    for step in range(1, len(STEPS)):
+        crowded = made[-1].where("hot > 0").select("chunk").distinct()
+        if not crowded.limit(1).count():
+            break
+        some = texts.join(crowded, "chunk", "left_semi")
+        entered = some.groupBy("chunk").cogroup(codes.join(crowded, "chunk", "left_semi").groupBy("chunk")).applyInArrow(part, entries)
+        limit = hot if step + 1 < len(STEPS) else 1 << 62  # a window's copies are one context
+        made.append(materialize(entered.groupBy("bucket").applyInArrow(judging(limit), judged), "codes"))
+        codes = codes.unionByName(made[-1])
     sent = texts.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(ship, entries)
-    answers = materialize(codes.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b), entries), "answers")
+    answers = materialize(codes.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b), "chunk long, bucket long, entries long, blob binary"), "answers")
     drop(*made)
     out = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, _OUT)
     return out if with_kept else out.drop("kept")
