@@ -4,17 +4,25 @@ Pages of a host with the same set of block element names share a layout; inline
 the fewest blocks is the wrapper of its layout, for the MAX_WRAPPERS most common layouts of the host that have
 OWN_WRAPPER different pages, and for the most common one in any case. Pages of other layouts belong to the wrapper of
 their host that is most like their layout's smallest page. Every page's block tree is aligned with its wrapper by simple
-tree matching (the largest order-keeping match of equal labels), and the pages that show each text under each wrapper
-node are counted. A text is template at a node if at least MIN_PAGES different pages show it there and at most one in
-MAX_SHARE of the pages that have text there shows another; every other text is kept, also at such a node. The main text
-is what is kept, inside the article or main element where there is one, and outside elements that say by tag that they
-are menus, headers, footers, sidebars or forms. An element that says so by its role, its id or one of its classes, each
-taken whole, is looked into for an article or main element only if there is none elsewhere; it is not dropped, as
-alignment finds its constant texts. Page blocks that match no wrapper node vary by definition.
+tree matching (the largest order-keeping match of equal labels). A wrapper node, and the unmatched blocks below one taken
+together, are slots. Over the pages of a wrapper, counted once if all their texts are equal:
+
+- a text is constant if MIN_PAGES pages show it in its slot and at most one in MAX_SHARE of the pages that fill the slot
+  shows another;
+- a slot recurs if MIN_RECURRING pages fill it and it holds at most one different text for every RECURS of them (menus,
+  adverts and closing lines drawn from a stock); other slots that one page in ten fills vary;
+- the content runs from the first varying slot to the last, in page order.
+
+Constant texts are template, and so are the texts of recurring slots outside the content: a byline between a headline and
+the paragraphs stays. Tags and names are the prior where they say something: an article or main element is the content,
+and in it only what stands in an element that says by its role, its id or one of its classes (each taken whole) that it is
+not main text can be template; elements that say by tag that they are menus, headers, footers, sidebars or forms go. Pages
+without an article or main element lose elements marked so by name if the rest holds more text. ``tags=False`` leaves all
+of this out, so that alignment alone decides.
 
 So all pages of a host are aligned, however few have a layout. Four passes read the pages; wrappers join them by host
 and layout, and only hashes of texts are shuffled, keyed by the text, so a host with a third of all pages is spread over
-all tasks.
+all tasks. No part of a page is too deep or too long to be read; nothing here calls itself.
 """
 
 from __future__ import annotations
@@ -34,8 +42,8 @@ from chronograph.llm.storage import materialize
 MIN_PAGES = 5  # different pages that show a text before it counts as template
 OWN_WRAPPER = 20  # different pages of a layout before it has a wrapper beside that of the host's most common layout
 MAX_WRAPPERS = 8  # of a host; bounds the comparisons, not the pages that are aligned
-MAX_DEPTH = 200  # blocks nested deeper become siblings
-MAX_SHARE = 20  # template: of the pages with text at a node, at most one in so many shows another text
+MAX_SHARE = 20  # constant: of the pages with text in a slot, at most one in so many shows another text
+MIN_RECURRING, RECURS = 15, 3  # pages that fill a slot before it may recur, and how often each of its texts is shown on average
 
 # HTML's element kinds, and words that mark what is not main text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -74,7 +82,7 @@ def _described(attrs: str) -> tuple[str, bool, bool]:
 def parse(html: str) -> Node:
     """The block tree of a page. Inline markup is transparent, unclosed and misnested elements end as in browsers."""
     root = Node("#", "#", False)
-    stack, pos, in_main, over = [root], 0, 0, 0
+    stack, pos, in_main = [root], 0, 0
     while True:
         m = _TOKEN.search(html, pos)
         if m is None:
@@ -86,10 +94,6 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            if over and tag in BLOCKS:
-                over -= 1
-                stack[-1].parts.append(Node("div", "div", False))
-                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if stack[k].depth:
@@ -126,9 +130,7 @@ def parse(html: str) -> Node:
         node = Node(tag, f"{tag}.{first}" if first else tag, dropped, marked)
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
-        if len(stack) >= MAX_DEPTH and tag not in VOID:
-            over += block
-        elif tag not in VOID:
+        if tag not in VOID:
             stack.append(node)
             in_main += tag in ("article", "main")
     if pos < len(html):
@@ -136,71 +138,116 @@ def parse(html: str) -> Node:
     return root
 
 
-def skeleton(node: Node) -> list:
-    """The labels of a tree, as nested lists."""
-    return [node.label, [skeleton(k) for k in node.kids]] if node.kids else [node.label]
+def in_order(root: Node | Wrapper) -> list:
+    """The nodes of a tree, each before its children."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += reversed(node.kids)
+    return out
 
 
-def _size(node: Node | Wrapper) -> int:
-    return 1 + sum(_size(k) for k in node.kids)
+def skeleton(root: Node) -> list:
+    """The labels of a tree's nodes in order, and the number of each one's parent."""
+    nodes = in_order(root)
+    number = {id(n): i for i, n in enumerate(nodes)}
+    parents = [-1] * len(nodes)
+    for i, n in enumerate(nodes):
+        for k in n.kids:
+            parents[number[id(k)]] = i
+    return [[n.label for n in nodes], parents]
 
 
 class Wrapper:
-    """A skeleton with numbered nodes, ready for matching."""
+    """A numbered node of a skeleton, ready for matching."""
+
+    __slots__ = ("by_label", "kids", "label", "number")
 
-    __slots__ = ("kids", "label", "number")
+    def __init__(self, label: str, number: int):
+        self.label, self.number, self.kids, self.by_label = label, number, [], {}
 
-    def __init__(self, tree: list, counter: list[int] | None = None):
-        counter = counter or [0]
-        self.label, self.number = tree[0], counter[0]
-        counter[0] += 1
-        self.kids = [Wrapper(t, counter) for t in tree[1]] if len(tree) > 1 else []
+    @staticmethod
+    def of(tree: list) -> Wrapper:
+        nodes = [Wrapper(label, i) for i, label in enumerate(tree[0])]
+        for node, parent in zip(nodes[1:], tree[1][1:], strict=True):
+            nodes[parent].kids.append(node)
+            nodes[parent].by_label.setdefault(node.label, []).append(node)
+        return nodes[0]
 
 
 def _score(a: Node | Wrapper, b: Wrapper, memo: dict) -> int:
-    """Simple tree matching: the nodes in the largest match of two trees that keeps order and parents."""
+    """Simple tree matching: the nodes in the largest match of two trees that keeps order and parents. ``memo`` holds the
+    scores of pairs with children."""
     if a.label != b.label:
         return 0
-    if not a.kids or not b.kids:
-        return 1
-    key = (id(a), b.number)
-    if (found := memo.get(key)) is None:
-        found = memo[key] = 1 + _table(a.kids, b.kids, memo)[-1][-1]
-    return found
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        if not x.kids or not y.kids or (id(x), y.number) in memo:
+            stack.pop()
+            continue
+        open_ = [(k, m) for k in x.kids if k.kids for m in y.by_label.get(k.label, ()) if m.kids and (id(k), m.number) not in memo]
+        if open_:
+            stack += open_
+        else:
+            memo[id(x), y.number] = 1 + _table(x.kids, y.kids, memo)[-1][-1]
+            stack.pop()
+    return memo.get((id(a), b.number), 1)
 
 
-def _table(xs: list[Node], ys: list[Wrapper], memo: dict) -> list[list[int]]:
+def _table(xs: list, ys: list[Wrapper], memo: dict) -> list[list[int]]:
     rows = [[0] * (len(ys) + 1)]
     for x in xs:
         above, row = rows[-1], [0]
         for j, y in enumerate(ys):
             best = max(row[j], above[j + 1])
             if x.label == y.label:
-                best = max(best, above[j] + _score(x, y, memo))
+                best = max(best, above[j] + memo.get((id(x), y.number), 1))
             row.append(best)
         rows.append(row)
     return rows
 
 
-def align(a: Node, b: Wrapper, out: dict[int, int], memo: dict) -> None:
-    """Fill ``out`` with the wrapper node of each matched page node, by id."""
-    out[id(a)] = b.number
-    if not a.kids or not b.kids:
-        return
-    rows, i, j = _table(a.kids, b.kids, memo), len(a.kids), len(b.kids)
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            align(a.kids[i - 1], b.kids[j - 1], out, memo)
-            i, j = i - 1, j - 1
+def align(a: Node, b: Wrapper) -> dict[int, int]:
+    """The wrapper node of each matched page node, by id."""
+    out, memo = {}, {}
+    if not _score(a, b, memo):
+        return out
+    stack = [(a, b)]
+    while stack:
+        x, y = stack.pop()
+        out[id(x)] = y.number
+        if not x.kids or not y.kids:
+            continue
+        rows, i, j = _table(x.kids, y.kids, memo), len(x.kids), len(y.kids)
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                stack.append((x.kids[i - 1], y.kids[j - 1]))
+                i, j = i - 1, j - 1
+    return out
 
 
 def _likeness(a: Wrapper, b: Wrapper) -> float:
     """The share of two trees' nodes that their largest match holds."""
-    return 2 * _score(a, b, {}) / (_size(a) + _size(b))
+    return 2 * _score(a, b, {}) / (len(in_order(a)) + len(in_order(b)))
+
+
+def slots(root: Node, matched: dict[int, int]) -> dict[int, int]:
+    """The slot of each node, by id: the number of its wrapper node, or -1 - the number of the wrapper node of its nearest
+    matched ancestor."""
+    out, stack = {}, [(root, 0)]
+    while stack:
+        node, above = stack.pop()
+        number = matched.get(id(node))
+        out[id(node)] = -1 - above if number is None else number
+        above = above if number is None else number
+        stack += [(k, above) for k in node.kids]
+    return out
 
 
 def _own_text(node: Node) -> str:
@@ -211,19 +258,27 @@ def _key(label: str) -> int:
     return int.from_bytes(hashlib.blake2b(label.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _mains(node: Node, marked: bool = False) -> list[Node]:
-    """The outermost article or main elements outside dropped ones, and outside marked ones unless ``marked``; an article
-    inside main goes first."""
-    if node.dropped or node.marked and not marked:
-        return []
-    if node.tag == "article":
-        return [node]
-    found = [m for k in node.kids for m in _mains(k, marked)]
-    return found or ([node] if node.tag == "main" else [])
+def _mains(root: Node, marked: bool = False) -> list[Node]:
+    """The outermost article elements outside dropped elements, and outside marked ones unless ``marked``; a main element
+    counts where it holds no article."""
+    found, stack = [], [(root, ())]
+    while stack:
+        node, mains = stack.pop()
+        if node.dropped or node.marked and not marked:
+            continue
+        if node.tag == "article":
+            found.append((node, mains))
+            continue
+        mains = (*mains, node) if node.tag == "main" else mains
+        if node.tag == "main":
+            found.append((node, mains[:-1]))
+        stack += [(k, mains) for k in reversed(node.kids)]
+    outer = {id(m) for _, mains in found for m in mains}
+    return [n for n, _ in found if id(n) not in outer]
 
 
-def main_text(root: Node, matched: dict[int, int], template: dict[int, int]) -> str:
-    """The text of a page without the texts (hashes, by wrapper node) that are template."""
+def _blocks(tops: list[Node], tags: bool, gone) -> list[str]:
+    """The texts of the blocks below ``tops`` in page order, without what ``gone(node, whether in a marked element)`` says."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -232,33 +287,52 @@ def main_text(root: Node, matched: dict[int, int], template: dict[int, int]) ->
             blocks.append(text)
         run.clear()
 
-    def walk(node: Node) -> None:
-        if node.dropped:
-            if node.tag not in BLOCKS:
-                return
+    for top in tops:
+        stack: list = [(top, False)]
+        while stack:
+            part, inside = stack.pop()
+            if isinstance(part, str):
+                run.append(part)
+                continue
+            if part is None:
+                flush()
+                continue
+            if part.dropped and (tags or part.tag not in BLOCKS):
+                if part.tag in BLOCKS:
+                    flush()
+                continue
+            if part.tag not in BLOCKS and part.tag != "#":
+                continue
+            inside = inside or part.marked
+            hidden = gone(part, inside)
             flush()
-            return
-        constant = (known := template.get(matched.get(id(node)))) is not None and known == _key(_own_text(node))
-        flush()
-        for p in node.parts:
-            if isinstance(p, str):
-                if not constant:
-                    run.append(p)
-            elif p.tag in BLOCKS:
-                walk(p)
+            stack.append((None, False))
+            stack += [(p, inside) for p in reversed(part.parts) if not (hidden and isinstance(p, str))]
         flush()
+    return blocks
+
 
-    for top in _mains(root) or _mains(root, True) or [root]:
-        walk(top)
-    return "\n\n".join(blocks)
+def main_text(root: Node, slot: dict[int, int], constant: dict[int, int], outside: set[int], tags: bool = True) -> str:
+    """The text of a page without what is template: the constant texts (hashes, by slot), and the slots that recur outside
+    the content."""
+    same = lambda n: constant.get(slot[id(n)]) == _key(_own_text(n)) if slot[id(n)] in constant else False
+    if tags and (tops := _mains(root) or _mains(root, True)):
+        return "\n\n".join(_blocks(tops, tags, lambda n, inside: inside and same(n)))
+    template = lambda n: slot[id(n)] in outside or same(n)
+    whole = _blocks([root], tags, lambda n, inside: template(n))
+    if tags:
+        plain = _blocks([root], tags, lambda n, inside: inside or template(n))
+        if 2 * sum(map(len, plain)) > sum(map(len, whole)):
+            return "\n\n".join(plain)
+    return "\n\n".join(whole)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     A null html is empty and gives an empty text; a null url, or one without ``://``, belongs to the host named "";
-    repeated pages count once in the statistics and each give their row; an empty table gives no rows. Blocks nested
-    deeper than MAX_DEPTH are flattened.
+    repeated pages count once in the statistics and each give their row; other columns are passed over; an empty table
+    gives no rows.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     base = base.withColumn("host", F.xxhash64(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))))
@@ -271,7 +345,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for html, *key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 root, key = parse(html), tuple(key)
-                n = _size(root)
+                n = len(in_order(root))
                 if key not in best or n <= best[key][0]:
                     candidate = (n, json.dumps(skeleton(root), separators=(",", ":")))
                     best[key] = min(best.get(key, candidate), candidate)
@@ -303,16 +377,9 @@ def extract(pages: DataFrame) -> DataFrame:
         seen: set[tuple[int, int, int, int, int]] = set()
         for batch in batches:
             for html, host, wrapper, tree in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                root, matched = _aligned(html, tree)
-                texts, at, stack = [], [], [root]
-                while stack:
-                    node = stack.pop()
-                    stack += node.kids
-                    if not node.dropped and (text := _own_text(node)):
-                        texts.append(h := _key(text))
-                        if (number := matched.get(id(node))) is not None:
-                            at.append((number, h))
-                page = _key(str(sorted(texts)))
+                root, slot = _aligned(html, tree)
+                at = [(slot[id(node)], _key(text)) for node in in_order(root) if (text := _own_text(node))]
+                page = _key(str(sorted(h for _, h in at)))
                 seen.update((host, wrapper, number, h, page) for number, h in at)
             if len(seen) > 200_000:
                 yield _counted(seen)
@@ -320,23 +387,34 @@ def extract(pages: DataFrame) -> DataFrame:
         yield _counted(seen)
 
     joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "wrapper", "tree")
-    texts = joined.mapInArrow(observe, "host long, wrapper long, node long, text long, page long").distinct()
-    counts = materialize(texts.groupBy("host", "wrapper", "node", "text").agg(F.count("*").alias("n")), "texts")
-    filled = counts.groupBy("host", "wrapper", "node").agg(F.sum("n").alias("filled"))
-    constant = counts.where(F.col("n") >= MIN_PAGES).join(filled, ["host", "wrapper", "node"]).where((F.col("filled") - F.col("n")) * MAX_SHARE <= F.col("filled"))
-    constant = constant.groupBy("host", "wrapper").agg(F.sort_array(F.collect_list(F.struct("node", "text"))).alias("known"))
-    constant = constant.select("host", "wrapper", F.col("known.node").alias("nodes"), F.col("known.text").alias("texts"))
-    final = materialize(wrappers.join(constant, ["host", "wrapper"], "left").select("host", "layout", "tree", "nodes", "texts"), "wrappers")
+    texts = joined.mapInArrow(observe, "host long, wrapper long, slot long, text long, page long").distinct()
+    texts = materialize(texts, "texts")
+    counts = texts.groupBy("host", "wrapper", "slot", "text").agg(F.count("*").alias("n"))
+    pages_of = texts.groupBy("host", "wrapper", "slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "wrapper", "slot").agg(F.count("*").alias("filled"))
+    total = texts.select("host", "wrapper", "page").distinct().groupBy("host", "wrapper").agg(F.count("*").alias("total"))
+    held = counts.groupBy("host", "wrapper", "slot").agg(F.count("*").alias("texts"), F.sum("n").alias("shown"))
+    held = materialize(held.join(pages_of, ["host", "wrapper", "slot"]).join(total, ["host", "wrapper"]), "slots")
+    constant = counts.where(F.col("n") >= MIN_PAGES).join(held, ["host", "wrapper", "slot"]).where((F.col("filled") - F.col("n")) * MAX_SHARE <= F.col("filled"))
+    constant = constant.groupBy("host", "wrapper").agg(F.sort_array(F.collect_list(F.struct("slot", "text"))).alias("known"))
+    recurs = (F.col("filled") >= MIN_RECURRING) & (F.col("texts") * RECURS <= F.col("shown"))
+    place = F.when(F.col("slot") < 0, -1 - F.col("slot")).otherwise(F.col("slot"))
+    held = held.select("host", "wrapper", "slot", place.alias("place"), recurs.alias("recurs"), (~recurs & (F.col("filled") * 10 >= F.col("total"))).alias("varies"))
+    content = held.where("varies").groupBy("host", "wrapper").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    outside = held.where("recurs").join(content, ["host", "wrapper"]).where("place < first or place > last")
+    outside = outside.groupBy("host", "wrapper").agg(F.sort_array(F.collect_list("slot")).alias("outside"))
+    constant = constant.select("host", "wrapper", F.col("known.slot").alias("slots"), F.col("known.text").alias("texts"))
+    final = wrappers.join(constant, ["host", "wrapper"], "left").join(outside, ["host", "wrapper"], "left")
+    final = materialize(final.select("host", "layout", "tree", "slots", "texts", "outside"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for html, tree, nodes, texts in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                root, matched = _aligned(html, tree)
-                out.append(main_text(root, matched, dict(zip(nodes or (), texts or (), strict=True))))
+            for html, tree, numbers, texts, outside in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                root, slot = _aligned(html, tree)
+                out.append(main_text(root, slot, dict(zip(numbers or (), texts or (), strict=True)), set(outside or ()), tags))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    out = base.join(final, ["host", "layout"]).select("page_id", "url", "html", "tree", "nodes", "texts").mapInArrow(take, "page_id long, url string, text string")
+    out = base.join(final, ["host", "layout"]).select("page_id", "url", "html", "tree", "slots", "texts", "outside").mapInArrow(take, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
@@ -347,16 +425,14 @@ def _wrapper(tree: str) -> Wrapper:
     if tree not in _wrappers:
         if len(_wrappers) > 1000:
             _wrappers.clear()
-        _wrappers[tree] = Wrapper(json.loads(tree))
+        _wrappers[tree] = Wrapper.of(json.loads(tree))
     return _wrappers[tree]
 
 
 def _aligned(html: str, tree: str) -> tuple[Node, dict[int, int]]:
-    """A page's block tree, and the wrapper node of each of its matched nodes."""
+    """A page's block tree, and the slot of each of its nodes."""
     root = parse(html)
-    matched: dict[int, int] = {}
-    align(root, _wrapper(tree), matched, {})
-    return root, matched
+    return root, slots(root, align(root, _wrapper(tree)))
 
 
 def _packed(best: dict[tuple[int, int], tuple[int, str]]) -> pa.RecordBatch:
@@ -367,4 +443,4 @@ def _packed(best: dict[tuple[int, int], tuple[int, str]]) -> pa.RecordBatch:
 
 def _counted(seen: set[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*seen, strict=True)) if seen else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "wrapper", "node", "text", "page"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "wrapper", "slot", "text", "page"])

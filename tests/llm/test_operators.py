@@ -3,6 +3,7 @@ long texts, ties, repeated rows and clashing extra columns, and on empty tables.
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -127,7 +128,7 @@ def test_html_extraction(spark):
     rows = [(i, f"http://h/{i}", page(i), "x") for i in range(40)] + [(40, None, None, "x"), (41, "nowhere", "", "x"), (42, "http://h/q", "<p>open <div>x" * 300, "x"), (43, "http://o/", "plain  text", "x")]
     got = {r["page_id"]: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert len(got) == 44 and all(r["n_chars"] == len(r["text"]) for r in got.values())
-    assert got[7]["text"] == "Title 7\n\nBody of 7 & more"
+    assert got[7]["text"] == "Title 7\n\nBody of 7 & more\n\nSame line on all pages"
     assert (got[40]["text"], got[41]["text"], got[43]["text"]) == ("", "", "plain text")
 
 
@@ -141,7 +142,7 @@ def test_html_extraction_keeps_texts_that_differ(spark):
     page = lambda i, bare, by: f"<html><body><article>{bare}<h1>Title {i}</h1><h2>{by}</h2><p>Body {i}</p></article></body></html>"
     got = extracted(spark, [(f"http://h/{i}", page(i, "Bare words" if i == 3 else "", f"By writer {i % 2}")) for i in range(60)] + [(f"http://g/{i}", page(i, "", "Filed by the desk" if i else "A guest")) for i in range(60)])
     assert got[3] == "Bare words\n\nTitle 3\n\nBy writer 1\n\nBody 3" and got[4] == "Title 4\n\nBy writer 0\n\nBody 4"
-    assert got[60] == "Title 0\n\nA guest\n\nBody 0" and got[61] == "Title 1\n\nBody 1"
+    assert got[60] == "Title 0\n\nA guest\n\nBody 0" and got[61] == "Title 1\n\nFiled by the desk\n\nBody 1"
 
 
 def test_html_extraction_aligns_all_pages_of_a_host(spark):
@@ -163,6 +164,60 @@ def test_html_extraction_keeps_marked_elements_that_hold_text(spark):
     assert got[24] == "Words 0" and got[30] == "Real\n\nreader"
 
 
+STOCK = [f"offer {k} of the week" for k in range(6)]
+
+
+def plain_page(i):
+    """A page without a telling tag or name: menu and advert from a stock, a headline, a byline, an optional box, closing lines."""
+    menu = "".join(f"<li>{STOCK[(i + k) % 6]}</li>" for k in range(3))
+    box = f"<div class=k><p>Only page {i} says this</p></div>" if i % 25 == 3 else ""
+    return f"<html><body><div class=a><ul>{menu}</ul></div><div class=b>{STOCK[i % 6]}</div><div class=c><h1>Head {i}</h1><p>By writer {i % 2}</p>{box}<p>First {i}</p><p>Second {i * 7}</p></div><div class=d>Kept by host, {STOCK[i % 5]}</div><div class=e>All rights kept</div></body></html>"
+
+
+def test_html_extraction_by_alignment_alone(spark):
+    ship_package(spark)
+    frame = spark.createDataFrame([(i, f"http://h/{i}", plain_page(i)) for i in range(100)], "page_id long, url string, html string")
+    for tags in (True, False):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(frame, tags).collect()}
+        for i, text in got.items():
+            box = [f"Only page {i} says this"] if i % 25 == 3 else []
+            assert text.split("\n\n") == [f"Head {i}", f"By writer {i % 2}", *box, f"First {i}", f"Second {i * 7}"], (tags, i)
+
+
+def test_html_extraction_of_deep_pages(spark):
+    page = lambda i: "<div>" * 3000 + f"<p>Deep {i}</p><nav>Menu {i}</nav>" + "</div>" * 3000
+    got = extracted(spark, [(f"http://h/{i}", page(i)) for i in range(3)])
+    assert got == {i: f"Deep {i}" for i in range(3)}
+
+
+def brute_match(a, b):
+    """The largest match of two trees (label, children) that keeps order and parents, by trying all."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(xs, ys):
+        if not xs or not ys:
+            return 0
+        return max(best(xs[1:], ys), best(xs, ys[1:]), brute_match(xs[0], ys[0]) + best(xs[1:], ys[1:]))
+
+    return 1 + best(a[1], b[1])
+
+
+def test_tree_matching_is_the_largest():
+    rng = random.Random(5)
+
+    def tree(depth):
+        return rng.choice(("div", "p", "ul")), [tree(depth - 1) for _ in range(rng.randrange(4 if depth else 1))]
+
+    html = lambda t: f"<{t[0]}>{''.join(map(html, t[1]))}</{t[0]}>" if t[0] != "p" else "<p></p>"
+    plain = lambda n: (n.label, [plain(k) for k in n.kids])
+    for _ in range(300):
+        a, b = (html_extract.parse(html(tree(3))) for _ in range(2))
+        w = html_extract.Wrapper.of(html_extract.skeleton(b))
+        matched = html_extract.align(a, w)
+        assert len(matched) == html_extract._score(a, w, {}) == brute_match(plain(a), plain(b))
+
+
 def test_classifier_on_held_out_rows(spark, docs, labels):
     scored = q.op7_quality_classifier(spark, "/root/testdata/sf0.01").join(q.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null"), "doc_id").where("held_out")
     rows = scored.select("score", "quality").collect()
