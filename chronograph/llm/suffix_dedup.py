@@ -398,12 +398,14 @@ def answer(codes: pa.Table, texts: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "entries", "blob"])
 
 
-def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Bytes of n that windows starting in any [lo, hi] cover."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _marked(n: int, starts: np.ndarray) -> np.ndarray:
+    """Bytes of n that windows at ``starts`` cover."""
+    if not len(starts):
+        return np.zeros(n, bool)
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1] > 0
+    step = edge.astype(np.int32)
+    step[LENGTH:] -= edge[: n + 1 - LENGTH]
+    return np.cumsum(step[:n]) > 0
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -567,7 +569,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
         ids, buf, off = _text_of(chunk)
         gone = np.zeros(len(buf), bool)
         if answers.num_rows:
-            blobs, said = {}, {}
+            blobs, said, hits = {}, {}, []
             for k, n, blob in zip(answers.column("bucket").to_pylist(), answers.column("entries").to_pylist(), answers.column("blob"), strict=True):
                 blobs[k] = _unsqueeze(blob)
                 said[k] = np.frombuffer(blobs[k], np.uint8, n)
@@ -581,8 +583,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot: int = HOT) ->
                     context, offset = np.nonzero(np.unpackbits(known, axis=1))
                     context = a + np.flatnonzero((said[k] > NONE) & (said[k] < PART))[context]
                     copies = (first[1:] - first[:-1])[context]
-                    hit = level.lo[order[_ranges(first[context], copies)]] + np.repeat(offset, copies)
-                    gone |= _marked(len(buf), hit, hit)
+                    hits.append(level.lo[order[_ranges(first[context], copies)]] + np.repeat(offset, copies))
+            gone = _marked(len(buf), np.concatenate(hits)) if hits else gone
         return _result(pa.array(ids, pa.int64()), buf, off, gone, with_kept)
 
     def judging(limit: int):
