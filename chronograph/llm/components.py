@@ -12,18 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node with an edge; label is the smallest node of its component.
 
     ``edges`` has long columns a and b; loops, repeated and reversed edges are allowed. Nothing is gathered: each half
     round is a keyed minimum (combined before the shuffle) and a join back, which adaptive execution splits at hubs.
-    Rounds grow with the logarithm of the components' diameter; each is written to the shared folder.
+    Rounds go on until nothing changes; their number grows with the logarithm of the components' diameter. Each is written
+    to the shared folder. No edges give no rows.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.union(e.select("b", "a").toDF("a", "b"))
         low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         large = both.join(low, F.col("a") == F.col("k")).where("b > a").select(F.col("b").alias("a"), F.least("m", "k").alias("b")).distinct()

@@ -1,18 +1,18 @@
 """N-gram Jaccard self-join with rare-first prefix filtering, and its connected components.
 
-A document's set is its distinct word shingles. Documents with equal sets are one node from the start. Then:
+A document's set is its distinct word shingles. Documents with equal sets are one node from the start, named by their
+smallest id. Then:
 
-1. Document frequencies. Shingles of a chunk of documents (a few million) travel as packed 32-bit remainders to hash
-   buckets, whose number follows the corpus; a bucket counts and sends back, per chunk, only shingles that occur in
-   several sets. Every document thus knows the global frequency of each of its shingles, at about five bytes of shuffle
-   per shingle.
+1. Document frequencies. Each chunk of documents (a few million shingles) sends every distinct shingle once, as a packed
+   32-bit remainder with a count, to hash buckets, whose number follows the corpus; a bucket adds up and sends back a byte of
+   rarity for each. A shingle that a third of all documents share costs a bucket one entry per chunk, not per document.
 2. Prefixes. Shingles are ordered rare first. Two sets of similarity t share one of the first n - ceil(t*n) + 1; those
    that occur once can't be shared, so only the rest of the prefix is posted.
 3. Candidates. Postings meet by token. Length and positional filters come first, then the suffix filter: two bounds on
    the symmetric difference, from the parities of 512 hash cells and from the counts of 64 hash ranges.
    A first round pairs each token's most connected node with the others (as many pairs as postings), verifies, and
-   contracts components; a second compares what is still apart in blocks of bounded size, so a group of thousands of
-   near copies does not become all its pairs.
+   contracts components; a second compares what is still apart in blocks of bounded size and like set sizes, the blocks of a
+   common token in a grid of tasks, so a group of thousands of near copies does not become all its pairs.
 4. Verification. Each remaining pair is verified once, on the whole shingle sets of its two representatives.
 """
 
@@ -23,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronograph.llm.components import components
-from chronograph.llm.storage import drop, materialize
-from chronograph.llm.text import hashed_words, mix, shingles, word_count, words
+from chronograph.llm.storage import drop, materialize, unused
+from chronograph.llm.text import hashed_words, mix, shingles
 
 CHUNK = 2_000_000  # shingles whose frequencies are looked up together
 PER_BUCKET = 1_000_000  # shingles counted together
 BLOCK = 128  # postings compared at once
+HOT_NODES = 100_000  # sets that are broadcast at most, as they have so many copies
 CELLS, RANGES = 512, 64
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
@@ -110,16 +111,20 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
             head = [np.array([len(known)], np.int64), known.fill_null(0).to_numpy(), known.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(nodes).view(np.int64), np.concatenate(sizes).astype(np.int64)]
             blob = np.concatenate(head).tobytes() + np.concatenate(sigs).tobytes()
             h, r = np.concatenate(hashes), np.concatenate(rows)
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")  # rows stay ascending within a bucket
-            rest, r, bucket = ((h >> shift) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order], r[order].astype(np.uint32), bucket[order]
+            order = np.argsort(h, kind="stable")
+            keys, r = h[order] >> shift, r[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            blob += np.array([len(keys)], np.int64).tobytes() + times.astype(np.uint32).tobytes() + r.astype(np.uint32).tobytes()
+            bucket = (keys >> np.uint64(32)).astype(np.int64)
+            rest, seen_in = keys.astype(np.uint32), np.minimum(times, 65535).astype(np.uint16)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(bucket))[: len(starts)]
             keys, blobs = [-1], [blob]
             for a, b in zip(starts, ends, strict=True):
-                gaps = np.diff(r[a:b], prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T  # byte planes; all but one are nearly empty
                 keys.append(int(bucket[a]))
-                blobs.append(rest[a:b].tobytes() + gaps.tobytes())
+                blobs.append(rest[a:b].tobytes() + seen_in[a:b].tobytes())
             name = part * (1 << 32) + chunk
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.int64()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "bucket", "blob"])
             chunk, held, base, ids, nodes, sizes, sigs, hashes, rows = chunk + 1, 0, 0, [], [], [], [], [], []
@@ -146,46 +151,50 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    def read(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(blob) // 8
-        gaps = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 4 * n).reshape(4, n).T).view(np.uint32).ravel()
-        return np.frombuffer(blob, np.uint32, n), np.cumsum(gaps, dtype=np.uint32)
-
     def count(table: pa.Table) -> pa.Table:
+        """A byte of rarity for each entry, 0 for a shingle of one set, and the remainders of the others."""
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
             return table
-        blobs = [read(b.as_buffer()) for b in table.column("blob")]
-        _, inverse, n = np.unique(np.concatenate([x for x, _ in blobs]), return_inverse=True, return_counts=True)
-        rarity = np.minimum(255, np.floor(8 * np.log2(n))).astype(np.uint8)[inverse.reshape(-1)]
+        blobs = [x.as_buffer() for x in table.column("blob")]
+        rests = [np.frombuffer(x, np.uint32, len(x) // 6) for x in blobs]
+        times = np.concatenate([np.frombuffer(x, np.uint16, len(r), 4 * len(r)) for x, r in zip(blobs, rests, strict=True)])
+        _, inverse = np.unique(np.concatenate(rests), return_inverse=True)
+        inverse = inverse.reshape(-1)
+        rarity = np.minimum(255, np.floor(8 * np.log2(np.bincount(inverse, times)))).astype(np.uint8)[inverse]
         out, at = [], 0
-        for rest, row in blobs:
+        for rest in rests:
             q = rarity[at : at + len(rest)]
             at += len(rest)
-            several = q > 0
-            out.append(rest[several].tobytes() + row[several].tobytes() + q[several].tobytes())
+            out.append(np.array([len(rest)], np.int64).tobytes() + q.tobytes() + rest[q > 0].tobytes())
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "blob": pa.array(out, pa.binary())})
 
     def post(table: pa.Table) -> pa.Table:
-        token, row, rarity, head = [], [], [], b""
-        for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True):
+        token, rarity, head = [], [], b""
+        for bucket, blob in sorted(zip(table.column("bucket").to_pylist(), table.column("blob"), strict=True), key=lambda x: x[0]):
             blob = blob.as_buffer()
             if bucket < 0:
                 head = blob
                 continue
-            k = len(blob) // 9
-            token.append((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(blob, np.uint32, k).astype(np.uint64))
-            row.append(np.frombuffer(blob, np.uint32, k, 4 * k))
-            rarity.append(np.frombuffer(blob, np.uint8, k, 8 * k))
+            k = int(np.frombuffer(blob, np.int64, 1)[0])
+            q = np.frombuffer(blob, np.uint8, k, 8)
+            t_ = np.zeros(k, np.uint64)
+            t_[q > 0] = (np.uint64(bucket) << np.uint64(32)) | np.frombuffer(blob[8 + k :], np.uint32).astype(np.uint64)
+            token.append(t_)
+            rarity.append(q)
         d = int(np.frombuffer(head, np.int64, 1)[0])
         ids, valid, node, n = (np.frombuffer(head, np.int64, d, 8 + 8 * d * k) for k in range(4))
         width = CELLS // 8 + RANGES
         sigs = np.frombuffer(head, np.uint8, d * width, 8 + 32 * d).reshape(d, width)
+        tail = head[8 + (32 + width) * d :]
+        k = int(np.frombuffer(tail, np.int64, 1)[0])
+        times, row = np.frombuffer(tail, np.uint32, k, 8), np.frombuffer(tail[8 + 4 * k :], np.uint32)
         none = lambda k, kind: pa.nulls(k, kind)
         docs_part = [pa.array(np.zeros(d, np.int32)), pa.array(ids, mask=valid == 0), pa.array(node), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sigs], pa.binary()), none(d, pa.int64()), none(d, pa.int32()), none(d, pa.int32())]
         if not token:
             return pa.table(docs_part, names)
-        token, row, rarity = np.concatenate(token), np.concatenate(row).astype(np.int64), np.concatenate(rarity)
+        token, rarity = np.repeat(np.concatenate(token), times), np.repeat(np.concatenate(rarity), times)
+        token, row, rarity = token[rarity > 0], row[rarity > 0].astype(np.int64), rarity[rarity > 0]
         order = np.lexsort((token, rarity, row))
         token, row = token[order], row[order]
         several = np.bincount(row, minlength=d)
@@ -226,8 +235,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: _
     bitmap of fixed size says may be needed; an exact join follows."""
     bits = 24
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"), "needed")
-    maps = needed.select((cell("rep") + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("m")).collect()
+    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "same"), "node"), "needed")
+    maps = needed.select((cell("node") + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("m")).collect()
     # the functions count positions from 1
     bitmap = np.zeros(((1 << bits) >> 3) + 4096, np.uint8)
     for row in maps:
@@ -242,7 +251,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: _
                 node, n = _nodes(s, r, j - i)
                 cut = np.concatenate([[0], np.cumsum(n)])
                 blobs = [s[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(blobs, pa.binary())], ["rep", "node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node.view(np.int64)), pa.array(blobs, pa.binary())], ["node", "same", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +263,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: _
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     source = docs.where("doc_id is not null").select("doc_id", "text", cell("doc_id").alias("c"))
-    sets = source.mapInArrow(make, "rep long, node long, s binary").join(needed, ["node", "rep"]).select("node", "s").dropDuplicates(["node"])
+    sets = source.mapInArrow(make, "node long, same long, s binary").join(needed, ["node", "same"]).select("node", "s").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     both = x.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -264,14 +273,22 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, t: _
 
 
 def _in_blocks(live: DataFrame, nodes: DataFrame, labels: DataFrame, t: _Threshold) -> DataFrame:
-    """Pairs of nodes of different components that share a token and pass all filters."""
+    """Pairs of nodes of different components that share a token and pass all filters. Sizes are classed so that only sets
+    of one class or of neighbouring ones can be similar; the blocks of a token meet in a grid of tasks."""
     x = live.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("c"))
-    open_ = x.groupBy("token").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token", F.ceil(F.col("k") / BLOCK).alias("blocks"))
-    x = x.join(open_, "token").join(nodes.select("node", "sig"), "node")
+    open_ = x.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    width = math.log(t.den / t.num) * (1 + 1e-9)
+    x = x.join(open_, "token").withColumn("size", F.floor(F.log("n") / width) if width else F.col("n").cast("long"))
+    x = materialize(x, "open")
+    counts = x.groupBy("token", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    grid = counts.groupBy("token").agg(F.ceil(F.sqrt(F.max("blocks"))).alias("grid"))
+    x = x.join(counts, ["token", "size"]).join(grid, "token").join(nodes.select("node", "sig"), "node")
     x = x.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = x.groupBy("token", "block").agg(F.collect_list(F.struct("node", "n", "pos", "c", "sig")).alias("members"))
-    left = blocks.select("token", F.col("block").alias("b1"), F.col("members").alias("m1"))
-    right = blocks.select("token", F.col("block").alias("b2"), F.col("members").alias("m2"))
+    blocks = x.groupBy("token", "size", "block", "grid").agg(F.collect_list(F.struct("node", "n", "pos", "c", "sig")).alias("members"))
+    every, own = F.sequence(F.lit(0).cast("long"), F.col("grid") - 1), F.pmod("block", "grid")
+    left = blocks.select("token", F.col("size").alias("link"), own.alias("g1"), F.explode(every).alias("g2"), F.col("block").alias("b1"), F.col("members").alias("m1"))
+    right = blocks.select("token", "size", "block", "grid", "members", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("link"))
+    right = right.select("token", "link", F.explode(every).alias("g1"), own.alias("g2"), F.col("block").alias("b2"), F.col("members").alias("m2"), (F.col("size") == F.col("link")).alias("alike"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = CELLS // 8 + RANGES
@@ -282,14 +299,14 @@ def _in_blocks(live: DataFrame, nodes: DataFrame, labels: DataFrame, t: _Thresho
 
         for batch in batches:
             found = set()
-            for one, two, m1, m2 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for itself, m1, m2 in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 x = columns(m1)
-                y = columns(m2) if one != two else x
+                y = x if itself else columns(m2)
                 n1, n2 = x[1][:, None].astype(np.int64), y[1][None, :].astype(np.int64)
                 ok = (x[3][:, None] != y[3][None, :]) & (np.minimum(n1, n2) * t.den >= np.maximum(n1, n2) * t.num)
                 need = t.overlap(n1 + n2)
                 ok &= 1 + np.minimum(n1 - x[2][:, None] - 1, n2 - y[2][None, :] - 1) >= need
-                if one == two:
+                if itself:
                     ok = np.triu(ok, 1)
                 i, j = np.nonzero(ok)
                 if len(i):
@@ -299,7 +316,7 @@ def _in_blocks(live: DataFrame, nodes: DataFrame, labels: DataFrame, t: _Thresho
             pairs = list(zip(*found, strict=True)) if found else [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()) for p in pairs], ["a", "b"])
 
-    joined = left.join(right, "token").where("b1 <= b2").select("b1", "b2", "m1", "m2")
+    joined = left.join(right, ["token", "link", "g1", "g2"]).where("not alike or b1 <= b2").select((F.col("alike") & (F.col("b1") == F.col("b2"))).alias("itself"), "m1", "m2")
     return joined.mapInArrow(cross, "a long, b long").distinct()
 
 
@@ -316,40 +333,55 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     base = docs.select("doc_id", "text")
     rows = materialize(_postings(base, size, t), "postings")
     members = rows.where("kind = 0")
-    nodes = members.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = materialize(nodes, "nodes")
-    posts = rows.where("kind = 1").select("token", "node", "n", "pos", "live").distinct()
+    sets = members.where("doc_id is not null and n > 0").groupBy(F.col("node").alias("same")).agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    nodes = materialize(sets, "nodes")
+    posts = rows.where("kind = 1").select(F.col("node").alias("same"), "token", "n", "pos", "live").distinct()
+    posts = materialize(posts.join(nodes.select("same", "node"), "same").select("token", "node", "n", "pos", "live"), "posts")
     hubs = posts.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("live", "node", "n", "pos")).alias("hub"))
     hubs = hubs.where("lo <> hi").select("token", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"))
     live = materialize(posts.join(hubs, "token"), "live")
+    drop(posts)
     first = live.where("node <> h").where(t.sizes_fit("n", "hn") & t.positions_fit("n", "pos", "hn", "hpos"))
     first = first.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
     first = materialize(_with_signatures(first, nodes, t), "pairs")
-    links = _verify(first, base, nodes, size, t)
-    labels = materialize(components(links), "labels")
+    labels = materialize(components(_verify(first, base, nodes, size, t)), "labels")
     rest = materialize(_in_blocks(live.select("token", "node", "n", "pos"), nodes, labels, t).join(first, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        more = _verify(rest, base, nodes, size, t)
-        edges = links.union(more).union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = materialize(components(edges), "labels")
-    x = members.join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("g"))
-    least = x.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"))
-    x = x.join(least, "g", "left")
+        labels = materialize(_merged(labels, _verify(rest, base, nodes, size, t)), "labels")
+    named = nodes.select("same", "node", "copies").join(labels, "node", "left").select("same", "copies", F.coalesce("label", "node").alias("least"))
+    named = materialize(named, "named")
+    return _with_components(members.select("doc_id", F.col("node").alias("same"), "n"), named)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only components are contracted, not their nodes anew."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    pairs = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    pairs = materialize(pairs.select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")), "merged")
+    joined = materialize(components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels").toDF("label", "to")
+    every = labels.union(pairs.select("a", "x")).union(pairs.select("b", "y")).distinct()
+    return every.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
+
+def _with_components(members: DataFrame, named: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id; sets with very many copies, HOT_NODES at most, are broadcast."""
+    limit = max(1000, members.count() // HOT_NODES)
+    hot = F.broadcast(named.where(F.col("copies") > limit).select("same", "least"))
+    full = members.where("n > 0")
+    some = full.join(hot, "same").union(full.join(hot, "same", "left_anti").join(named.where(F.col("copies") <= limit).select("same", "least"), "same", "left").select("same", "doc_id", "n", "least"))
+    some = some.union(members.where("n = 0").select("same", "doc_id", "n", F.lit(None).cast("long")))
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return x.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of ``docs`` of each component and text, with all its columns: of the rows of the smallest id, one for each
-    text (as words without the case of A-Z). Rows without an id are kept once for each such text that no row with an
-    id has. Rows without words are kept."""
-    found = join_components(docs, size, num, den)
-    gone = found.where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = docs.withColumn("_text", F.xxhash64(F.array_join(words(lower), " "))).withColumn("_empty", word_count(F.col("text")) == 0)
-    named = marked.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("text"))).where("_n = 1 or _empty")
-    known = marked.where("doc_id is not null and not _empty").select("_text").distinct()
-    bare = marked.where("doc_id is null").join(known, "_text", "left_anti")
-    bare = bare.withColumn("_n", F.row_number().over(Window.partitionBy("_text").orderBy("text"))).where("_n = 1 or _empty")
-    return named.unionByName(bare).select(*docs.columns)
+    """One row of ``docs`` of each component of rows, with all its columns: that of the smallest id, a null id last, and the
+    first in the table of those that share it. Rows are compared one by one, whatever their ids, so near copies among rows
+    that share an id or have none are found, and a text of its own stays. Rows without words stay, repeated ones too. An
+    empty table gives no rows."""
+    (r,) = unused([*docs.columns, "n", "component"], "_r")
+    rows = materialize(docs.select("*", F.monotonically_increasing_id().alias(r)), "rows")
+    found = join_components(rows.select(F.col(r).alias("doc_id"), "text"), size, num, den).toDF(r, "n", "component")
+    first = found.where("n > 0").join(rows.select(r, "doc_id"), r).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(r).alias("r")))["r"].alias(r))
+    kept = first.select(r).union(found.where("n = 0").select(r))
+    return rows.join(kept, r, "left_semi").select(*docs.columns)
