@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronograph.llm.storage import drop, materialize, unused
 from chronograph.llm.text import column_bytes, hashed_words
 
 WORD_BITS, GRAM_BITS = 17, 16
 DIM = (1 << WORD_BITS) + (1 << GRAM_BITS)
-MAX_TRAIN = 6000
+MAX_TRAIN = 6000  # labelled documents of each class that a fit uses
+MAX_BYTES = 128 << 20  # of their features, 4 each
 
 
 def _gram_pairs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +139,9 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` labelled documents of each class that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on at most ``max_train`` labelled documents of each class that are not held out, and of each class at most as
+    many as have half of ``max_bytes`` of features together.
 
     An id with several labels counts as 1 if their mean is 0.5 or more; null labels and ids are passed over; of documents
     that share an id one is used."""
@@ -158,17 +161,26 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
                 out += [f[cut[k] : cut[k + 1]].astype(np.int32).tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "f"])
 
-    rows = chosen.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f binary")
-    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("f").alias("f")).collect()
+    sets = chosen.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f binary")
+    sets = materialize(sets.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("f").alias("f")), "features")
+    sizes = sets.select("doc_id", "y", F.octet_length("f").alias("bytes"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    room, used = {0: max_bytes // 2, 1: max_bytes // 2}, []
+    for r in sizes:  # in order of the id's hash, as the rows were chosen
+        room[r["y"]] -= r["bytes"]
+        if room[r["y"]] >= 0:
+            used.append((r["doc_id"],))
+    kept = docs.sparkSession.createDataFrame(used, "doc_id long")
+    rows = sets.join(F.broadcast(kept), "doc_id").collect()  # max_bytes at most
+    drop(sets)
     rows.sort(key=lambda r: r["doc_id"])
     return fit([np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["y"] for r in rows], np.int64), 0.5 if share is None else float(share))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a last column _score: the probability of label 1, from the text alone. Null and empty texts get the
+def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with a last column ``name``: the probability of label 1, from the text alone. Null and empty texts get the
     score of no features; all other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM weights, whatever the corpus
-    where, names = docs.columns.index("text"), [*docs.columns, "_score"]
+    where, names = docs.columns.index("text"), [*docs.columns, name]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -177,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -188,5 +200,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_tra
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    return score(docs, train(docs, labels, max_train)).where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` that the classifier accepts, with all their columns; rows with equal texts fare alike, null and
+    empty texts by the score of no features, and an empty table gives no rows."""
+    (name,) = unused(docs.columns, "_score")
+    return score(docs, train(docs, labels, max_train), name).where(F.col(name) >= threshold).drop(name)

@@ -104,13 +104,9 @@ def template(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     starts, ends = np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
     row = np.searchsorted(off - off[0], starts, "right") - 1
     closes = _STOP[buf[ends - 1]]
-    for _ in range(64):  # trims at most so many marks from either side of a token
-        more = (starts < ends - 1) & _EDGE[buf[starts]]
-        back = (starts < ends - 1) & _EDGE[buf[ends - 1]]
-        if not more.any() and not back.any():
-            break
-        starts = starts + more
-        ends = np.where(back & (ends - 1 > starts), ends - 1, ends)
+    inner = np.where(_EDGE[buf], n, np.arange(n))  # the nearest other byte from each on, and up to each
+    starts = np.minimum(np.minimum.accumulate(inner[::-1])[::-1][starts], ends - 1)
+    ends = np.maximum(np.maximum.accumulate(np.where(_EDGE[buf], -1, np.arange(n)))[ends - 1], starts) + 1
     real = ~_EDGE[buf[starts]]
     starts, ends, row, closes = starts[real], ends[real], row[real], closes[real]
     if not len(starts):

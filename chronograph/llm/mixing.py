@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chronograph.llm.storage import materialize
+from chronograph.llm.storage import materialize, unused
 from chronograph.llm.text import word_count
 
 MAX_EPOCHS = 3
@@ -47,16 +47,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> Da
     """doc_id, source, size (words), source_size, target and taken (words, repeats counted) of every row of ``docs``.
 
     ``weights`` has w_id and weight (above 0; 1 where absent). A null text has size 0 and takes nothing; null sources are
-    one source, ordered last; rows with a null doc_id share one key; repeated rows are separate documents that are taken
-    one after another; ties of keys go by doc_id and size. An empty table gives no rows. A run with the same seed agrees
+    one source, ordered last; rows with a null doc_id draw by their text; repeated rows are separate documents that are taken
+    one after another; ties of keys go by doc_id and size; other columns are passed over. An empty table gives no rows. A run with the same seed agrees
     at any partitioning.
     """
-    lean = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    lean = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), name.alias("id"))
     if weights is not None:
         lean = lean.join(weights.select("w_id", "weight"), F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
     else:
         lean = lean.withColumn("weight", F.lit(1.0))
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 1).cast("double") / F.lit(float(2**52))
     key = -F.log(u) / F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(1e-6))
     lean = materialize(lean.select("doc_id", "source", "size", key.alias("key")), "mixing")
@@ -83,7 +84,7 @@ def keep(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> D
     Rows meet their share by id; rows without an id, and rows that share an id, are taken as often as any of them is.
     """
     taken = mix(docs, weights, seed).where("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    times = times.withColumnRenamed("doc_id", "_id")
-    x = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).drop("_n")
+    key, count, n = unused(docs.columns, "_id", "_times", "_n")
+    times = taken.groupBy(F.col("doc_id").alias(key)).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias(count))
+    x = docs.join(times, F.col("doc_id").eqNullSafe(F.col(key)))
+    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(count))).alias(n)).drop(n)

@@ -95,16 +95,19 @@ def _log_factorial(n: Column) -> Column:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k) for k < n * p, where terms fall geometrically from k down: the terms are summed until none
-    counts, so the bound is exact to rounding at any n. 1 for other k."""
+    """P(Bin(n, p) <= k) for k < n * p, where terms fall from k down: j steps below k a term is at most exp(-j(j-1)/2k) of
+    the first. Those above e**-45 are summed, and the last one stands for each of the rest, so the value is exact to
+    rounding at any n and never too small. 1 for other k."""
     top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-    terms = F.aggregate(
-        F.sequence(F.lit(0), F.least(k, F.lit(100_000)).cast("int")), start,
+    steps = F.least(k, F.ceil(F.sqrt(90.0 * k)) + 2)
+    summed = F.aggregate(
+        F.sequence(F.lit(0), steps.cast("int")), start,
         lambda s, i: F.struct((s["term"] * F.greatest(k - i, F.lit(0)) * (1 - p) / ((n - k + i + 1) * p)).alias("term"),
                               (s["sum"] + s["term"] * F.greatest(k - i, F.lit(0)) * (1 - p) / ((n - k + i + 1) * p)).alias("sum")),
-    )["sum"]
-    return F.when((n == 0) | (k >= n * p), F.lit(1.0)).otherwise(F.exp(top) * terms)
+    )
+    terms = _let(summed, lambda s: s["sum"] + s["term"] * (k - steps))
+    return F.when((n == 0) | (k >= n * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(top) * terms))
 
 
 def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:

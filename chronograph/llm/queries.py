@@ -98,11 +98,11 @@ FROM v LEFT JOIN bad ON v.lang IS NOT DISTINCT FROM bad.lang AND v.n_words = bad
   AND v.n_dup_lines = bad.n_dup_lines AND v.n_repeat_words = bad.n_repeat_words""".replace("@GRID@", GRID_VALUES),
     "op2_mixing": r"""
 WITH lean AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(text, '')) AS hash FROM documents),
 weights AS (SELECT doc_id AS w_id, avg(quality) + 0.5 AS weight FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 keyed AS (
   SELECT doc_id, source, size,
-    -ln(CAST(CAST('0x' || substr(md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 13) AS BIGINT) + 1 AS DOUBLE) / CAST(4503599627370496 AS DOUBLE))
+    -ln(CAST(CAST('0x' || substr(md5(concat_ws('|', '42', coalesce(CAST(doc_id AS VARCHAR), hash))), 1, 13) AS BIGINT) + 1 AS DOUBLE) / CAST(4503599627370496 AS DOUBLE))
       / greatest(coalesce(weight, CAST(1 AS DOUBLE)), CAST(0.000001 AS DOUBLE)) AS key
   FROM lean LEFT JOIN weights ON doc_id = w_id),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM lean GROUP BY source),

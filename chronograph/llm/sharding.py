@@ -67,16 +67,25 @@ def _size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+
+
 def assign(docs: DataFrame, shards: int = 16, bits: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
     """Shard and slot of every row of ``docs`` (doc_id, text, lang, source; other columns are ignored unless carried).
 
     Shard sizes differ by one row at most; slots count from 0 within a shard. Within a cell the order is by a hash of the
     row, then doc_id, so reruns agree. Null names have a coordinate of their own (first), a null text has size 1 and the
     checksum of no bytes, null doc_ids sort first, repeated rows take adjacent slots, and an empty table gives no rows.
+    Carried columns come back as they are; one that has the name of a column of the result is called ``in_`` and that name.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", *(c for c in carry if c != "doc_id"), *(c for c in ("lang", "source", "text") if c not in carry))
-    base = base.select("*", _size(F.col("text")).alias("_size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("_crc"))
+    extra = {c: f"in_{c}" if c.lower() in RESULT else c for c in carry if c != "doc_id"}
+    names = list(dict.fromkeys(["doc_id", "text", "lang", "source", *extra]))
+    hidden = dict(zip(names, (f"_in{i}" for i in range(len(names))), strict=True))  # own names inside
+    base = docs.select(*(F.col(c).alias(h) for c, h in hidden.items()))
+    text = F.col(hidden["text"])
+    base = base.select("*", F.col("_in0").alias("doc_id"), F.col(hidden["lang"]).alias("lang"), F.col(hidden["source"]).alias("source"), _size(text).alias("_size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("_crc"))
+    base = base.select("doc_id", "lang", "source", "_size", "_crc", *(hidden[c] for c in extra))
     lean = materialize(base.select("doc_id", "lang", "source", "_size", "_crc"), "sharding")
     langs, sources = _codes(lean, "lang", bits), _codes(lean, "source", bits)
     curve = F.broadcast(_curve(spark, bits))  # a fixed number of rows
@@ -105,12 +114,12 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = 5, carry: tuple[str, .
     rows = rows.withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)"))
     slot = F.col("_rank") - F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return rows.select(
-        "doc_id", *(c for c in carry if c != "doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
+        "doc_id", *(F.col(hidden[c]).alias(name) for c, name in extra.items()), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("h").alias("curve"),
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
-    """Write whole documents as one folder of files per shard, each sorted by slot."""
+    """Write whole documents as one folder of files per shard, each sorted by slot; columns are named as by :func:`assign`."""
     out = assign(docs, shards, carry=tuple(docs.columns), **options)
     out.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

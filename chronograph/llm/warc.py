@@ -5,6 +5,9 @@ inflating its first bytes and checking for a WARC version line and headers, and
 range, reading past the range's end to finish the last one. After a valid member it continues at the member's end, so
 compressed bytes that look like a magic are passed over; at the start of a range they fail validation.
 
+Nothing is lost silently: an archive must begin with a member, each member must end where the next one or the file's end
+is, and a record that has a header must inflate to its end. What breaks this is an error, or a row of type ``damaged``.
+
 Both sides open files through pyarrow's filesystems. Writers write under a temporary name and rename, so a task that is
 run again after a lost executor replaces its own file with equal content.
 """
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronograph.llm.storage import ensure_local_parent, filesystem, local_path
+from chronograph.llm.storage import ensure_local_parent, filesystem, local_path, make_folder
 
 MAGIC = b"\x1f\x8b\x08"
 RECORD = "archive string, offset long, record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -94,6 +97,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-
             os.replace(temp, target) if local_path(name) else fs.move(temp, target)
         yield pa.RecordBatch.from_pydict({"records": pa.array([n], pa.int64())})
 
+    make_folder(pages.sparkSession, path)  # an empty table leaves an empty folder
     planned(pages, min_bytes).mapInArrow(write_part, "records long").agg(F.sum("records")).collect()
 
 
@@ -115,6 +119,10 @@ def _header(head: bytes) -> dict[str, str] | None:
     return fields if {"warc-type", "content-length"} <= fields.keys() else None
 
 
+class Damaged(ValueError):
+    """A record that can't be read whole."""
+
+
 class _Window:
     """Reads forward through a file, keeping a bounded stretch of it."""
 
@@ -128,17 +136,21 @@ class _Window:
         return self.data[pos - self.at : pos - self.at + n]
 
 
-def _member(window: _Window, pos: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The header, block and end of the gzip member at ``pos``; None if there is no valid record."""
+def _member(window: _Window, pos: int, whole: bool = True) -> tuple[dict[str, str], bytes, int] | None:
+    """The header, block and end of the gzip member at ``pos``; None if there is no valid record. A record with a valid
+    header that is cut short, does not inflate or is shorter than its header says is a Damaged error. Unless ``whole``, the
+    header is enough."""
     z, parts, head, at, got = zlib.decompressobj(31), [], None, pos, b""
     while not z.eof:
         raw = window.get(at, 1 << 14 if head is None else 1 << 18)
-        if not raw:
-            return None  # cut short
         try:
-            data = z.decompress(raw)
+            data = z.decompress(raw) if raw else None
         except zlib.error:
-            return None
+            data = None
+        if data is None:
+            if head is None:
+                return None
+            raise Damaged
         at += len(raw)
         if head is None:
             got += data
@@ -148,18 +160,38 @@ def _member(window: _Window, pos: int) -> tuple[dict[str, str], bytes, int] | No
             if mark:
                 if (head := _header(before)) is None:
                     return None
+                if not whole:
+                    return head, rest, at
                 parts.append(rest)
         else:
             parts.append(data)
     if head is None:
         return None
-    return head, b"".join(parts)[: int(head["content-length"])], at - len(z.unused_data)
-
-
-def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """The records that start in [start, end): offset, header and block."""
-    window, pos = _Window(file, size), start
-    while pos < end:
+    block = b"".join(parts)
+    if len(block) < int(head["content-length"]):
+        raise Damaged
+    return head, block[: int(head["content-length"])], at - len(z.unused_data)
+
+
+def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str] | None, bytes]]:
+    """The records that start in [start, end): offset, header and block; the header is None for damage: a record that
+    can't be read whole, or bytes other than a record at the file's start or after a record, wherever that ends."""
+    window, pos, bound = _Window(file, size), start, start == 0 and size > 0
+    while pos < end or bound and pos < size:
+        if bound:  # a member must start here
+            try:
+                record = _member(window, pos, pos < end)
+            except Damaged:
+                record = None
+            if record is None:
+                yield pos, None, b""
+                pos, bound = pos + 1, False
+            elif pos >= end:
+                return  # the next range's own
+            else:
+                yield pos, record[0], record[1]
+                pos = record[2]
+            continue
         stretch = window.get(pos, min(1 << 16, end - pos + len(MAGIC) - 1, size - pos))
         found = stretch.find(MAGIC)
         if found < 0:
@@ -168,12 +200,16 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
         pos += found
         if pos >= end:
             return
-        record = _member(window, pos)
+        try:
+            record = _member(window, pos)
+        except Damaged:
+            yield pos, None, b""
+            record = None
         if record is None:
             pos += 1
             continue
         yield pos, record[0], record[1]
-        pos = record[2]
+        pos, bound = record[2], True
 
 
 def _row(archive: str, offset: int, head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -191,12 +227,15 @@ def _row(archive: str, offset: int, head: dict[str, str], block: bytes, with_pay
     return archive, offset, head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), digest, length, head.get("warc-refers-to"), payload if with_payload else None
 
 
-def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, with_payload: bool = True, damaged: str = "error") -> DataFrame:
     """The records of the archives below ``path``, in RECORD's columns; no archives give no rows.
 
-    Record order within an archive is its offset. A member that is not a WARC record is passed over; a response whose
-    payload does not match its digest is an error.
+    Record order within an archive is its offset. A response whose payload does not match its digest is an error, and so
+    is a damaged place of an archive; with ``damaged="rows"`` the latter is a row with its offset and the record_type
+    ``damaged``, and reading goes on at the next record. Repeated records, and records without an id, each give their row.
     """
+    if damaged not in ("error", "rows"):
+        raise ValueError(f"damaged is error or rows, not {damaged}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "path", "start")
@@ -211,7 +250,9 @@ def read(spark: SparkSession, path: str, split_bytes: int = 8 << 20, with_payloa
                 fs, local = filesystem(uri)
                 with fs.open_input_file(local) as file:
                     for offset, head, block in records_in(file, length, start, min(length, start + split_bytes)):
-                        rows.append(_row(uri, offset, head, block, with_payload))
+                        if head is None and damaged == "error":
+                            raise Damaged(f"{uri} at {offset}: no whole record")
+                        rows.append((uri, offset, None, "damaged", *[None] * 5) if head is None else _row(uri, offset, head, block, with_payload))
                         held += len(block) if with_payload else 0
                         if len(rows) >= 5000 or held > 16 << 20:
                             yield pack()
