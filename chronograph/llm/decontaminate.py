@@ -51,6 +51,7 @@ _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 PIECE = 1 << 20
+MOST = 1 << 21  # matches expanded at once
 _C_VALUE = np.random.default_rng(12).integers(1, 2**63, WINDOW + 1, dtype=np.uint64) | np.uint64(1)
 MARKS = "\u3000、。〃「」『』【】〈〉《》〔〕！，．：；？（）"  # parted from the characters around them
 STOPS = "。！？"
@@ -201,7 +202,9 @@ class Table:
             self.row, self.value, self.token, self.slot = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
         at, h, rich = windows(self.row, self.value, self.token, self.slot)
         order = np.argsort(h, kind="stable")
-        self.at, self.hash = at[order], h[order]
+        self.at = at[order]
+        self.keys, rank = np.unique(h[order], return_inverse=True)
+        self.places = rank.reshape(-1) * len(items) + self.row[self.at]  # ascending: by hash, then item
         self.size = np.bincount(self.row, minlength=len(items))
         self.literals = np.bincount(self.row[~self.slot], minlength=len(items))
         self.begin = np.cumsum(self.size) - self.size
@@ -215,7 +218,7 @@ class Table:
                 order = np.argsort(h[whole], kind="stable")
                 self.short[k] = h[whole][order], self.row[at[whole]][order]
         self.flags = np.zeros(1 << 20, bool)
-        self.flags[(self.hash >> np.uint64(44)).astype(np.int64)] = True
+        self.flags[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
     def match_short(self, row: np.ndarray, value: np.ndarray, alone: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """As ``match``, for the items of fewer tokens than a window."""
@@ -251,20 +254,42 @@ class Table:
             i = j
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def match(self, row: np.ndarray, value: np.ndarray, token: np.ndarray, slot: np.ndarray, alone: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
-        """(row, item index, tokens covered, tokens of the item, slots whose value differs) of every leak."""
+    def match(self, row: np.ndarray, value: np.ndarray, token: np.ndarray, slot: np.ndarray, alone: np.ndarray, coverage: float, most: int = MOST) -> list[tuple[int, int, int, int, int]]:
+        """(row, item index, tokens covered, tokens of the item, slots whose value differs) of every leak. Windows that many
+        items share are expanded for some texts and items at a time, ``most`` matches or one text and item."""
         short = self.match_short(row, value, alone)
         at, h, rich = windows(row, value, token, slot)
         likely = self.flags[(h >> np.uint64(44)).astype(np.int64)]
         at, h, rich = at[likely], h[likely], rich[likely]
-        i, j = _lookup(self.hash, h)
-        here, there, rich = at[i], self.at[j], rich[i]
+        rank = np.searchsorted(self.keys, h)
+        known = rank < len(self.keys)
+        known[known] = self.keys[rank[known]] == h[known]
+        at, rank, rich = at[known], rank[known] * len(self.ids), rich[known]
+        todo, found = [(np.arange(len(at)), 0, len(self.ids))] if len(at) else [], []
+        while todo:
+            some, begin, end = todo.pop()
+            lo, hi = (np.searchsorted(self.places, rank[some] + p, "left") for p in (begin, end))
+            n = hi - lo
+            texts = row[at[some]]
+            if n.sum() > most and (texts.min() < texts.max() or end - begin > 1):
+                if texts.min() < texts.max():
+                    left = texts <= (texts.min() + texts.max()) // 2
+                    todo += [(some[left], begin, end), (some[~left], begin, end)]
+                else:
+                    todo += [(some, begin, (begin + end) // 2), (some, (begin + end) // 2, end)]
+                continue
+            i, j = np.repeat(some, n), np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found += self.leaking(at[i], self.at[j], rich[i], row, value, token, slot, coverage)
+        return short + found
+
+    def leaking(self, here: np.ndarray, there: np.ndarray, rich: np.ndarray, row: np.ndarray, value: np.ndarray, token: np.ndarray, slot: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+        """The leaks among some texts and items whose equal windows are given: first tokens, and whether by template."""
         new = rich.copy()  # a window that matches both ways counts once
         steps = np.arange(WINDOW)
         new[~rich] = (token[here[~rich][:, None] + steps] != self.token[there[~rich][:, None] + steps]).any(axis=1) | np.isin(there[~rich], self.dense)
         here, there, rich = here[new], there[new], rich[new]
         if not len(here):
-            return short
+            return []
         x, w = self.extended(here[rich], there[rich], row, value, token)
         direct = np.arange(len(here) + len(x)) < len(here)
         here, there = np.concatenate([here, x]), np.concatenate([there, w])
@@ -275,7 +300,7 @@ class Table:
         keep = np.isin(pair, pairs[counts >= coverage * self.size[pairs % len(self.ids)]])
         here, there, pair, direct = here[keep], there[keep], pair[keep], direct[keep]
         if not len(here):
-            return short
+            return []
         best: dict[int, tuple[int, int]] = {}
 
         def judge(group: np.ndarray, of: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -296,7 +321,7 @@ class Table:
             for occurrence in (line, line // size, (line + size // 2) // size):
                 groups, group = np.unique(np.stack([pair[which], occurrence], axis=1), axis=0, return_inverse=True)
                 judge(group.reshape(-1), groups[:, 0], which)
-        return short + [(p // len(self.ids), p % len(self.ids), c, int(self.size[p % len(self.ids)]), -d) for p, (c, d) in best.items()]
+        return [(p // len(self.ids), p % len(self.ids), c, int(self.size[p % len(self.ids)]), -d) for p, (c, d) in best.items()]
 
     def consistent(self, group: np.ndarray, here: np.ndarray, there: np.ndarray, value: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
         """Which windows agree with the prevailing values of their group, and the slots that have another value, by group."""

@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronograph.llm.components import components
-from chronograph.llm.storage import drop, materialize, unused
+from chronograph.llm.storage import drop, materialize, settings, unused
 from chronograph.llm.text import hashed_words, mix, shingles
 
-CHUNK = 2_000_000  # shingles whose frequencies are looked up together
-PER_BUCKET = 1_000_000  # shingles counted together
+CHUNK = 1_000_000  # shingles whose frequencies are looked up together
+PER_BUCKET = 700_000  # shingles counted together
+BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
 BLOCK = 128  # postings compared at once
 HOT_NODES = 100_000  # sets that are broadcast at most, as they have so many copies
 CELLS, RANGES = 512, 64
@@ -87,6 +88,11 @@ class _Threshold:
         return F.expr(f"1 + least({x} - {xp} - 1, {y} - {yp} - 1) >= ({self.num} * ({x} + {y}) + {self.num + self.den - 1}) div {self.num + self.den}")
 
 
+def _number(rows: int) -> type:
+    """The kind of number that holds a row of a chunk and a count of its rows."""
+    return np.uint16 if rows < 1 << 16 else np.uint32
+
+
 _ROW = "kind int, doc_id long, node long, n int, sig binary, token long, pos int, live int"
 
 
@@ -116,9 +122,11 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(keys)))
             keys = keys[first]
-            blob += np.array([len(keys)], np.int64).tobytes() + times.astype(np.uint32).tobytes() + r.astype(np.uint32).tobytes()
+            kind = _number(len(known))
+            blob += np.array([len(keys)], np.int64).tobytes() + times.astype(kind).tobytes() + r.astype(kind).tobytes()
+            del h, order, r
             bucket = (keys >> np.uint64(32)).astype(np.int64)
-            rest, seen_in = keys.astype(np.uint32), np.minimum(times, 65535).astype(np.uint16)
+            rest, seen_in = keys.astype(np.uint32), np.minimum(times, 255).astype(np.uint8)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(bucket))[: len(starts)]
             keys, blobs = [-1], [blob]
@@ -144,7 +152,7 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
                 sigs.append(_signatures(s, r, j - i))
                 mine = fresh[r]
                 hashes.append(s[mine])
-                rows.append(r[mine] + base)
+                rows.append((r[mine] + base).astype(np.uint32))
                 base += j - i
                 held += int(mine.sum())
                 if held >= CHUNK or base >= 50_000:
@@ -157,8 +165,8 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
         if bucket < 0:
             return table
         blobs = [x.as_buffer() for x in table.column("blob")]
-        rests = [np.frombuffer(x, np.uint32, len(x) // 6) for x in blobs]
-        times = np.concatenate([np.frombuffer(x, np.uint16, len(r), 4 * len(r)) for x, r in zip(blobs, rests, strict=True)])
+        rests = [np.frombuffer(x, np.uint32, len(x) // 5) for x in blobs]
+        times = np.concatenate([np.frombuffer(x, np.uint8, len(r), 4 * len(r)) for x, r in zip(blobs, rests, strict=True)])
         _, inverse = np.unique(np.concatenate(rests), return_inverse=True)
         inverse = inverse.reshape(-1)
         rarity = np.minimum(255, np.floor(8 * np.log2(np.bincount(inverse, times)))).astype(np.uint8)[inverse]
@@ -188,7 +196,8 @@ def _postings(docs: DataFrame, size: int, t: _Threshold) -> DataFrame:
         sigs = np.frombuffer(head, np.uint8, d * width, 8 + 32 * d).reshape(d, width)
         tail = head[8 + (32 + width) * d :]
         k = int(np.frombuffer(tail, np.int64, 1)[0])
-        times, row = np.frombuffer(tail, np.uint32, k, 8), np.frombuffer(tail[8 + 4 * k :], np.uint32)
+        kind = _number(d)
+        times, row = np.frombuffer(tail, kind, k, 8), np.frombuffer(tail[8 + kind().itemsize * k :], kind)
         none = lambda k, kind: pa.nulls(k, kind)
         docs_part = [pa.array(np.zeros(d, np.int32)), pa.array(ids, mask=valid == 0), pa.array(node), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in sigs], pa.binary()), none(d, pa.int64()), none(d, pa.int32()), none(d, pa.int32())]
         if not token:
@@ -329,8 +338,13 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     Repeated rows and rows that share an id are alike members of the components of their texts. An empty table gives no
     rows. Sets are compared by 64-bit hashes of shingles.
     """
-    t = _Threshold(num, den)
-    base = docs.select("doc_id", "text")
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
+        members, named = _joined(docs.select("doc_id", "text"), size, _Threshold(num, den))
+    return _with_components(members, named)
+
+
+def _joined(base: DataFrame, size: int, t: _Threshold) -> tuple[DataFrame, DataFrame]:
+    """The documents with their sets (doc_id, same, n), and the sets with their copies and component (same, copies, least)."""
     rows = materialize(_postings(base, size, t), "postings")
     members = rows.where("kind = 0")
     sets = members.where("doc_id is not null and n > 0").groupBy(F.col("node").alias("same")).agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
@@ -349,8 +363,7 @@ def join_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     if rest.limit(1).count():
         labels = materialize(_merged(labels, _verify(rest, base, nodes, size, t)), "labels")
     named = nodes.select("same", "node", "copies").join(labels, "node", "left").select("same", "copies", F.coalesce("label", "node").alias("least"))
-    named = materialize(named, "named")
-    return _with_components(members.select("doc_id", F.col("node").alias("same"), "n"), named)
+    return members.select("doc_id", F.col("node").alias("same"), "n"), materialize(named, "named")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ CHUNK = 2_000_000  # bytes of text in one chunk, or one longer document
 PER_BUCKET = 300_000  # anchors judged together
 SYMBOL = 40  # bytes; divides LENGTH, so that what a window holds besides whole symbols lies in one symbol on either side
 SYMBOLS = 15_000  # in one suffix array, or one gram's contexts
-HOT = 1000  # contexts of one gram in one suffix array
+HOT = 4000  # contexts of one gram in one suffix array, about 70,000 symbols
 BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
 LEVEL = 6  # of zstd, for the texts between steps
 WORDS = LENGTH // SYMBOL - 1  # full symbols in every window
