@@ -5,6 +5,8 @@
 3. benchmark decontamination: documents that repeat a benchmark item's template go.
 4. mixing: sources meet their target weights; a document is kept if the mix takes words of it.
 5. sharding: the kept documents get a shard and a slot on the Hilbert curve.
+
+All stages but the last return the columns of their input, whatever these are called. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,22 +20,27 @@ from chronograph.llm.storage import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score of 0.3 or more stay. A null or empty text has the score of no features, equal texts fare alike."""
     return classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component stays: that of the smallest id, null last. Rows without words stay, repeated ones too."""
     return jaccard_join.one_of_each(docs, size=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that repeat an item go, each by its own text. Null and empty texts stay; without items all rows stay."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows appear as often as the mix takes their id; null and empty texts have no words and go. Null sources are one source."""
     return mixing.keep(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets a shard and a slot; repeated rows get slots of their own. Columns beyond those of documents end here."""
     return sharding.assign(docs, carry=("text", "lang", "source", "n_chars")).select("doc_id", "text", "lang", "source", "n_chars", F.col("size").alias("bytes"), "shard", "slot")
 
 
