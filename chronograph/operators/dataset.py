@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronograph.functions.rand import uniform, uniform32
+from chronograph.functions.tables import written
 from chronograph.operators.ranking import ranked, time_bucket
 
 
@@ -39,15 +40,18 @@ def negatives(positives: DataFrame, edges: DataFrame, num_nodes: int, seed: int,
     """(eid, src, dst, exhausted): for each positive, a pair that is no edge.
 
     A hash decides whether the tail or both ends are redrawn; of ``candidates`` hash-drawn pairs the first non-edge is
-    taken. A positive whose candidates are all edges is reported with null ends and ``exhausted``.
+    taken. A positive whose candidates are all edges is reported with null ends and ``exhausted``. Positives may have a
+    column ``draw`` in place of the seed (then rows are known by draw and eid, and it is returned).
     """
-    tail = uniform(seed, F.lit("side"), F.col("eid")) > 0.5
-    draw = lambda end: F.pmod(uniform32(seed, F.lit(end), F.col("eid"), F.col("r")), F.lit(num_nodes))
-    c = positives.select("eid", F.col("src").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("r"))
-    c = c.select("eid", "r", F.when(tail, F.col("s")).otherwise(draw("src")).alias("src"), draw("dst").alias("dst"))
+    key = ["draw", "eid"] if "draw" in positives.columns else ["eid"]
+    by = F.col("draw") if len(key) > 1 else seed
+    tail = uniform(by, F.lit("side"), F.col("eid")) > 0.5
+    draw = lambda end: F.pmod(uniform32(by, F.lit(end), F.col("eid"), F.col("r")), F.lit(num_nodes))
+    c = positives.select(*key, F.col("src").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("r"))
+    c = c.select(*key, "r", F.when(tail, F.col("s")).otherwise(draw("src")).alias("src"), draw("dst").alias("dst"))
     legal = c.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    first = legal.groupBy("eid").agg(F.min(F.struct("r", "src", "dst")).alias("c"))
-    return positives.select("eid").join(first, "eid", "left").select("eid", F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c").isNull().alias("exhausted"))
+    first = legal.groupBy(*key).agg(F.min(F.struct("r", "src", "dst")).alias("c"))
+    return positives.select(*key).join(first, key, "left").select(*key, F.col("c.src").alias("src"), F.col("c.dst").alias("dst"), F.col("c").isNull().alias("exhausted"))
 
 
 def _nth_missing(taken: list[int] | None, n: int) -> int:
@@ -62,41 +66,54 @@ def _nth_missing(taken: list[int] | None, n: int) -> int:
 def complete_negatives(positives: DataFrame, edges: DataFrame, num_nodes: int, seed: int) -> DataFrame:
     """As ``negatives``, with an exhausted positive given a pair of its own by hash: of its source with the vertices that are
     no neighbours, or, if there are none or both ends are redrawn, of any source that has some. ``exhausted`` are only
-    positives of a graph that has every edge."""
-    found = negatives(positives, edges, num_nodes, seed)
-    left = positives.join(found.where("exhausted").select("eid"), "eid").select("eid", F.col("src").alias("s"))
+    positives of a graph that has every edge. Few positives are exhausted unless the graph is nearly full, and sources with
+    every edge have as many edges as there are vertices, so what is gathered here is small beside the edges."""
+    key = ["draw", "eid"] if "draw" in positives.columns else ["eid"]
+    by = F.col("draw") if len(key) > 1 else seed
+    found = written(negatives(positives, edges, num_nodes, seed), "negatives")
+    if not found.where("exhausted").limit(1).count():
+        return found
+    left = positives.join(found.where("exhausted").select(*key), key).select(*key, F.col("src").alias("s"))
     known = edges.where(f"src between 0 and {num_nodes - 1} and dst between 0 and {num_nodes - 1}").select("src", "dst").distinct()
     full = known.groupBy("src").count().where(F.col("count") >= num_nodes).select("src")
     closed = F.broadcast(full.agg(F.sort_array(F.collect_list("src")).alias("closed")))
     nth = F.udf(_nth_missing, "long")
-    pick = lambda end, n: F.pmod(uniform32(seed, F.lit(end), F.col("eid")), n)
-    x = left.crossJoin(closed).where(F.size("closed") < num_nodes)
-    tail = (uniform(seed, F.lit("side"), F.col("eid")) > 0.5) & ~F.array_contains("closed", F.col("s"))
-    x = x.select("eid", F.when(tail, F.col("s")).otherwise(nth("closed", pick("free source", num_nodes - F.size("closed")))).alias("src"))
+    pick = lambda end, n: F.pmod(uniform32(by, F.lit(end), F.col("eid")), n)
+    x = left.join(closed).where(F.size("closed") < num_nodes)  # one row
+    tail = (uniform(by, F.lit("side"), F.col("eid")) > 0.5) & ~F.array_contains("closed", F.col("s"))
+    x = x.select(*key, F.when(tail, F.col("s")).otherwise(nth("closed", pick("free source", num_nodes - F.size("closed")))).alias("src"))
     taken = known.join(x.select("src").distinct(), "src", "left_semi").groupBy("src").agg(F.collect_list("dst").alias("taken"))
     x = x.join(taken, "src", "left")
     free = num_nodes - F.size(F.coalesce("taken", F.array().cast("array<bigint>")))
-    x = x.select("eid", F.col("src").alias("s"), nth("taken", pick("free end", free)).alias("d"))
-    both = found.join(x, "eid", "left")
-    return both.select("eid", F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), (F.col("exhausted") & F.col("s").isNull()).alias("exhausted"))
+    x = x.select(*key, F.col("src").alias("s"), nth("taken", pick("free end", free)).alias("d"))
+    both = found.join(x, key, "left")
+    return both.select(*key, F.coalesce("src", "s").alias("src"), F.coalesce("dst", "d").alias("dst"), (F.col("exhausted") & F.col("s").isNull()).alias("exhausted"))
 
 
 def link_dataset(edges: DataFrame, ratio: float = 0.8, seed: int = 42, disjoint: bool = False) -> DataFrame:
     """(split, label, eid, src, dst): temporal hold-out, train and valid samples (independent unless ``disjoint``), and a
-    negative for each positive unless every pair is an edge."""
-    sizes = split_sizes(edges.count(), ratio)
-    pool, test = temporal_holdout(edges, sizes["test"])
+    negative for each positive unless every pair is an edge. The edges are written once; all splits draw their negatives
+    in one pass, each by a seed of its own."""
+    edges = written(edges.select("eid", "src", "dst", "ts"), "edges")
+    count, top = edges.agg(F.count("*"), F.max(F.greatest("src", "dst"))).first()
+    sizes = split_sizes(count, ratio)
+    ordered = written(by_time(edges), "ordered")
+    pool, test = ordered.where(F.col("rn") <= count - sizes["test"]), ordered.where(F.col("rn") > count - sizes["test"])
     train = sampled(pool, sizes["train"], f"{seed}-train")
     rest = pool.join(train.select("eid"), "eid", "left_anti") if disjoint else pool
     valid = sampled(rest, sizes["valid"], f"{seed}-valid")
-    n = edges.agg(F.max(F.greatest("src", "dst"))).first()[0] + 1
-    out = None
-    for k, (name, part) in enumerate((("train", train), ("valid", valid), ("test", test))):
-        pos = part.select(F.lit(name).alias("split"), F.lit(1).alias("label"), "eid", "src", "dst")
-        neg = complete_negatives(part, edges, n, seed + k).where("not exhausted").select(F.lit(name).alias("split"), F.lit(0).alias("label"), "eid", "src", "dst")
-        both = pos.unionByName(neg)
-        out = both if out is None else out.unionByName(both)
-    return out
+    parts = [part.select(F.lit(name).alias("split"), F.lit(seed + k).alias("draw"), "eid", "src", "dst") for k, (name, part) in enumerate((("train", train), ("valid", valid), ("test", test)))]
+    positives = written(parts[0].union(parts[1]).union(parts[2]), "positives")
+    if not count:
+        return positives.select("split", F.lit(1).alias("label"), "eid", "src", "dst")
+    name = F.element_at(F.array(F.lit("train"), F.lit("valid"), F.lit("test")), F.col("draw") - seed + 1)
+    missing = complete_negatives(positives, edges, top + 1, seed).where("not exhausted").select(name.alias("split"), F.lit(0).alias("label"), "eid", "src", "dst")
+    return positives.select("split", F.lit(1).alias("label"), "eid", "src", "dst").unionByName(missing)
+
+
+def listed_dataset(edges: DataFrame, ratio: float = 0.8, seed: int = 42) -> DataFrame:
+    """The older form of :func:`link_dataset`: repeated rows leave each split's positives and negatives."""
+    return link_dataset(edges, ratio, seed, disjoint=True).dropDuplicates(["split", "label", "src", "dst"])
 
 
 def edge_features(pairs: DataFrame, embeddings: DataFrame) -> DataFrame:

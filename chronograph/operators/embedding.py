@@ -14,8 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from chronograph.functions.rand import uniform, uniform32
+from chronograph.functions.tables import written
+from chronograph.operators.ranking import ranked
 
 SENTENCE_END = "</s>"
+SENTENCE = 1000  # tokens that are trained together
 MAX_VOCABULARY = 2_000_000  # rows of the two weight matrices that every executor holds
 
 
@@ -26,22 +29,25 @@ def vocabulary(tokens: DataFrame, sentences: int | None = None, min_count: int =
     if sentences is not None:
         end = tokens.sparkSession.createDataFrame([(SENTENCE_END, sentences)], "token string, cn long")
         counts = counts.where(F.col("token") != SENTENCE_END).union(end)
-    first = (F.col("token") == SENTENCE_END).cast("int")
-    return counts.withColumn("vocab_idx", F.row_number().over(W.orderBy(F.desc(first), F.desc("cn"), "token")) - 1)
+    end = F.col("token") == SENTENCE_END
+    bucket = F.when(end, F.lit(-(1 << 62))).otherwise(-F.col("cn"))  # one for each count
+    return ranked(counts, bucket, [F.col("token")], "vocab_idx").withColumn("vocab_idx", F.col("vocab_idx") - 1)
 
 
 def noise(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     """(token, p, cum): probability proportional to cn^0.75, and its running sum in index order."""
-    w = F.pow(F.col("cn").cast("double"), F.lit(power))
-    x = vocab.withColumn("w", w)
-    total = F.sum("w").over(W.partitionBy())
-    return x.select("token", "vocab_idx", (F.col("w") / total).alias("p"), (F.sum("w").over(W.orderBy("vocab_idx")) / total).alias("cum"))
+    x = vocab.withColumn("w", F.pow(F.col("cn").cast("double"), F.lit(power))).withColumn("b", F.floor(F.col("vocab_idx") / 65536))
+    sums = x.groupBy("b").agg(F.sum("w").alias("s"))  # a row for each 65536 tokens
+    sums = sums.select("b", (F.sum("s").over(W.orderBy("b")) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy()).alias("total"))
+    running = F.col("before") + F.sum("w").over(W.partitionBy("b").orderBy("vocab_idx"))
+    return x.join(sums, "b").select("token", "vocab_idx", (F.col("w") / F.col("total")).alias("p"), (running / F.col("total")).alias("cum"))
 
 
 def keep_probability(vocab: DataFrame, sample: float = 1e-3) -> DataFrame:
     """(token, keep): the chance that an occurrence of a frequent token stays (may exceed 1)."""
-    st = F.lit(sample) * F.sum("cn").over(W.partitionBy())
-    return vocab.select("token", ((F.sqrt(F.col("cn") / st) + 1) * st / F.col("cn")).alias("keep"))
+    whole = F.broadcast(vocab.agg(F.sum("cn").alias("whole")))  # one row
+    st = F.lit(sample) * F.col("whole")
+    return vocab.join(whole).select("token", ((F.sqrt(F.col("cn") / st) + 1) * st / F.col("cn")).alias("keep"))
 
 
 def subsampled(tokens: DataFrame, vocab: DataFrame, seed: int, sample: float = 1e-3) -> DataFrame:
@@ -50,17 +56,23 @@ def subsampled(tokens: DataFrame, vocab: DataFrame, seed: int, sample: float = 1
     return x.where(F.col("keep") >= uniform(seed, F.col("walk"), F.col("start"), F.col("step"))).drop("keep")
 
 
-def context_pairs(tokens: DataFrame, window: int, seed: int) -> DataFrame:
+def context_pairs(tokens: DataFrame, window: int, seed: int, sentence: int = SENTENCE) -> DataFrame:
     """(walk, start, position, context, center): every centre's neighbours within its shrunken window (window - hash mod
-    window) in the same walk. Each occurrence emits to the centres it can reach, so no pair of walks meets."""
+    window) in the same walk, cut into stretches of ``sentence`` tokens. No pair of walks meets."""
     reach = F.lit(window) - F.pmod(uniform32(seed, F.col("walk"), F.col("start"), F.col("step")), F.lit(window))
-    sentence = tokens.withColumn("reach", reach).groupBy("walk", "start").agg(F.array_sort(F.collect_list(F.struct("step", "token", "reach"))).alias("s"))
-    center = sentence.select("walk", "start", "s", F.posexplode("s").alias("i", "c"))
+    whole = tokens.withColumn("reach", reach).groupBy("walk", "start").agg(F.array_sort(F.collect_list(F.struct("step", "token", "reach"))).alias("s"))
+    cuts = F.transform(F.sequence(F.lit(1), F.size("s"), F.lit(sentence)), lambda i: F.slice("s", i, sentence))
+    center = whole.select("walk", "start", F.explode(cuts).alias("s")).select("walk", "start", "s", F.posexplode("s").alias("i", "c"))
     near = F.expr("slice(s, cast(greatest(i - c.reach, 0) as int) + 1, cast(least(i + c.reach, size(s) - 1) - greatest(i - c.reach, 0) as int) + 1)")
     other = center.select("walk", "start", F.col("c.step").alias("position"), F.col("c.token").alias("center"), F.explode(near).alias("o"))
     return other.where("o.step <> position").select("walk", "start", "position", F.col("o.token").alias("context"), "center")
 
 
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    """A list of floats for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, max(1, rows.shape[1]), dtype=np.int32)), pa.array(np.ascontiguousarray(rows, np.float32).ravel()))
+
+
 @dataclass(frozen=True)
 class SkipGram:
     """Hyper-parameters; input is the context word and target the centre word, index 0 is never drawn as noise."""
@@ -73,12 +85,14 @@ class SkipGram:
     sample: float = 1e-3
     seed: int = 1
     cbow: bool = False
-    partitions: int = 0
+    partitions: int = 16  # copies that are trained and averaged: a parameter of the model, not of the cluster
 
     def fit(self, paths: DataFrame) -> DataFrame:
-        """(node, emb) from (walk, start, path). Each epoch every partition trains its own copy on its walks; copies are
-        averaged by weighted sums of the vectors they touched, so the driver holds two matrices whose size follows the
-        vocabulary (at most MAX_VOCABULARY rows, checked) and never the corpus."""
+        """(node, emb) from (walk, start, path). Each epoch every part of the walks, dealt by a hash of (walk, start), trains
+        its own copy in the order of (walk, start); copies are averaged over those that touched a vector, in the order of
+        the parts, so the result depends on neither cluster nor retries. The rate falls with the share of tokens trained, down
+        to a ten-thousandth. The driver holds two matrices whose size follows the vocabulary (at most MAX_VOCABULARY rows,
+        checked) and never the corpus."""
         spark = paths.sparkSession
         counts = paths.select(F.explode("path").alias("node")).groupBy("node").agg(F.count("*").alias("cn"))
         size = counts.count()
@@ -94,41 +108,55 @@ class SkipGram:
         cum /= cum[-1] if n else 1
         st = self.sample * cn.sum()
         keep = np.minimum(1.0, (np.sqrt(cn / st) + 1) * st / cn) if n and self.sample > 0 else np.ones(n)
-        walks = paths.select("walk", "start", "path").repartition(self.partitions or spark.sparkContext.defaultParallelism, "walk", "start").sortWithinPartitions("walk", "start")
+        part = F.pmod(F.xxhash64("walk", "start"), F.lit(self.partitions)).cast("int").alias("part")
+        walks = written(paths.select(part, "walk", "start", "path"), "walks")
+        tokens = {r["part"]: r["n"] for r in walks.groupBy("part").agg(F.sum(F.size("path")).alias("n")).collect()}  # a row for each part
+        model = self
         for epoch in range(self.epochs):
             shared = spark.sparkContext.broadcast((nodes[lookup], lookup, syn0, syn1, cum, keep))
-            model = self
 
             def train(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-                from pyspark import TaskContext
+                ids, where, syn0, syn1, cum, keep = shared.value
+                number, a, b, touched, done = None, None, None, None, 0
+
+                def copy() -> Iterator[pa.RecordBatch]:
+                    at = np.flatnonzero(touched | b.any(axis=1)) if number is not None else ()
+                    for i in range(0, len(at), 50_000):
+                        k = at[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), number, np.int32)), pa.array(k), _lists(a[k]), _lists(b[k])], ["part", "i", "a", "b"])
 
-                ids, where, a, b, cum, keep = shared.value
-                a, b = a.copy(), b.copy()
-                touched = np.zeros(len(ids), bool)
-                rng = np.random.default_rng([model.seed, epoch, TaskContext.get().partitionId()])
                 for batch in batches:
-                    for path in batch.column(2):
+                    for part, walk, start, path in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                        if part != number:
+                            yield from copy()
+                            number, a, b, touched, done = part, syn0.copy(), syn1.copy(), np.zeros(len(ids), bool), 0
+                        rng = np.random.default_rng([model.seed & 0xFFFFFFFF, epoch, walk & 0xFFFFFFFF, start & 0xFFFFFFFF, start >> 32 & 0xFFFFFFFF])
                         s = where[np.searchsorted(ids, path.values.to_numpy())]
-                        s = s[rng.random(len(s)) < keep[s]]
-                        if len(s) > 1:
-                            model._sentence(s, a, b, cum, rng, epoch)
-                            touched[s] = True
-                at = np.flatnonzero(touched | b.any(axis=1))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(a[at]), pa.list_(pa.float32())), pa.array(list(b[at]), pa.list_(pa.float32()))], ["i", "a", "b"])
-
-            trained = walks.mapInArrow(train, "i long, a array<float>, b array<float>")
-            mean = [F.array(*(F.avg(F.col(c)[k]).cast("float") for k in range(self.dim))).alias(c) for c in ("a", "b")]
-            averaged = trained.groupBy("i").agg(*mean).toArrow()
+                        for at in range(0, len(s), SENTENCE):
+                            cut = s[at : at + SENTENCE]
+                            cut = cut[rng.random(len(cut)) < keep[cut]]
+                            if len(cut) > 1:
+                                model._sentence(cut, a, b, cum, rng, model.rate((epoch + done / max(1, tokens[number])) / model.epochs))
+                                touched[cut] = True
+                        done += len(s)
+                yield from copy()
+
+            dealt = walks.repartition(self.partitions, "part").sortWithinPartitions("part", "walk", "start")
+            trained = dealt.mapInArrow(train, "part int, i long, a array<float>, b array<float>")
+            summed = [F.array(*(F.aggregate(F.transform("rows", lambda r: r[c][k].cast("double")), F.lit(0.0), lambda s, v: s + v, lambda s: (s / F.size("rows")).cast("float")) for k in range(self.dim))).alias(c) for c in ("a", "b")]
+            rows = F.array_sort(F.collect_list(F.struct("part", "a", "b"))).alias("rows")  # ``partitions`` at most
+            averaged = trained.groupBy("i").agg(rows).select("i", *summed).toArrow()
             at = averaged.column("i").to_numpy()
             if len(at):
-                syn0[at], syn1[at] = (np.array(averaged.column(c).to_pylist(), np.float32) for c in ("a", "b"))
+                syn0[at], syn1[at] = (averaged.column(c).combine_chunks().values.to_numpy().reshape(-1, self.dim) for c in ("a", "b"))
             shared.unpersist()
-        schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("emb", T.ArrayType(T.FloatType()))])
-        return spark.createDataFrame([(int(v), [float(x) for x in e]) for v, e in zip(nodes, syn0, strict=True)], schema)
+        return spark.createDataFrame(pa.table([pa.array(nodes, pa.int64()), _lists(syn0)], ["node", "emb"]))
+
+    def rate(self, share: float) -> np.float32:
+        """The learning rate after a share of all tokens of all epochs."""
+        return np.float32(self.alpha * max(1e-4, 1 - share))
 
-    def _sentence(self, s: np.ndarray, a: np.ndarray, b: np.ndarray, cum: np.ndarray, rng: np.random.Generator, epoch: int) -> None:
-        rate = np.float32(self.alpha * max(1e-4, 1 - epoch / max(1, self.epochs)))
+    def _sentence(self, s: np.ndarray, a: np.ndarray, b: np.ndarray, cum: np.ndarray, rng: np.random.Generator, rate: np.float32) -> None:
         for i in range(len(s)):
             reach = self.window - int(rng.integers(self.window))
             near = np.concatenate([s[max(0, i - reach) : i], s[i + 1 : i + reach + 1]])

@@ -48,31 +48,42 @@ def micro(df: DataFrame, y: str = "y", predicted: str = "predicted") -> DataFram
     return x.select(_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def _curve(df: DataFrame, y: str, p: str, buckets: int = 256) -> DataFrame:
-    """(p, pos, neg, pos_above, neg_above): one row per distinct score, running counts from the top by score ranges."""
-    x = df.groupBy(F.col(p).alias("p")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
+def _curve(df: DataFrame, y: str, p: str, buckets: int = 256, by: tuple[str, ...] = ()) -> DataFrame:
+    """(p, pos, neg, pos_above, neg_above): one row per distinct score (of each ``by``), running counts from the top by
+    score ranges."""
+    x = df.groupBy(*by, F.col(p).alias("p")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"), F.sum((F.col(y) != 1).cast("long")).alias("neg"))
     x = x.withColumn("b", F.floor(-F.col("p") * buckets))
-    t = x.groupBy("b").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    one = W.orderBy("b")
-    t = t.select("b", (F.sum("tp").over(one) - F.col("tp")).alias("bp"), (F.sum("tn").over(one) - F.col("tn")).alias("bn"))
-    inside = W.partitionBy("b").orderBy(F.desc("p"))
-    x = x.join(t, "b")
-    return x.select("p", "pos", "neg", (F.col("bp") + F.sum("pos").over(inside) - F.col("pos")).alias("pos_above"), (F.col("bn") + F.sum("neg").over(inside) - F.col("neg")).alias("neg_above"))
+    t = x.groupBy(*by, "b").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+    one = W.partitionBy(*by).orderBy("b")
+    t = t.select(*by, "b", (F.sum("tp").over(one) - F.col("tp")).alias("bp"), (F.sum("tn").over(one) - F.col("tn")).alias("bn"))
+    inside = W.partitionBy(*by, "b").orderBy(F.desc("p"))
+    x = x.join(t, [*by, "b"])
+    return x.select(*by, "p", "pos", "neg", (F.col("bp") + F.sum("pos").over(inside) - F.col("pos")).alias("pos_above"), (F.col("bn") + F.sum("neg").over(inside) - F.col("neg")).alias("neg_above"))
 
 
 def roc_auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """The chance that a positive outscores a negative, ties counting half; null with one class only."""
-    x = _curve(df, y, p)
+    return _curve(df, y, p).agg(_auc())
+
+
+def _auc():
     wins = F.sum((F.col("pos_above") * F.col("neg") + F.col("pos") * F.col("neg") / 2).cast("double"))
-    pairs = (F.sum("pos") * F.sum("neg")).cast("double")
-    return x.agg(F.when(pairs > 0, wins / pairs).alias("auc"))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return F.when(pairs > 0, wins / pairs).alias("auc")
+
+
+def one_vs_rest_auc(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
+    """(label, auc) of every class 0, 1, ...: ``scores`` has a score for each, ``y`` is the true one; null where all rows or
+    none are of the class. The mean over classes is the macro AUC."""
+    x = df.select(F.col(y).alias("y"), F.posexplode(scores).alias("label", "p"))
+    x = x.select("label", (F.col("y") == F.col("label")).cast("int").alias("y"), "p")
+    return _curve(x, "y", "p", by=("label",)).groupBy("label").agg(_auc())
 
 
 def roc_curve(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(threshold, fpr, tpr) at each distinct score."""
-    x = _curve(df, y, p)
-    every = W.partitionBy()
-    return x.select(F.col("p").alias("threshold"), ((F.col("neg_above") + F.col("neg")) / F.sum("neg").over(every)).alias("fpr"), ((F.col("pos_above") + F.col("pos")) / F.sum("pos").over(every)).alias("tpr"))
+    whole = F.broadcast(df.agg(F.sum((F.col(y) != 1).cast("long")).alias("negs"), F.sum((F.col(y) == 1).cast("long")).alias("poss")))  # one row
+    return _curve(df, y, p).join(whole).select(F.col("p").alias("threshold"), ((F.col("neg_above") + F.col("neg")) / F.col("negs")).alias("fpr"), ((F.col("pos_above") + F.col("pos")) / F.col("poss")).alias("tpr"))
 
 
 def log_loss(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TRAIN = 5_000_000
+MAX_TRAIN = 200_000_000  # numbers in the training set that the driver holds, 8 bytes each
 
 
 @dataclass
@@ -122,9 +122,10 @@ class Network:
 
 def matrices(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(features, label) of a bounded training set, on the driver."""
-    rows = df.select("features", "label").limit(MAX_TRAIN + 1).toArrow()
-    if rows.num_rows > MAX_TRAIN:
-        raise ValueError(f"more than {MAX_TRAIN} training rows; sample first")
+    n, width = df.agg(F.count("*"), F.max(F.size("features"))).first()
+    if n * (width or 0) > MAX_TRAIN:
+        raise ValueError(f"{n} training rows of {width} numbers exceed {MAX_TRAIN}; sample first")
+    rows = df.select("features", "label").toArrow()
     x = rows.column("features").combine_chunks()
     width = len(x.values) // max(1, rows.num_rows) if rows.num_rows else 0
     return np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64).reshape(rows.num_rows, width), rows.column("label").to_numpy()

@@ -8,6 +8,9 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Params:
+    """num_workers, num_threads, use_max_num_threads and num_batches are read for the files' sake: the cluster's executors
+    and partitions take their place."""
+
     output_dim: int = 5
     learning_rate: float = 1.0
     num_epochs: int = 50
@@ -58,15 +61,19 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("-k", "--degree", type=int, default=16)
     p.add_argument("-c", "--params")
     p.add_argument("-p", "--labels", help="folder of train.tsv, valid.tsv and test.tsv")
-    p.add_argument("-n", "--trials", type=int, default=1)
-    p.add_argument("-r", "--node", type=int)
-    p.add_argument("-a", "--analysis", action="store_true")
-    p.add_argument("-v", "--verify", action="store_true")
+    p.add_argument("-n", "--trials", type=int, default=1, help="walk: how often it is timed")
+    p.add_argument("-r", "--node", type=int, help="walk: start at this vertex only")
+    p.add_argument("-a", "--analysis", action="store_true", help="walk: print how many walks have each length; else the first rows of the graph's degrees")
+    p.add_argument("-v", "--verify", action="store_true", help="check that every step of the walks is a later edge of the graph")
     p.add_argument("-e", "--edges", help="converter: text output")
     p.add_argument("-b", "--binary", help="converter: Parquet output")
     p.add_argument("-w", "--weighted", action="store_true")
     p.add_argument("--dedup", action="store_true")
     a = p.parse_args(argv)
+    if a.command != "walk" and (a.node is not None or a.trials != 1):
+        p.error("-r and -n belong to walk")
+    if a.command == "node" and not a.labels:
+        p.error("node needs -p")
     if sum(x is not None for x in (a.file, a.kronecker, a.uniform)) != 1:
         p.error("give one of -f, -g and -u")
     a.symmetrize = a.symmetrize or a.file is None

@@ -5,10 +5,10 @@ from __future__ import annotations
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronograph.operators import dataset, metrics, models, walk
+from chronograph.operators import dataset, graph, metrics, models, walk
 from chronograph.operators.embedding import SkipGram
 from chronograph.operators.graph import TemporalGraph
 from chronograph.plans.config import Params, arguments
@@ -39,6 +39,17 @@ def walks_of(edges: DataFrame, p: Params) -> DataFrame:
     return strategy(edges, p.num_walks_per_node, p.walk_length, p.seed)
 
 
+def verified(steps: DataFrame, edges: DataFrame) -> DataFrame:
+    """``steps``, or an error if a step is no edge of the graph or not later than the one before."""
+    w = Window.partitionBy("walk", "start").orderBy("step")
+    x = steps.withColumn("_from", F.lag("node").over(w)).withColumn("_ts", F.lag("ts").over(w)).where("step > 0")
+    known = edges.select(F.col("src").alias("_from"), F.col("dst").alias("node"), F.col("ts").cast("double").alias("ts")).distinct()
+    wrong = x.where("ts <= _ts").select("walk", "start", "step").union(x.join(known, ["_from", "node", "ts"], "left_anti").select("walk", "start", "step")).first()
+    if wrong is not None:
+        raise ValueError(f"walk {wrong['walk']} from {wrong['start']}: step {wrong['step']} is no later edge")
+    return steps
+
+
 def embed(edges: DataFrame, p: Params, epochs: int, timings: Timings, window: int = 10) -> DataFrame:
     with timings.stage("walk"):
         steps = walks_of(edges, p).persist()
@@ -102,12 +113,24 @@ def main(argv: list[str] | None = None) -> None:
     p, t = Params.read(a.params) if a.params else Params(), Timings()
     g = graph_of(spark, a)
     print(g.describe())
+    if a.verify:
+        verified(walks_of(g.edges, p), g.edges)
+        print("every step is a later edge")
+    if a.analysis and a.command != "walk":
+        for r in graph.top_k(g.out_degrees(), "degree", "node", 20).collect():
+            print(r["node"], r["degree"])
     if a.command == "convert":
         convert(g, a.edges, a.binary, a.weighted)
     elif a.command == "walk":
-        for _ in range(a.trials):
-            with t.stage("walk"):
-                walks_of(g.edges, p).count()
+        for k in range(a.trials):
+            with t.stage(f"walk {k + 1}"):
+                steps = walks_of(g.edges, p)
+                steps = steps if a.node is None else steps.where(F.col("start") == a.node)
+                steps.write.format("noop").mode("overwrite").save()
+        if a.analysis:
+            for r in walk.lengths(steps).groupBy("length").count().orderBy("length").collect():
+                print(r["length"], r["count"])
+        t["mean of a walk trial"] = sum(t.values()) / max(1, a.trials)
     elif a.command == "link":
         print(metrics.accuracy(link_prediction(g.edges, p, timings=t)).first()[0])
     else:

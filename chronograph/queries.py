@@ -6,17 +6,19 @@ Two graphs are derived: the event graph links each event's user to the next even
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronograph.functions.rand import sql_uniform, uniform, uniform32
+from chronograph.functions.tables import shared_folder
 from chronograph.operators import dataset, embedding, graph, metrics, models, walk
 from chronograph.operators.ranking import following, time_bucket
 from chronograph.plans import pipelines
 from chronograph.plans.config import Params
-from chronograph.sources import generators
+from chronograph.sources import generators, graphs, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,11 +185,9 @@ def non_edges(spark, d):
     return dataset.non_edges(e, spark.range(5).withColumnRenamed("id", "node")).select("src", "dst")
 
 
-@query(f"WITH {EVENT} SELECT eid, 1 + CAST(floor({sql_uniform('27491095', 'eid')} * 4294967296) AS BIGINT) % 255 AS ts FROM e")
+@query(f"WITH {EVENT} SELECT eid, 1 + CAST(floor({sql_uniform('42', 'eid')} * 4294967296) AS BIGINT) % 255 AS ts FROM e")
 def insert_weights(spark, d):
-    from chronograph.sources.graphs import with_weights
-
-    return with_weights(event_graph(spark, d).withColumn("ts", F.lit(None).cast("double"))).select("eid", F.col("ts").cast("long").alias("ts"))
+    return graphs.with_weights(event_graph(spark, d).withColumn("ts", F.lit(None).cast("double"))).select("eid", F.col("ts").cast("long").alias("ts"))
 
 
 # --- walks --------------------------------------------------------------------------------------------------------
@@ -345,7 +345,24 @@ def link_dataset_positives(spark, d):
     return dataset.link_dataset(event_graph(spark, d), seed=SEED).where("label = 1").groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+def _draws(name: str) -> str:
+    """In SQL, for the split's seed: candidates in order, the first legal one, and a pair of its own for the rest."""
+    h = lambda *k: f"CAST(floor({sql_uniform('p.draw', *k)} * 4294967296) AS BIGINT)"
+    return f"""{name}c AS (SELECT p.*, r, CASE WHEN {sql_uniform("p.draw", "'side'", "p.eid")} > 0.5 THEN p.src ELSE {h("'src'", "p.eid", "r")} % n END AS s, {h("'dst'", "p.eid", "r")} % n AS t FROM pos p, n, (SELECT unnest(range(20)) AS r)),
+{name}l AS (SELECT draw, eid, min({{'r': r, 's': s, 't': t}}) AS c FROM {name}c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = s AND e.dst = t) GROUP BY draw, eid),
+free AS (SELECT a.node AS s, list(b.node ORDER BY b.node) AS free FROM v a, v b WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = a.node AND e.dst = b.node) GROUP BY a.node),
+fs AS (SELECT list(s ORDER BY s) AS fs FROM free),
+{name}x AS (SELECT p.draw, p.eid, CASE WHEN {sql_uniform("p.draw", "'side'", "p.eid")} > 0.5 AND list_contains(fs, p.src) THEN p.src ELSE fs[1 + {h("'free source'", "p.eid")} % len(fs)] END AS s FROM pos p, fs WHERE NOT EXISTS (SELECT 1 FROM {name}l l WHERE l.draw = p.draw AND l.eid = p.eid)),
+{name} AS (SELECT draw, eid, c.s AS src, c.t AS dst FROM {name}l UNION ALL SELECT p.draw, p.eid, p.s, f.free[1 + {h("'free end'", "p.eid")} % len(f.free)] FROM {name}x p JOIN free f ON f.s = p.s)"""
+
+
+@query(f"""WITH {SIZES},
+ht AS (SELECT pool.*, row_number() OVER (ORDER BY {sql_uniform(repr(f'{SEED}-train'), 'eid')}, eid) AS r FROM pool),
+hv AS (SELECT pool.*, row_number() OVER (ORDER BY {sql_uniform(repr(f'{SEED}-valid'), 'eid')}, eid) AS r FROM pool),
+pos AS (SELECT 'train' AS split, {SEED} AS draw, eid, src, dst FROM ht, sz WHERE r <= train UNION ALL SELECT 'valid', {SEED + 1}, eid, src, dst FROM hv, sz WHERE r <= test
+  UNION ALL SELECT 'test', {SEED + 2}, eid, src, dst FROM o, sz WHERE rn > m - test),
+{_draws('neg')}
+SELECT split, 1 AS label, eid, src, dst FROM pos UNION ALL SELECT CASE draw WHEN {SEED} THEN 'train' WHEN {SEED + 1} THEN 'valid' ELSE 'test' END, 0, eid, src, dst FROM neg""")
 def link_dataset(spark, d):
     return dataset.link_dataset(event_graph(spark, d), seed=SEED)
 
@@ -395,15 +412,13 @@ def class_count(spark, d):
 
 @query("SELECT vec_id AS node, label FROM embeddings")
 def one_hot_label(spark, d):
-    from chronograph.sources import graphs
-
     x = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k == F.col("label")).cast("int")).alias("hot"))
     return x.select("node", graphs.one_hot_label(F.col("hot")).alias("label"))
 
 
 # --- generators ---------------------------------------------------------------------------------------------------
 
-_BITS = lambda end, n: f"CAST(floor({sql_uniform('27491095', repr(end), 'id')} * 4294967296) AS BIGINT) % {n}"
+_BITS = lambda end, n: f"CAST(floor({sql_uniform('42', repr(end), 'id')} * 4294967296) AS BIGINT) % {n}"
 
 
 @query(f"SELECT id AS eid, {_BITS('src', 256)} AS src, {_BITS('dst', 256)} AS dst FROM (SELECT unnest(range(4096)) AS id)")
@@ -411,10 +426,10 @@ def uniform_edges(spark, d):
     return generators.uniform_edges(spark, 8)
 
 
-@query(f"""WITH l AS (SELECT id, k, {sql_uniform('27491095', "'q'", 'id', 'k')} AS u FROM (SELECT unnest(range(4096)) AS id), (SELECT unnest(range(8)) AS k)),
+@query(f"""WITH l AS (SELECT id, k, {sql_uniform('42', "'q'", 'id', 'k')} AS u FROM (SELECT unnest(range(4096)) AS id), (SELECT unnest(range(8)) AS k)),
 x AS (SELECT id AS eid, CAST(sum(CASE WHEN u >= 0.57::DOUBLE + 0.19::DOUBLE THEN 1 << (7 - k) ELSE 0 END) AS BIGINT) AS s,
   CAST(sum(CASE WHEN u >= 0.57::DOUBLE AND u < 0.57::DOUBLE + 0.19::DOUBLE OR u >= 0.57::DOUBLE + 0.19::DOUBLE + 0.19::DOUBLE THEN 1 << (7 - k) ELSE 0 END) AS BIGINT) AS t FROM l GROUP BY id),
-p AS (SELECT id, row_number() OVER (ORDER BY {sql_uniform('27491095', "'p'", 'id')}, id) - 1 AS new FROM (SELECT unnest(range(256)) AS id))
+p AS (SELECT id, row_number() OVER (ORDER BY {sql_uniform('42', "'p'", 'id')}, id) - 1 AS new FROM (SELECT unnest(range(256)) AS id))
 SELECT eid, a.new AS src, b.new AS dst FROM x JOIN p a ON a.id = s JOIN p b ON b.id = t""")
 def rmat_edges(spark, d):
     return generators.rmat_edges(spark, 8).select("eid", "src", "dst")
@@ -506,11 +521,191 @@ def node_classification_accuracy(spark, d):
     return metrics.accuracy(pipelines.node_classification(e, dataset.label_split(nodes, SEED), p, epochs=1))
 
 
-@query()
+def _k_means_sql(k: int, rounds: int) -> str:
+    sql = f"WITH x AS (SELECT vec_id AS node, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), c0 AS (SELECT vec_id AS node, vec_id % {k} AS cluster FROM embeddings)"
+    for r in range(1, rounds + 1):
+        sql += f""",
+m{r} AS (SELECT cluster, i, avg(v) AS m FROM x JOIN c{r - 1} USING (node) GROUP BY cluster, i),
+u{r} AS (SELECT cluster, i, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY cluster)), 1e-12) AS m FROM m{r}),
+d{r} AS (SELECT x.node, cluster, sum(v * m) AS dot FROM x JOIN u{r} USING (i) GROUP BY x.node, cluster),
+c{r} AS (SELECT node, CAST(cluster AS INTEGER) AS cluster FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dot DESC, cluster) AS k FROM d{r}) WHERE k = 1)"""
+    return f"{sql} SELECT node, cluster FROM c{rounds}"
+
+
+@query(_k_means_sql(5, 10))
 def kmeans_clusters(spark, d):
     return embedding.k_means(_vectors(spark, d), 5)
 
 
+_HIDDEN = 6
+
+
+@query(f"""WITH {EVENT}, f AS (SELECT eid, list_concat(s.embedding, t.embedding) AS f FROM e JOIN embeddings s ON s.vec_id = src JOIN embeddings t ON t.vec_id = dst),
+h AS (SELECT eid, h, greatest(list_sum(list_transform(range(1, 129), lambda i: CAST(f[i] AS DOUBLE) * (((i - 1) * 37 + h * 11) % 23 - 11) / 20)) + (h - 2) / CAST(10 AS DOUBLE), 0) AS a FROM f, (SELECT unnest(range({_HIDDEN})) AS h))
+SELECT eid, round(1 / (1 + exp(-(sum(a * (h * 7 % 5 - 2) / 3) + 0.25))), 9) AS p, CAST(1 / (1 + exp(-(sum(a * (h * 7 % 5 - 2) / 3) + 0.25))) > 0.5 AS INTEGER) AS predicted FROM h GROUP BY eid""")
+def link_mlp_fixed_weights(spark, d):
+    """The two-layer link network, its weights given by a rule, over all edges with vectors."""
+    import numpy as np
+
+    net = models.Network([128, _HIDDEN, 1], "link")
+    i, h = np.arange(128)[:, None], np.arange(_HIDDEN)[None, :]
+    net.weights = [((i * 37 + h * 11) % 23 - 11) / 20, ((np.arange(_HIDDEN) * 7 % 5 - 2) / 3)[:, None]]
+    net.biases = [(np.arange(_HIDDEN) - 2) / 10, np.array([0.25])]
+    v = _vectors(spark, d)
+    ids = v.select(F.col("node").alias("src"))
+    pairs = event_graph(spark, d).join(ids, "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").select("eid", "src", "dst")
+    return models.predictions(dataset.edge_features(pairs, v), net).select("eid", F.round("p", 9).alias("p"), "predicted")
+
+
+@query("""WITH s AS (SELECT label = k AS y, k AS label, embedding[k + 1] AS p FROM embeddings, (SELECT unnest(range(10)) AS k)),
+r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY p) + (count(*) OVER (PARTITION BY label, p) - 1) / 2.0 AS r FROM s),
+t AS (SELECT label, CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE NOT y) AS DOUBLE) AS b, sum(r) FILTER (WHERE y) AS w FROM r GROUP BY label)
+SELECT CAST(label AS INTEGER) AS label, CASE WHEN a * b > 0 THEN round((w - a * (a + 1) / 2) / (a * b), 9) END AS auc FROM t""")
+def one_vs_rest_auc(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("label").alias("y"), F.slice("embedding", 1, 10).alias("scores"))
+    return metrics.one_vs_rest_auc(x).select("label", F.round("auc", 9).alias("auc"))
+
+
+# --- files --------------------------------------------------------------------------------------------------------
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex[:12]}/{name}"
+
+
+def _as_text(lines: DataFrame, path: str) -> str:
+    """(key, line) rows as a folder of files in key order."""
+    lines.repartitionByRange("key").sortWithinPartitions("key").select("line").write.text(path)
+    return path
+
+
+def _head(spark: SparkSession, *lines: str) -> DataFrame:
+    return spark.createDataFrame([(i - len(lines), x) for i, x in enumerate(lines)], "key long, line string")
+
+
+_TIMED = f"WITH {EVENT} SELECT src, dst, ts FROM e"
+_PAIRS = f"WITH {EVENT} SELECT src, dst FROM e"
+
+
+@query(_TIMED)
+def file_wel(spark, d):
+    path = _file(spark, "g.wel")
+    sinks.write_edges(event_graph(spark, d), path)
+    return graphs.load(spark, path).select("src", "dst", "ts")
+
+
+@query(_PAIRS)
+def file_el(spark, d):
+    path = _file(spark, "g.el")
+    sinks.write_edges(event_graph(spark, d), path, weighted=False)
+    return graphs.read(spark, path).select("src", "dst")
+
+
+@query(f"WITH {EVENT} SELECT eid, src, dst, ts FROM e")
+def file_parquet(spark, d):
+    path = _file(spark, "g.parquet")
+    sinks.write_graph(event_graph(spark, d), path)
+    return graphs.read(spark, path)
+
+
+@query(_TIMED)
+def file_gr(spark, d):
+    e = event_graph(spark, d).select(F.col("eid").alias("key"), F.concat_ws(" ", F.lit("a"), F.col("src") + 1, F.col("dst") + 1, F.col("ts").cast("string")).alias("line"))
+    return graphs.read(spark, _as_text(_head(spark, "c a comment", "p sp 1 1").union(e), _file(spark, "g.gr"))).select("src", "dst", "ts")
+
+
+@query(_TIMED)
+def file_metis(spark, d):
+    """Vertex lines of neighbours and weights, with a comment and blank lines of vertices without neighbours."""
+    e = event_graph(spark, d)
+    n = graph.num_nodes(e).first()[0]
+    one = F.concat_ws(" ", F.col("dst") + 1, F.col("ts").cast("string"))
+    rows = graph.vertices(e).join(e.groupBy(F.col("src").alias("node")).agg(F.array_join(F.collect_list(one), " ").alias("line")), "node", "left")
+    rows = rows.select(F.col("node").alias("key"), F.coalesce("line", F.lit("")).alias("line"))
+    return graphs.read(spark, _as_text(_head(spark, "% a comment", f"{n} {e.count()} 1").union(rows), _file(spark, "g.graph"))).select("src", "dst", "ts")
+
+
+@query(f"WITH {EVENT} SELECT src, dst, ts FROM e UNION ALL SELECT dst, src, ts FROM e")
+def file_mtx(spark, d):
+    e = event_graph(spark, d)
+    n = graph.num_nodes(e).first()[0]
+    rows = e.select(F.col("eid").alias("key"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, F.col("ts").cast("string")).alias("line"))
+    head = _head(spark, "%%MatrixMarket matrix coordinate real symmetric", "% a comment", f"{n} {n} {e.count()}")
+    return graphs.read(spark, _as_text(head.union(rows), _file(spark, "g.mtx"))).select("src", "dst", "ts")
+
+
+@query(f"WITH {EVENT} SELECT src, dst, CAST(floor(ts * 1000000) AS DOUBLE) AS ts FROM e")
+def file_raw_temporal(spark, d):
+    """Lines of three and of four numbers."""
+    t = F.floor(F.col("ts") * 1000000).cast("string")
+    line = F.when(F.col("eid") % 2 == 0, F.concat_ws(" ", "src", "dst", t)).otherwise(F.concat_ws(",", "src", "dst", F.lit("1"), t))
+    path = _as_text(event_graph(spark, d).select(F.col("eid").alias("key"), line.alias("line")), _file(spark, "g.txt"))
+    return graphs.read_raw_temporal(spark, path).select("src", "dst", "ts")
+
+
+@query("SELECT c_custkey AS node, c_nationkey AS label FROM customer")
+def file_labels(spark, d):
+    rows = _labels(spark, d).select(F.col("node").alias("key"), F.concat_ws("\t", F.col("node"), F.col("label")).alias("line"))
+    return graphs.read_labels(spark, _as_text(rows, _file(spark, "labels.tsv")))
+
+
+@query("SELECT count(*) AS lines FROM customer")
+def file_row_count(spark, d):
+    rows = _labels(spark, d).select(F.col("node").alias("key"), F.col("label").cast("string").alias("line"))
+    return spark.createDataFrame([(graphs.row_count(spark, _as_text(rows, _file(spark, "labels.tsv"))),)], "lines long")
+
+
+@query(f"WITH {_walk_sql(STEPS)} SELECT start, step, CAST(node AS VARCHAR) AS token FROM steps WHERE walk = 1")
+def file_walks(spark, d):
+    """A walk corpus written and read back; a sentence's first token is its start."""
+    path = _file(spark, "walks.txt")
+    sinks.write_walks(walks(spark, d).where("walk = 1"), path)
+    x = graphs.read_tokens(spark, path)
+    first = x.where("step = 0").select("sentence", F.col("token").cast("long").alias("start"))
+    return x.join(first, "sentence").select("start", "step", "token")
+
+
+@query(f"WITH {VOCAB} SELECT token, cn FROM c WHERE token <> '</s>'")
+def file_vocabulary(spark, d):
+    path = _file(spark, "vocabulary")
+    steps = walks(spark, d)
+    sinks.write_vocabulary(embedding.vocabulary(steps.select(F.col("node").cast("string").alias("token"))), path)
+    return graphs.read_vocabulary(spark, path)
+
+
+@query("SELECT vec_id AS node, len(embedding) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def file_embeddings(spark, d):
+    path = _file(spark, "vectors")
+    sinks.write_embeddings(_vectors(spark, d), path)
+    n, width = (int(v) for v in spark.read.text(f"{path}-header").first()[0].split())
+    x = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    numbers = F.transform(F.slice("p", 2, width), lambda v: v.cast("double"))
+    return x.select(F.get("p", F.lit(0)).cast("long").alias("node"), F.size(numbers).alias("width"), F.round(F.aggregate(numbers, F.lit(0.0), lambda s, v: s + v), 4).alias("total")).limit(n)
+
+
+@query(f"WITH c AS (SELECT c_custkey AS node, c_nationkey AS label, row_number() OVER (ORDER BY {sql_uniform(str(SEED), 'c_custkey')}, c_custkey) AS r, count(*) OVER () AS n FROM customer) SELECT node, label, CASE WHEN r <= n * 6 // 10 THEN 'train' WHEN r <= n * 6 // 10 + n * 2 // 10 THEN 'valid' ELSE 'test' END AS split FROM c")
+def file_node_splits(spark, d):
+    path = _file(spark, "splits")
+    sinks.write_splits(dataset.label_split(_labels(spark, d), SEED), path)
+    return spark.read.schema("node long, label int, split string").csv(path, sep=" ")
+
+
+@query(ORACLES["link_dataset"])
+def file_link_splits(spark, d):
+    """The lists of a link dataset written and read back, with the edge ids of the dataset they hold."""
+    path = _file(spark, "lists")
+    data = dataset.link_dataset(event_graph(spark, d), seed=SEED)
+    sinks.write_link_splits(data, path)
+    x = spark.read.schema("src long, dst long, list string").csv(path, sep=" ")
+    x = x.select(F.substring_index("list", "_", 1).alias("split"), F.endswith("list", F.lit("_p")).cast("int").alias("label"), "src", "dst").distinct()
+    return data.join(x, ["split", "label", "src", "dst"]).select("split", "label", "eid", "src", "dst")
+
+
+@query(f"WITH {EVENT} SELECT src, src || ': ' || array_to_string(list(CAST(dst AS VARCHAR) ORDER BY ts, dst, eid), ' ') AS line FROM e GROUP BY src")
+def graph_topology(spark, d):
+    return sinks.topology(graph.adjacency(event_graph(spark, d)))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """One-step temporal transitions on the event graph."""
     return walk_one_step(spark, d)

@@ -16,13 +16,15 @@ def _checked(scale: int) -> int:
     return 1 << scale
 
 
-def uniform_edges(spark: SparkSession, scale: int, degree: int = 16, seed: int = 27491095) -> DataFrame:
+def uniform_edges(spark: SparkSession, scale: int, degree: int = 16, seed: int = 42) -> DataFrame:
     n = _checked(scale)
-    draw = lambda end: F.pmod(uniform32(seed, F.lit(end), F.col("id")) * F.lit(1 if n <= 1 << 32 else n >> 32), F.lit(n))
+    low = lambda end: uniform32(seed, F.lit(end), F.col("id"))
+    wide = lambda end: low(end) + F.shiftleft(uniform32(seed, F.lit(f"{end} high"), F.col("id")) % F.lit(max(1, n >> 32)), 32)
+    draw = lambda end: F.pmod(low(end) if n <= 1 << 32 else wide(end), F.lit(n))
     return spark.range(n * degree).select(F.col("id").alias("eid"), draw("src").alias("src"), draw("dst").alias("dst"))
 
 
-def rmat_edges(spark: SparkSession, scale: int, degree: int = 16, seed: int = 27491095, a: float = 0.57, b: float = 0.19, c: float = 0.19) -> DataFrame:
+def rmat_edges(spark: SparkSession, scale: int, degree: int = 16, seed: int = 42, a: float = 0.57, b: float = 0.19, c: float = 0.19) -> DataFrame:
     """Kronecker edges: each level picks a quadrant; then ids are permuted by hash order."""
     n = _checked(scale)
     levels = F.transform(F.sequence(F.lit(0), F.lit(scale - 1)), lambda k: uniform(seed, F.lit("q"), F.col("id"), k))

@@ -1,9 +1,8 @@
 """Graph file readers. Each returns (eid, src, dst, ts) with 0-based ids in file order; ts is null where the file has
 none, and ``load`` fills it. Malformed rows are errors, blank rows are skipped.
 
-Line-oriented formats are read as splittable text; eid is the line's byte-order position, made from (file, block, offset in
-block) rank via ``monotonically_increasing_id``, so it grows with file order. METIS needs true line numbers and is read as
-whole files.
+All formats are read as splittable text. A line's place is (file, start of the split, ``monotonically_increasing_id``),
+and its eid the last of these; METIS, which needs true line numbers, counts the lines of each split first.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from chronograph.functions.rand import uniform32
 
@@ -29,10 +29,21 @@ def suffix(path: str) -> str:
     return name.rpartition(".")[2]
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(eid, value): non-blank lines, trimmed, in file order."""
-    x = spark.read.text(path).select(F.monotonically_increasing_id().alias("eid"), F.trim(F.regexp_replace("value", "\r$", "")).alias("value"))
-    return x.where("value <> ''")
+def lines(spark: SparkSession, path: str, blank: bool = False) -> DataFrame:
+    """(eid, place, value): lines, trimmed; ``place`` orders them as in the file, or as in the files of a folder by name."""
+    eid = F.monotonically_increasing_id()
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), eid.alias("id"))
+    x = spark.read.text(path).select(eid.alias("eid"), place.alias("place"), F.trim(F.regexp_replace("value", "\r$", "")).alias("value"))
+    return x if blank else x.where("value <> ''")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(line, value) of ``rows`` (place, value), from 0: the lines of each split are counted, and ranked within it."""
+    x = rows.select("place.file", "place.start", "place.id", "value")
+    counts = x.groupBy("file", "start").agg(F.count("*").alias("n"))  # a row for each split
+    before = counts.select("file", "start", (F.sum("n").over(W.orderBy("file", "start")) - F.col("n")).alias("before"))
+    inside = W.partitionBy("file", "start").orderBy("id")
+    return x.withColumn("r", F.row_number().over(inside)).join(before, ["file", "start"]).select((F.col("before") + F.col("r") - 1).alias("line"), "value")
 
 
 def _cast(column: Column, kind: str, what: str) -> Column:
@@ -62,27 +73,27 @@ def read_gr(spark: SparkSession, path: str) -> DataFrame:
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
     """Header ``n m [format]``; the i-th following line lists the neighbours of vertex i, blank lines included. Format 1
     has pairs of neighbour and weight; 0, 100 or none have neighbours only."""
-    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
-    rows = whole.select(F.filter("l", lambda x: ~F.startswith(F.ltrim(x), F.lit("%"))).alias("l"))
-    head = F.split(F.trim(F.element_at("l", 1)), SPACES)
-    kind = F.coalesce(F.get(head, F.lit(2)), F.lit("0"))
-    ok = F.when(kind.isin("0", "1", "100"), kind).otherwise(F.raise_error(F.concat(F.lit("unsupported METIS format "), kind)))
-    body = rows.select(ok.alias("kind"), F.get(head, F.lit(0)).cast("int").alias("n"), F.posexplode(F.slice("l", 2, F.size("l"))).alias("src", "line")).where("src < n")
-    tokens = body.select("kind", F.col("src").cast("long").alias("src"), F.filter(F.split(F.trim("line"), SPACES), lambda x: x != "").alias("p")).where("size(p) > 0")
-    stride = F.when(F.col("kind") == "1", 2).otherwise(1)
-    each = tokens.select("kind", "src", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1, stride)).alias("i"))
-    return each.select(
-        (F.col("src") * F.lit(1 << 32) + F.col("i")).alias("eid"), "src", (_cast(F.get("p", F.col("i")), "long", "vertex") - 1).alias("dst"),
-        F.when(F.col("kind") == "1", _cast(F.get("p", F.col("i") + 1), "double", "weight")).alias("ts"),
-    )
+    rows = numbered(lines(spark, path, blank=True).where(~F.startswith("value", F.lit("%"))))
+    first = rows.where("line = 0").select("value").first()
+    head = first["value"].split() if first else []
+    if not head or not all(h.isdigit() for h in head):
+        raise FormatError(f"{path}: no METIS header")
+    n, kind = int(head[0]), head[2] if len(head) > 2 else "0"
+    if kind not in ("0", "1", "100"):
+        raise FormatError(f"{path}: unsupported METIS format {kind}")
+    body = rows.where((F.col("line") > 0) & (F.col("line") <= n) & (F.col("value") != ""))
+    tokens = body.select((F.col("line") - 1).alias("src"), F.split("value", SPACES).alias("p"))
+    each = tokens.select("src", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1, F.lit(2 if kind == "1" else 1))).alias("i"))
+    weight = _cast(F.get("p", F.col("i") + 1), "double", "weight") if kind == "1" else F.lit(None).cast("double")
+    return each.select((F.col("src") * F.lit(1 << 32) + F.col("i")).alias("eid"), "src", (_cast(F.get("p", F.col("i")), "long", "vertex") - 1).alias("dst"), weight.alias("ts"))
 
 
 def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate matrices: pattern, or real, double or integer weights; symmetric ones are mirrored, each entry (the
     diagonal too); complex values, arrays, other symmetries and non-square shapes are refused."""
     rows = lines(spark, path)
-    first = [r["value"] for r in rows.orderBy("eid").limit(1).collect()]
-    banner = first[0].lower().split() if first else []
+    first = rows.agg(F.min_by("value", "place").alias("value")).first()["value"]
+    banner = (first or "").lower().split()
     if len(banner) != 5 or banner[0] != "%%matrixmarket":
         raise FormatError(f"{path}: no MatrixMarket banner")
     _, kind, layout, field, symmetry = banner
@@ -93,11 +104,12 @@ def read_mtx(spark: SparkSession, path: str) -> DataFrame:
     if symmetry not in ("general", "symmetric", "skew-symmetric"):
         raise FormatError(f"{path}: symmetry {symmetry} is not read")
     body = rows.where(~F.startswith("value", F.lit("%")))
-    size = body.orderBy("eid").limit(1).collect()[0]
-    n, m, *_ = size["value"].split()
+    size = body.agg(F.min_by("value", "place").alias("value"), F.min("place").alias("place")).first()
+    n, m, *_ = (size["value"] or "").split() or ["", " "]
     if n != m:
         raise FormatError(f"{path}: the matrix is not square")
-    out = _edges(body.where(F.col("eid") > size["eid"]), F.split("value", SPACES), 0, field != "pattern", 1)
+    header = F.struct(*(F.lit(size["place"][c]).alias(c) for c in ("file", "start", "id")))
+    out = _edges(body.where(F.col("place") > header), F.split("value", SPACES), 0, field != "pattern", 1)
     return out.union(out.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"), "ts")) if symmetry == "symmetric" else out
 
 
@@ -114,12 +126,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return READERS[kind](spark, path)
 
 
-def with_weights(edges: DataFrame, seed: int = 27491095) -> DataFrame:
+def with_weights(edges: DataFrame, seed: int = 42) -> DataFrame:
     """Times where there are none: whole numbers from 1 to 255 from a hash of eid."""
     return edges.withColumn("ts", F.coalesce("ts", (F.pmod(uniform32(seed, F.col("eid")), F.lit(255)) + 1).cast("double")))
 
 
-def load(spark: SparkSession, path: str, seed: int = 27491095) -> DataFrame:
+def load(spark: SparkSession, path: str, seed: int = 42) -> DataFrame:
     return with_weights(read(spark, path), seed)
 
 
@@ -136,7 +148,7 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(sentence, step, token) of a walk corpus."""
+    """(sentence, step, token) of a walk corpus; steps count from 0."""
     x = lines(spark, path).select(F.col("eid").alias("sentence"), F.posexplode(F.split("value", SPACES)).alias("step", "token"))
     return x.select("sentence", "step", "token")
 
@@ -148,12 +160,13 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(edges, labels) of an archive with adjs[T, N, N] and one-hot labels[N, C]: snapshot j has time j / T."""
     import numpy as np
+    import pyarrow as pa
 
     with np.load(path) as z:
         adjs, hot = z["adjs"], z["labels"]
     t, u, v = np.nonzero(adjs)
-    edges = spark.createDataFrame([(i, int(a), int(b), float(s) / len(adjs)) for i, (s, a, b) in enumerate(zip(t, u, v, strict=True))], "eid long, src long, dst long, ts double")
-    labels = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(hot)], "node long, hot array<int>")
+    edges = spark.createDataFrame(pa.table({"eid": np.arange(len(t)), "src": u, "dst": v, "ts": t / len(adjs)}))
+    labels = spark.createDataFrame(pa.table({"node": np.arange(len(hot)), "hot": pa.array(list(hot.astype(np.int32)), pa.list_(pa.int32()))}))
     return edges, labels.select("node", one_hot_label(F.col("hot")).alias("label"))
 
 

@@ -45,6 +45,18 @@ def write_splits(labels: DataFrame, path: str) -> None:
     labels.select("split", F.col("node").cast("string"), F.col("label").cast("string")).write.partitionBy("split").csv(path, sep=" ")
 
 
+def write_link_splits(data: DataFrame, path: str) -> None:
+    """Folders train_p, train_n, valid_p, ... of ``src dst`` lines, from (split, label, src, dst)."""
+    name = F.concat_ws("_", "split", F.when(F.col("label") == 1, "p").otherwise("n"))
+    data.select(name.alias("list"), F.col("src").cast("string"), F.col("dst").cast("string")).write.partitionBy("list").csv(path, sep=" ")
+
+
+def neighbors(adjacent: DataFrame, node: int) -> list[str]:
+    """The printed neighbours of one vertex, by time: ``dst ts`` each."""
+    rows = adjacent.where(F.col("src") == node).select(F.explode("neighbors").alias("e")).select(F.concat_ws(" ", F.col("e.dst").cast("string"), F.col("e.ts").cast("string")).alias("line"))
+    return [r["line"] for r in rows.toLocalIterator()]
+
+
 def topology(adjacent: DataFrame) -> DataFrame:
     """Printable adjacency: (src, line)."""
     return adjacent.select("src", F.concat(F.col("src").cast("string"), F.lit(": "), F.array_join(F.transform("neighbors", lambda x: x["dst"].cast("string")), " ")).alias("line"))
