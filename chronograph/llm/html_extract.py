@@ -16,13 +16,14 @@ together, are slots. Over the pages of a wrapper, counted once if all their text
 Constant texts are template, and so are the texts of recurring slots outside the content: a byline between a headline and
 the paragraphs stays. Tags and names are the prior where they say something: an article or main element is the content,
 and in it only what stands in an element that says by its role, its id or one of its classes (each taken whole) that it is
-not main text can be template; elements that say by tag that they are menus, headers, footers, sidebars or forms go. Pages
+not main text can be template; containers in it that are named as reader comments or adverts go whole; elements that say
+by tag that they are menus, headers, footers, sidebars or forms go. Pages
 without an article or main element lose elements marked so by name if the rest holds more text. ``tags=False`` leaves all
 of this out, so that alignment alone decides.
 
 So all pages of a host are aligned, however few have a layout. Four passes read the pages; wrappers join them by host
-and layout, and only hashes of texts are shuffled, keyed by the text, so a host with a third of all pages is spread over
-all tasks. No part of a page is too deep or too long to be read; nothing here calls itself.
+and layout, those of layouts with over a thousandth of all pages by broadcast, and only hashes of texts are shuffled, keyed
+by the text, so a host with a third of all pages is spread over all tasks. No part of a page is too deep or too long to be read; nothing here calls itself.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs masthead footer sidebar aside widget cookie cookies consent gdpr notice notices popup modal newsletter subscribe share sharing social related recommended recommendations comment comments disqus reply replies respond search login toolbar pagination pager complementary contentinfo".split())
+READERS = frozenset("ad ads advert adverts advertisement sponsored comment comments disqus replies".split())
+CONTAINERS = frozenset("div section ul ol dl aside table".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html article section div main td th".split())
 
@@ -59,15 +62,16 @@ _ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden)(?:\s*=\s*(?:"([^"]
 
 
 class Node:
-    __slots__ = ("depth", "dropped", "kids", "label", "marked", "parts", "tag")
+    __slots__ = ("alien", "depth", "dropped", "kids", "label", "marked", "parts", "tag")
 
-    def __init__(self, tag: str, label: str, dropped: bool, marked: bool = False):
-        self.tag, self.label, self.dropped, self.marked, self.parts, self.kids, self.depth = tag, label, dropped, marked, [], [], 0
+    def __init__(self, tag: str, label: str, dropped: bool, marked: bool = False, alien: bool = False):
+        self.tag, self.label, self.dropped, self.marked, self.alien, self.parts, self.kids, self.depth = tag, label, dropped, marked, alien, [], [], 0
 
 
-def _described(attrs: str) -> tuple[str, bool, bool]:
-    """The first class, whether the attributes hide the element, and whether they mark what is not main text."""
-    first, hidden, marked = "", False, False
+def _described(attrs: str) -> tuple[str, bool, bool, bool]:
+    """The first class, whether the attributes hide the element, whether they mark what is not main text, and whether that
+    is reader comments or adverts."""
+    first, hidden, marked, alien = "", False, False, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower():
@@ -75,8 +79,10 @@ def _described(attrs: str) -> tuple[str, bool, bool]:
         elif name != "style":
             if name == "class" and value:
                 first = value.split()[0] if value.split() else ""
-            marked = marked or not BOILER.isdisjoint(value.lower().split())
-    return first, hidden, marked
+            names = value.lower().split()
+            marked = marked or not BOILER.isdisjoint(names)
+            alien = alien or not READERS.isdisjoint(names)
+    return first, hidden, marked, alien
 
 
 def parse(html: str) -> Node:
@@ -109,7 +115,7 @@ def parse(html: str) -> Node:
             stack[-1].parts.append(" ")
         attrs = m[3] or m[6] or ""
         block = tag in BLOCKS
-        first, hidden, marked = _described(attrs) if attrs and tag not in ("html", "body", "article", "main") else ("", False, False)
+        first, hidden, marked, alien = _described(attrs) if attrs and tag not in ("html", "body", "article", "main") else ("", False, False, False)
         dropped = hidden or tag in DROPPED or tag == "header" and not in_main
         if tag in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(html, pos)
@@ -127,7 +133,7 @@ def parse(html: str) -> Node:
                     del stack[k:]
                 elif stack[k].tag in SCOPE:
                     break
-        node = Node(tag, f"{tag}.{first}" if first else tag, dropped, marked)
+        node = Node(tag, f"{tag}.{first}" if first else tag, dropped, marked, alien and tag in CONTAINERS)
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if tag not in VOID:
@@ -277,8 +283,9 @@ def _mains(root: Node, marked: bool = False) -> list[Node]:
     return [n for n, _ in found if id(n) not in outer]
 
 
-def _blocks(tops: list[Node], tags: bool, gone) -> list[str]:
-    """The texts of the blocks below ``tops`` in page order, without what ``gone(node, whether in a marked element)`` says."""
+def _blocks(tops: list[Node], tags: bool, gone, aliens: bool = True) -> list[str]:
+    """The texts of the blocks below ``tops`` in page order, without what ``gone(node, whether in a marked element)`` says,
+    and unless ``aliens`` without reader comments and adverts."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -297,7 +304,7 @@ def _blocks(tops: list[Node], tags: bool, gone) -> list[str]:
             if part is None:
                 flush()
                 continue
-            if part.dropped and (tags or part.tag not in BLOCKS):
+            if part.dropped and (tags or part.tag not in BLOCKS) or part.alien and not aliens:
                 if part.tag in BLOCKS:
                     flush()
                 continue
@@ -317,7 +324,7 @@ def main_text(root: Node, slot: dict[int, int], constant: dict[int, int], outsid
     the content."""
     same = lambda n: constant.get(slot[id(n)]) == _key(_own_text(n)) if slot[id(n)] in constant else False
     if tags and (tops := _mains(root) or _mains(root, True)):
-        return "\n\n".join(_blocks(tops, tags, lambda n, inside: inside and same(n)))
+        return "\n\n".join(_blocks(tops, tags, lambda n, inside: inside and same(n), aliens=False))
     template = lambda n: slot[id(n)] in outside or same(n)
     whole = _blocks([root], tags, lambda n, inside: template(n))
     if tags:
@@ -356,8 +363,11 @@ def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
 
     layouts = base.select("html", "host", "layout").mapInArrow(survey, "host long, layout long, blocks long, tree string")
     layouts = layouts.groupBy("host", "layout").agg(F.min(F.struct("blocks", "tree"))["tree"].alias("tree"))
-    different = base.select("host", "layout", F.xxhash64("html").alias("page")).distinct()
-    layouts = materialize(layouts.join(different.groupBy("host", "layout").agg(F.count("*").alias("pages")), ["host", "layout"]), "layouts")
+    different = base.groupBy("host", "layout", F.xxhash64("html").alias("page")).agg(F.count("*").alias("rows"))
+    counts = different.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.sum("rows").alias("rows"))
+    layouts = materialize(layouts.join(counts, ["host", "layout"]), "layouts")
+    total = layouts.agg(F.sum("rows")).first()[0] or 0
+    crowded = layouts.select("host", "layout", (F.col("rows") * 1000 > total).alias("hot"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("pages"), "layout"))
     own = layouts.select("host", "layout", "pages", rank.alias("rank")).where(f"rank = 1 or rank <= {MAX_WRAPPERS} and pages >= {OWN_WRAPPER}")
     own = materialize(layouts.join(own.select("host", "layout"), ["host", "layout"]).select("host", F.col("layout").alias("wrapper"), "tree"), "own")
@@ -371,7 +381,7 @@ def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
     rest = rest.join(own, "host").select("host", "layout", "wrapper", "small", "tree").mapInArrow(compare, "host long, layout long, wrapper long, likeness double")
     nearest = rest.groupBy("host", "layout").agg(F.max(F.struct("likeness", "wrapper"))["wrapper"].alias("wrapper"))
     nearest = nearest.unionByName(own.select("host", F.col("wrapper").alias("layout"), "wrapper"))
-    wrappers = materialize(nearest.join(own, ["host", "wrapper"]), "wrappers")
+    wrappers = materialize(nearest.join(own, ["host", "wrapper"]).join(crowded, ["host", "layout"]), "wrappers")
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int, int, int]] = set()
@@ -386,7 +396,7 @@ def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
                 seen = set()
         yield _counted(seen)
 
-    joined = base.select("host", "layout", "html").join(wrappers, ["host", "layout"]).select("html", "host", "wrapper", "tree")
+    joined = _with_wrappers(base, wrappers, ["wrapper", "tree"]).select("html", "host", "wrapper", "tree")
     texts = joined.mapInArrow(observe, "host long, wrapper long, slot long, text long, page long").distinct()
     texts = materialize(texts, "texts")
     counts = texts.groupBy("host", "wrapper", "slot", "text").agg(F.count("*").alias("n"))
@@ -404,7 +414,7 @@ def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
     outside = outside.groupBy("host", "wrapper").agg(F.sort_array(F.collect_list("slot")).alias("outside"))
     constant = constant.select("host", "wrapper", F.col("known.slot").alias("slots"), F.col("known.text").alias("texts"))
     final = wrappers.join(constant, ["host", "wrapper"], "left").join(outside, ["host", "wrapper"], "left")
-    final = materialize(final.select("host", "layout", "tree", "slots", "texts", "outside"), "wrappers")
+    final = materialize(final.select("host", "layout", "tree", "slots", "texts", "outside", "hot"), "wrappers")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -414,10 +424,21 @@ def extract(pages: DataFrame, tags: bool = True) -> DataFrame:
                 out.append(main_text(root, slot, dict(zip(numbers or (), texts or (), strict=True)), set(outside or ()), tags))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    out = base.join(final, ["host", "layout"]).select("page_id", "url", "html", "tree", "slots", "texts", "outside").mapInArrow(take, "page_id long, url string, text string")
+    out = _with_wrappers(base, final, ["tree", "slots", "texts", "outside"]).select("page_id", "url", "html", "tree", "slots", "texts", "outside").mapInArrow(take, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def _with_wrappers(base: DataFrame, wrappers: DataFrame, columns: list[str]) -> DataFrame:
+    """``base`` with the columns of its wrapper, which every host and layout has; a thousand hot layouts at most are broadcast,
+    and their pages are dealt by page in the join of the others."""
+    named = lambda prefix, x: x.select(F.col("host").alias(f"{prefix}_host"), F.col("layout").alias(f"{prefix}_layout"), *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+    hot, rest = F.broadcast(named("hot", wrappers.where("hot"))), named("own", wrappers.where("not hot"))
+    x = base.join(hot, (F.col("host") == F.col("hot_host")) & (F.col("layout") == F.col("hot_layout")), "left")
+    by = F.when(F.col("hot_host").isNotNull(), F.xxhash64("page_id", "url")).otherwise(F.col("host"))
+    x = x.withColumn("by", by).join(rest, (F.col("by") == F.col("own_host")) & (F.col("layout") == F.col("own_layout")), "left")
+    return x.select(*base.columns, *(F.coalesce(f"hot_{c}", f"own_{c}").alias(c) for c in columns))
+
+
 _wrappers: dict[str, Wrapper] = {}
 
 

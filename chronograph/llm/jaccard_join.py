@@ -30,7 +30,7 @@ from chronograph.llm.components import components
 from chronograph.llm.storage import drop, materialize, settings, unused
 from chronograph.llm.text import hashed_words, mix, shingles
 
-CHUNK = 1_000_000  # shingles whose frequencies are looked up together
+CHUNK = 700_000  # shingles whose frequencies are looked up together
 PER_BUCKET = 700_000  # shingles counted together
 BATCH = "4m"  # bytes of text sent to Python at once, or one longer document
 BLOCK = 128  # postings compared at once

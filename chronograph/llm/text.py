@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
 
 # --- vectorised hashing -------------------------------------------------------------------------------------------
 
-PIECE = 1 << 20  # bytes hashed at once; bounds the working memory, not what is processed
+PIECE = 1 << 18  # bytes hashed at once; bounds the working memory, not what is processed
 _rng = np.random.default_rng(7)
 _PLAIN = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _FOLDED = _PLAIN.copy()

@@ -161,7 +161,13 @@ def test_html_extraction_keeps_marked_elements_that_hold_text(spark):
     pages += [("http://y/", "<main>Real<div class=comments><article>reader</article></div></main>")]
     got = extracted(spark, pages)
     assert all(got[k * 6 + i] == f"Title {i}\n\nNote {i}\n\nSee term {i}" for k in range(4) for i in range(6))
-    assert got[24] == "Words 0" and got[30] == "Real\n\nreader"
+    assert got[24] == "Words 0" and got[30] == "Real"
+
+
+def test_html_extraction_leaves_out_comments_and_adverts_of_an_article(spark):
+    article = "<article><h1>Title {0}</h1><p class=comment>Remark {0}</p><div class='ad wide'>Buy {0}</div><p>Body {0}</p><section id=comments><p>reader {0}</p><article>answer {0}</article></section></article>"
+    got = extracted(spark, [(f"http://h/{i}", f"<html><body>{article.format(i)}</body></html>") for i in range(7)])
+    assert got == {i: f"Title {i}\n\nRemark {i}\n\nBody {i}" for i in range(7)}
 
 
 STOCK = [f"offer {k} of the week" for k in range(6)]
