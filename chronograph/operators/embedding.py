@@ -1,8 +1,9 @@
 """Node embeddings from walks: vocabulary, noise distribution, subsampling, context pairs, and skip-gram training with
-negative sampling (CBOW optional), data-parallel with parameter averaging after every epoch."""
+negative sampling (CBOW and hierarchical softmax optional), data-parallel with parameter averaging after every epoch."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +86,7 @@ class SkipGram:
     sample: float = 1e-3
     seed: int = 1
     cbow: bool = False
+    hierarchical: bool = False  # softmax over a binary tree of the vertices in place of noise
     partitions: int = 16  # copies that are trained and averaged: a parameter of the model, not of the cluster
 
     def fit(self, paths: DataFrame) -> DataFrame:
@@ -109,14 +111,15 @@ class SkipGram:
         st = self.sample * cn.sum()
         keep = np.minimum(1.0, (np.sqrt(cn / st) + 1) * st / cn) if n and self.sample > 0 else np.ones(n)
         part = F.pmod(F.xxhash64("walk", "start"), F.lit(self.partitions)).cast("int").alias("part")
+        tree = _tree(cn) if self.hierarchical else None
         walks = written(paths.select(part, "walk", "start", "path"), "walks")
         tokens = {r["part"]: r["n"] for r in walks.groupBy("part").agg(F.sum(F.size("path")).alias("n")).collect()}  # a row for each part
         model = self
         for epoch in range(self.epochs):
-            shared = spark.sparkContext.broadcast((nodes[lookup], lookup, syn0, syn1, cum, keep))
+            shared = spark.sparkContext.broadcast((nodes[lookup], lookup, syn0, syn1, cum, keep, tree))
 
             def train(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
-                ids, where, syn0, syn1, cum, keep = shared.value
+                ids, where, syn0, syn1, cum, keep, tree = shared.value
                 number, a, b, touched, done = None, None, None, None, 0
 
                 def copy() -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,7 @@ class SkipGram:
                             cut = s[at : at + SENTENCE]
                             cut = cut[rng.random(len(cut)) < keep[cut]]
                             if len(cut) > 1:
-                                model._sentence(cut, a, b, cum, rng, model.rate((epoch + done / max(1, tokens[number])) / model.epochs))
+                                model._sentence(cut, a, b, cum, tree, rng, model.rate((epoch + done / max(1, tokens[number])) / model.epochs))
                                 touched[cut] = True
                         done += len(s)
                 yield from copy()
@@ -156,12 +159,20 @@ class SkipGram:
         """The learning rate after a share of all tokens of all epochs."""
         return np.float32(self.alpha * max(1e-4, 1 - share))
 
-    def _sentence(self, s: np.ndarray, a: np.ndarray, b: np.ndarray, cum: np.ndarray, rng: np.random.Generator, rate: np.float32) -> None:
+    def _sentence(self, s: np.ndarray, a: np.ndarray, b: np.ndarray, cum: np.ndarray, tree: tuple | None, rng: np.random.Generator, rate: np.float32) -> None:
         for i in range(len(s)):
             reach = self.window - int(rng.integers(self.window))
             near = np.concatenate([s[max(0, i - reach) : i], s[i + 1 : i + reach + 1]])
             if not len(near):
                 continue
+            if tree is not None:
+                points, codes = (t[tree[2][s[i]] : tree[2][s[i] + 1]] for t in tree[:2])
+                x = a[near].mean(axis=0, keepdims=True) if self.cbow else a[near]
+                g = (1 - codes - 1 / (1 + np.exp(-np.clip(x @ b[points].T, -6, 6)))).astype(np.float32) * rate
+                step = g @ b[points]
+                b[points] += g.T @ x  # a path has no point twice
+                np.add.at(a, near, np.repeat(step / len(near), len(near), axis=0) if self.cbow else step)
+                continue
             noise = np.searchsorted(cum, rng.random((1 if self.cbow else len(near), self.negative)), "right").clip(0, len(cum) - 1)
             target = np.concatenate([np.full((len(noise), 1), s[i]), noise], axis=1)
             label = np.zeros(target.shape, np.float32)
@@ -198,25 +209,43 @@ def k_means(vectors: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     return x.select("node", "cluster")
 
 
-def huffman_codes(vocab: DataFrame) -> DataFrame:
-    """(token, code): the binary tree of hierarchical softmax, made on the driver for a vocabulary of bounded size."""
-    import heapq
-
-    rows = vocab.orderBy("vocab_idx").select("token", "cn").limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError("the vocabulary exceeds its bound")
-    heap = [(r["cn"], -i, i) for i, r in enumerate(rows)]
+def _parents(counts: list[float]) -> tuple[list[int], list[int]]:
+    """The parent (-1 for the root) and the side of each node of the binary tree of least weighted depth; leaves first."""
+    heap = [(c, -i, i) for i, c in enumerate(counts)]
     heapq.heapify(heap)
-    parent, side, fresh = {}, {}, len(rows)
+    parent, side, fresh = [-1] * max(0, 2 * len(counts) - 1), [0] * max(0, 2 * len(counts) - 1), len(counts)
     while len(heap) > 1:
         (c0, _, x), (c1, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-        parent[x], parent[y], side[x], side[y] = fresh, fresh, "0", "1"
+        parent[x], parent[y], side[y] = fresh, fresh, 1
         heapq.heappush(heap, (c0 + c1, fresh, fresh))
         fresh += 1
+    return parent, side
+
+
+def _tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inner nodes (numbered from 0) and sides on each leaf's path, and where each leaf's begin."""
+    (parent, side), n = _parents(counts.tolist()), len(counts)
+    points, codes, begin = [], [], [0]
+    for i in range(n):
+        at = i
+        while parent[at] >= 0:
+            points.append(parent[at] - n)
+            codes.append(side[at])
+            at = parent[at]
+        begin.append(len(points))
+    return np.array(points, np.int64), np.array(codes, np.float32), np.array(begin)
+
+
+def huffman_codes(vocab: DataFrame) -> DataFrame:
+    """(token, code): the binary tree of hierarchical softmax, made on the driver for a vocabulary of bounded size."""
+    rows = vocab.orderBy("vocab_idx").select("token", "cn").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError("the vocabulary exceeds its bound")
+    parent, side = _parents([r["cn"] for r in rows])
     out = []
     for i, r in enumerate(rows):
         code, at = "", i
-        while at in parent:
-            code, at = side[at] + code, parent[at]
+        while parent[at] >= 0:
+            code, at = str(side[at]) + code, parent[at]
         out.append((r["token"], code))
     return vocab.sparkSession.createDataFrame(out, "token string, code string")

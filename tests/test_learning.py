@@ -66,11 +66,12 @@ def test_embeddings_do_not_depend_on_the_cluster(spark, events, cbow):
     assert any(abs(x) > 0 for v in first.values() for x in v)
 
 
-def test_neighbours_get_like_vectors(spark):
+@pytest.mark.parametrize("hierarchical", [False, True])
+def test_neighbours_get_like_vectors(spark, hierarchical):
     """Two groups of vertices that never meet in a walk end apart."""
     walks = [(k, 10 * g + s, [10 * g + (s + j * (k + 1)) % 5 for j in range(8)]) for g in (0, 1) for s in range(5) for k in range(40)]
     paths = spark.createDataFrame(walks, "walk int, start long, path array<long>")
-    v = {r["node"]: np.array(r["emb"]) for r in embedding.SkipGram(dim=8, window=4, epochs=12, alpha=0.1, sample=0, partitions=1).fit(paths).collect()}
+    v = {r["node"]: np.array(r["emb"]) for r in embedding.SkipGram(dim=8, window=4, epochs=12, alpha=0.1, sample=0, partitions=1, hierarchical=hierarchical).fit(paths).collect()}
     cos = lambda a, b: v[a] @ v[b] / np.sqrt((v[a] @ v[a]) * (v[b] @ v[b]))
     inside = np.mean([cos(a, b) for g in (0, 10) for a in range(g, g + 5) for b in range(g, g + 5) if a < b])
     across = np.mean([cos(a, b) for a in range(5) for b in range(10, 15)])
