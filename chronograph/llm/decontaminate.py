@@ -50,7 +50,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
-PIECE = 1 << 20
+PIECE = 1 << 18
 MOST = 1 << 21  # matches expanded at once
 _C_VALUE = np.random.default_rng(12).integers(1, 2**63, WINDOW + 1, dtype=np.uint64) | np.uint64(1)
 MARKS = "\u3000、。〃「」『』【】〈〉《》〔〕！，．：；？（）"  # parted from the characters around them

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronograph.llm.order import running
 from chronograph.llm.storage import materialize, unused
 from chronograph.llm.text import word_count
 
@@ -31,16 +32,24 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     and share the total size; a target stops at ``max_epochs`` times its source's size and the excess is reshared by
     weight until none is above. That fixed point is a water level: sources whose cap per weight is lowest are capped
     first, and each other source gets its weight times the level that is left."""
-    everything = W.partitionBy()
-    x = sizes.withColumn("w", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
+    x = running(sizes, F.col("source").asc_nulls_last(), F.lit(1), "place")
+    x = x.withColumn("w", F.col("place") % 3 + 1)
     x = x.withColumn("cap", F.col("source_size") * max_epochs).withColumn("ratio", F.col("cap") / F.col("w"))
-    below = W.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0))
-    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(below), F.lit(0))
-    x = x.withColumn("capped", F.col("ratio") <= left / weight)
-    free = lambda c: F.sum(F.when(~F.col("capped"), F.col(c))).over(everything)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0))) / free("w")
-    return x.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * level)).select("source", "source_size", "n", "target")
+    x = x.withColumn("band", F.when(F.col("ratio") > 0, F.floor(16 * F.log2("ratio"))).otherwise(-(10**6)))
+    x = materialize(x, "mixing-sources")
+    sums = x.groupBy(F.col("band").alias("of")).agg(F.sum("cap").alias("caps"), F.sum("w").alias("weights"))  # some 1000 rows at most
+    before = W.orderBy("of").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("of", F.coalesce(F.sum("caps").over(before), F.lit(0)).alias("caps"), F.coalesce(F.sum("weights").over(before), F.lit(0)).alias("weights"))
+    whole = F.broadcast(x.agg(F.sum("source_size").alias("words"), F.sum("w").alias("all_weights")))  # one row
+    below = W.partitionBy("band").orderBy("ratio", "place").rowsBetween(W.unboundedPreceding, -1)
+    under = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0))
+    x = x.withColumn("caps_in", under("cap")).withColumn("weights_in", under("w")).join(F.broadcast(sums), F.col("band") == F.col("of")).join(whole)
+    left, weight = F.col("words") - F.col("caps") - F.col("caps_in"), F.col("all_weights") - F.col("weights") - F.col("weights_in")
+    x = materialize(x.withColumn("capped", F.col("ratio") <= left / weight), "mixing-capped")
+    free = F.sum(F.when(~F.col("capped"), F.col("w")))
+    level = x.agg(((F.sum("source_size") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0))) / free).alias("level"))
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * F.col("level"))
+    return x.join(F.broadcast(level)).select("source", "source_size", "n", target.alias("target"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chronograph.llm.order import running
 from chronograph.llm.storage import materialize
 
 
@@ -59,8 +60,9 @@ def _curve(spark: SparkSession, bits: int) -> DataFrame:
 def _codes(lean: DataFrame, name: str, bits: int) -> DataFrame:
     """A coordinate for each distinct value: the share of rows with smaller values, nulls first."""
     n = lean.groupBy(F.col(name).alias(f"{name}_v")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(W.orderBy(F.col(f"{name}_v").asc_nulls_first())) - F.col("n")
-    return n.select(f"{name}_v", F.floor(before * (1 << bits) / F.sum("n").over(W.partitionBy())).cast("int").alias(f"c_{name}"))
+    n = running(n, F.col(f"{name}_v").asc_nulls_first(), F.col("n"), "before")
+    whole = F.broadcast(n.agg(F.sum("n").alias("whole")))  # one row
+    return n.join(whole).select(f"{name}_v", F.floor(F.col("before") * (1 << bits) / F.col("whole")).cast("int").alias(f"c_{name}"))
 
 
 def _size(text: Column) -> Column:

@@ -121,12 +121,16 @@ def ensure_local_parent(uri: str) -> None:
         Path(path).mkdir(parents=True, exist_ok=True)
 
 
+BATCH, UNBOUNDED = "spark.sql.execution.arrow.maxBytesPerBatch", "256MB"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, where the driver runs it from a source folder."""
+    """Give the executors this package, once per application, where the driver runs it from a source folder, and bound the
+    bytes that travel to Python at once (4 MB or one longer row), unless the session has a bound of its own."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH, UNBOUNDED) in (UNBOUNDED, str(256 << 20)):
+        spark.conf.set(BATCH, "4m")
     if app in _shipped:
         return
     _shipped.add(app)
