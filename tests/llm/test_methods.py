@@ -16,6 +16,7 @@ from test_operators import DOCS, SF, WORD, fixture_rows
 
 from chronograph.llm import classifier, components, decontaminate, mixing, quality_rules, sharding, suffix_dedup, url_filters, warc
 from chronograph.llm import queries as q
+from chronograph.llm.order import running
 from chronograph.llm.storage import new_path, ship_package, unused
 
 EN = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they".split()
@@ -446,3 +447,34 @@ def test_unused_names():
 def test_words_are_those_of_the_pattern(spark):
     text = "a\tb\x0bc\x0cd\re\n f g  "
     assert WORD.findall(text) == ["a", "b", "c", "d", "e", "f g"]
+
+
+def test_running_sums_in_a_global_order(spark):
+    rng = random.Random(1)
+    rows = [(f"host{rng.randrange(10**6)}-{i}", rng.randrange(50)) for i in range(3000)] + [(None, 7), ("", 3)]
+    got = {r["name"]: r["before"] for r in running(spark.createDataFrame(rows, "name string, n long"), F.col("name").asc_nulls_last(), F.col("n"), "before").collect()}
+    before = 0
+    for name, n in sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode())):
+        assert got[name] == before
+        before += n
+    assert running(spark.createDataFrame([], "name string, n long"), F.col("name").asc(), F.col("n"), "before").count() == 0
+
+
+def test_many_sources_meet_their_targets(spark):
+    """The water level over very many sources, against plain resharing until no target is above its cap."""
+    rng = random.Random(2)
+    sizes = {f"s{i:04d}": rng.choice((1, 5, 40, 700)) for i in range(400)} | {"big": 30_000}
+    rows = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, source_size long, n long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(rows).collect()}
+    weight = {s: i % 3 + 1 for i, s in enumerate(sorted(sizes))}
+    capped: set[str] = set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+        level = left / sum(w for s, w in weight.items() if s not in capped)
+        more = {s for s, w in weight.items() if s not in capped and w * level > 3 * sizes[s]}
+        if not more:
+            break
+        capped |= more
+    assert len(capped) > 100
+    for s in sizes:
+        assert got[s] == pytest.approx(3 * sizes[s] if s in capped else weight[s] * level)
