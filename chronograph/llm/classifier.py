@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "y", "f"])
 
     sets = chosen.select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f binary")
-    sets = materialize(sets.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("f").alias("f")), "features")
+    sets = materialize(sets.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("f").alias("f")).coalesce(16), "features")  # 2 * max_train rows at most
     sizes = sets.select("doc_id", "y", F.octet_length("f").alias("bytes"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
     room, used = {0: max_bytes // 2, 1: max_bytes // 2}, []
     for r in sizes:  # in order of the id's hash, as the rows were chosen
