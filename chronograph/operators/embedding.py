@@ -202,7 +202,9 @@ def k_means(vectors: DataFrame, k: int, rounds: int = 10) -> DataFrame:
 
         def join(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                e = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                if not batch.num_rows:
+                    continue
+                e = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((e @ shared.value.T).argmax(axis=1).astype(np.int32))], ["node", "emb", "cluster"])
 
         x = vectors.select("node", "emb").mapInArrow(join, T.StructType([*vectors.select("node", "emb").schema.fields, T.StructField("cluster", T.IntegerType())]))

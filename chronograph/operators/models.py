@@ -138,8 +138,10 @@ def predictions(df: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            p = shared.value.predict(x) if batch.num_rows else np.zeros(0)
+            if not batch.num_rows:
+                continue
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            p = shared.value.predict(x)
             chosen = (p > 0.5).astype(np.int32) if p.ndim == 1 else p.argmax(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p if p.ndim == 1 else p.max(axis=1)), pa.array(chosen)], names)
 
