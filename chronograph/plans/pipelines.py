@@ -73,8 +73,9 @@ def link_prediction(edges: DataFrame, p: Params, train_only: bool = False, timin
     filled = filled.select("split", "eid", F.col("label").cast("double").alias("label"), "features").persist()
     with timings.stage("training"):
         net = models.Network([2 * p.node_embedding_dim, p.hidden_dim, 1], "link", seed=p.seed)
-        x, y = models.matrices(filled.where("split = 'train'"))
-        net.fit(x, y, p.num_epochs, p.learning_rate, p.batch_size, valid=models.matrices(filled.where("split = 'valid'")), target=p.target)
+        rows, valid = models.dealt(filled.where("split = 'train'"), ["eid", "label"], p.seed), filled.where("split = 'valid'")
+        check = lambda: metrics.accuracy(models.predictions(valid, net), "label").first()[0]
+        net.fit_dealt(rows, p.num_epochs, p.learning_rate, p.batch_size, check=check, target=p.target)
     with timings.stage("testing"):
         return models.predictions(filled.where("split = 'test'"), net).select("eid", F.col("label").cast("int").alias("y"), "p", "predicted")
 

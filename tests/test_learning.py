@@ -128,6 +128,49 @@ def test_networks_learn_and_their_gradients_are_right():
     assert net.score(x, y) >= 0.95 and len(log) < 400 and log[-1]["valid_accuracy"] >= 0.95
 
 
+def test_training_in_pieces_takes_every_row_once_an_epoch(spark, monkeypatch):
+    monkeypatch.setattr(models, "PIECE", 300)
+    x = spark.range(1000).select(F.col("id").alias("eid"), (F.col("id") % 2).cast("double").alias("label"), F.array(F.col("id").cast("float"), (F.col("id") * 2).cast("float")).alias("features"))
+    runs = []
+    for df in (x, x.repartition(5)):
+        spool = models.Rows()
+        for r in models.dealt(df, ["eid", "label"], 3).orderBy("piece", "hash", "key0").collect():
+            spool.add(np.array([r["piece"]]), np.array([[*r["features"], r["label"]]], np.float32))
+        rng = np.random.default_rng(1)
+        runs.append([[(f.tolist(), y.tolist()) for f, y in spool.batches(rng, 64)] for _ in range(2)])
+        assert max(len(spool.piece(k)) for k in range(10)) < 200
+    assert runs[0] == runs[1] and runs[0][0] != runs[0][1]
+    for epoch in runs[0]:
+        assert [len(y) for _, y in epoch] == [64] * 15 + [40]
+        assert sorted((*r, y) for f, ys in epoch for r, y in zip(f, ys)) == [(i, 2 * i, i % 2) for i in range(1000)]
+
+
+def test_link_training_holds_no_whole_set(spark, monkeypatch):
+    """Ten numbers may be held whole, and a piece has about a thousand."""
+    whole = queries.QUERIES["link_prediction_accuracy"](spark, SF).first()[0]
+    monkeypatch.setattr(models, "MAX_TRAIN", 10)
+    monkeypatch.setattr(models, "PIECE", 1000)
+    assert queries.QUERIES["link_prediction_accuracy"](spark, SF).first()[0] == pytest.approx(whole, abs=0.1)
+
+
+def test_networks_in_pieces_learn(spark, monkeypatch):
+    monkeypatch.setattr(models, "PIECE", 400)
+    rng = np.random.default_rng(1)
+    f = rng.normal(size=(400, 2))
+    y = (f[:, 0] * f[:, 1] > 0).astype(float)
+    df = spark.createDataFrame([(i, float(b), [float(v) for v in a]) for i, (a, b) in enumerate(zip(f, y))], "eid long, label double, features array<float>")
+    nets = []
+    for x in (df, df.repartition(7)):
+        net = models.Network([2, 16, 1], "link", seed=3)
+        log = net.fit_dealt(models.dealt(x, ["eid"], 1), 400, 0.5, 32, check=lambda net=net: metrics.accuracy(models.predictions(df, net), "label").first()[0], target=0.95, check_every=100)
+        assert net.score(f, y) >= 0.95 and len(log) < 400 and log[-1]["valid_accuracy"] >= 0.95
+        nets.append(net)
+    assert all((a == b).all() for a, b in zip(nets[0].weights, nets[1].weights))
+    before = [w.copy() for w in net.weights]
+    assert [r["loss"] for r in net.fit_dealt(models.dealt(df.limit(0), ["eid"], 1), 3, 0.5, 32)] == [0.0] * 3
+    assert all((a == b).all() for a, b in zip(before, net.weights))
+
+
 def test_features_without_a_vector_are_an_error(spark):
     v = spark.createDataFrame([(0, [1.0])], "node long, emb array<float>")
     with pytest.raises(Exception, match="no embedding"):
