@@ -236,7 +236,7 @@ def walk_steps_joined(spark, d):
 
 @query(f"WITH {_walk_sql(STEPS)} SELECT walk, start, step, node, ts FROM steps")
 def walk_steps_broadcast(spark, d):
-    return walk.broadcast(event_graph(spark, d), WALKS, STEPS, SEED)
+    return walk.broadcast_in_pieces(event_graph(spark, d), WALKS, STEPS, SEED)
 
 
 @query(f"WITH {_walk_sql(STEPS)} SELECT walk, start, array_to_string(list(CAST(node AS VARCHAR) ORDER BY step), ' ') AS path FROM steps GROUP BY walk, start")

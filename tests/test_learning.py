@@ -51,6 +51,17 @@ def test_edges_beyond_the_bound_are_refused(events, monkeypatch):
         walk.broadcast(events, 1, 1, 1)
 
 
+def test_graphs_beyond_the_bound_are_broadcast_in_pieces(spark, events, monkeypatch):
+    """Also where a vertex lies in many pieces, and where times repeat at a cut."""
+    whole = rows(queries.QUERIES["walk_steps_broadcast"](spark, SF))
+    hubs = spark.range(700).select(F.col("id").alias("eid"), (F.col("id") % 7 == 6).cast("long").alias("src"), (F.col("id") % 5).alias("dst"), (F.col("id") % 97 / 97).alias("ts"))
+    known = rows(walk.broadcast(hubs, 40, 4, 3))
+    monkeypatch.setattr(walk, "BROADCAST_EDGES", 150)
+    assert rows(queries.QUERIES["walk_steps_broadcast"](spark, SF)) == whole
+    assert rows(walk.broadcast_in_pieces(hubs, 40, 4, 3)) == known
+    assert walk.broadcast_in_pieces(hubs.limit(0), 3, 2, 1).count() == 0
+
+
 @pytest.mark.parametrize("cbow", [False, True])
 def test_embeddings_do_not_depend_on_the_cluster(spark, events, cbow):
     paths = walk.paths(walk.broadcast(events, 4, 6, 3))
