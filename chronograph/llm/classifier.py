@@ -4,12 +4,13 @@ Features are indicators of hashed words (case kept) and of hashed byte trigrams.
 smoothed class counts, rows are scaled to unit length, and a linear hinge-loss model is fitted by dual coordinate
 descent. A logistic curve on a part of the sample that the fit does not see turns margins into probabilities.
 
-The fit uses a bounded sample of labelled documents (``max_train`` per class, smallest id hashes first), so the driver
-holds a bounded matrix; scoring reads every text whole, in vectorised batches, and needs no shuffle.
+The fit uses a bounded sample of labelled documents (``max_train`` per class, smallest id hashes first), so one task holds
+a bounded matrix, of which the driver gets the model only; scoring reads every text whole, in vectorised batches, and needs no shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,12 +103,13 @@ def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, seed: int = 1, c: f
     share = counts / counts.sum(axis=1, keepdims=True)
     ratio = np.log(share[1] / share[0]).astype(np.float32)
     w, bias = np.zeros(DIM), 0.0
-    vectors = {i: (v := ratio[sets[i]].astype(np.float64)) / max(1e-12, np.sqrt(v @ v)) for i in used}
+    length = {i: max(1e-12, np.sqrt((v := ratio[sets[i]].astype(np.float64)) @ v)) for i in used}
     alpha, sign = np.zeros(n), np.where(y == 1, 1.0, -1.0)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(used):
-            x, at = vectors[i], sets[i]
+            at = sets[i]
+            x = ratio[at].astype(np.float64) / length[i]
             g = sign[i] * (w[at] @ x + bias) - 1
             new = min(max(alpha[i] - g / 2, 0.0), c)  # rows have length 1, and the constant adds 1
             if (d := new - alpha[i]) != 0:
@@ -170,10 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_by
         if room[r["y"]] >= 0:
             used.append((r["doc_id"],))
     kept = docs.sparkSession.createDataFrame(used, "doc_id long")
-    rows = sets.join(F.broadcast(kept), "doc_id").collect()  # max_bytes at most
+    prior = 0.5 if share is None else float(share)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
+        rows.sort(key=lambda r: r[0])
+        model = fit([np.frombuffer(f.as_buffer(), np.int32) for _, _, f in rows], np.array([y for _, y, _ in rows], np.int64), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    chosen = sets.join(F.broadcast(kept), "doc_id").select("doc_id", "y", "f").coalesce(1)  # max_bytes at most
+    models = chosen.mapInArrow(learn, "model binary").collect()
     drop(sets)
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["y"] for r in rows], np.int64), 0.5 if share is None else float(share))
+    return pickle.loads(models[0]["model"]) if models else fit([], np.zeros(0, np.int64), prior)
 
 
 def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:

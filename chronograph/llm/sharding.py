@@ -12,13 +12,16 @@ and only rows of one bucket meet in one task, so a cell with a third of all rows
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chronograph.llm.order import running
-from chronograph.llm.storage import materialize
+from chronograph.llm.storage import drop, materialize, ship_package
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -49,20 +52,24 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _curve(spark: SparkSession, bits: int) -> DataFrame:
-    """Cell to curve index: 2**(3*bits) rows whatever the input's size."""
-    side = np.arange(1 << (3 * bits))
-    cells = np.stack([side >> (2 * bits), (side >> bits) & ((1 << bits) - 1), side & ((1 << bits) - 1)], axis=1)
-    index = hilbert_index(cells, bits)
-    return spark.createDataFrame(list(zip(side.tolist(), index.tolist(), strict=True)), "cell int, h int")
+def _on_curve(cells: DataFrame, bits: int) -> DataFrame:
+    """``cells`` (cell, n) with h, the index of each on the curve."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(0).to_numpy()
+            sides = np.stack([cell >> (2 * bits), (cell >> bits) & ((1 << bits) - 1), cell & ((1 << bits) - 1)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert_index(sides, bits), pa.int32())], ["cell", "n", "h"])
+
+    return cells.mapInArrow(index, "cell int, n long, h int")
 
 
-def _codes(lean: DataFrame, name: str, bits: int) -> DataFrame:
-    """A coordinate for each distinct value: the share of rows with smaller values, nulls first."""
+def _codes(lean: DataFrame, name: str, bits: int, whole: int) -> DataFrame:
+    """A coordinate for each distinct value: the share of the ``whole`` rows with smaller values, nulls first."""
     n = lean.groupBy(F.col(name).alias(f"{name}_v")).agg(F.count("*").alias("n"))
     n = running(n, F.col(f"{name}_v").asc_nulls_first(), F.col("n"), "before")
-    whole = F.broadcast(n.agg(F.sum("n").alias("whole")))  # one row
-    return n.join(whole).select(f"{name}_v", F.floor(F.col("before") * (1 << bits) / F.col("whole")).cast("int").alias(f"c_{name}"))
+    code = F.floor(F.col("before") * (1 << bits) / F.lit(whole)).cast("int")
+    return materialize(n.select(f"{name}_v", code.alias(f"c_{name}")), "sharding-codes")
 
 
 def _size(text: Column) -> Column:
@@ -80,7 +87,7 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = 5, carry: tuple[str, .
     checksum of no bytes, null doc_ids sort first, repeated rows take adjacent slots, and an empty table gives no rows.
     Carried columns come back as they are; one that has the name of a column of the result is called ``in_`` and that name.
     """
-    spark = docs.sparkSession
+    ship_package(docs.sparkSession)
     extra = {c: f"in_{c}" if c.lower() in RESULT else c for c in carry if c != "doc_id"}
     names = list(dict.fromkeys(["doc_id", "text", "lang", "source", *extra]))
     hidden = dict(zip(names, (f"_in{i}" for i in range(len(names))), strict=True))  # own names inside
@@ -89,29 +96,31 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = 5, carry: tuple[str, .
     base = base.select("*", F.col("_in0").alias("doc_id"), F.col(hidden["lang"]).alias("lang"), F.col(hidden["source"]).alias("source"), _size(text).alias("_size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("_crc"))
     base = base.select("doc_id", "lang", "source", "_size", "_crc", *(hidden[c] for c in extra))
     lean = materialize(base.select("doc_id", "lang", "source", "_size", "_crc"), "sharding")
-    langs, sources = _codes(lean, "lang", bits), _codes(lean, "source", bits)
-    curve = F.broadcast(_curve(spark, bits))  # a fixed number of rows
+    whole = lean.count()
+    langs, sources = _codes(lean, "lang", bits, whole), _codes(lean, "source", bits, whole)
 
     def placed(rows: DataFrame) -> DataFrame:
         top = (1 << bits) - 1
         x = rows.join(langs, F.col("lang").eqNullSafe(F.col("lang_v"))).join(sources, F.col("source").eqNullSafe(F.col("source_v")))
         c_size = F.least(F.lit(top), F.floor(F.log2(F.col("_size").cast("double")))).cast("int")
         x = x.withColumn("cell", F.col("c_lang") * (1 << (2 * bits)) + F.col("c_source") * (1 << bits) + c_size)
-        return x.join(curve, "cell").drop("cell", "lang_v", "source_v", "c_lang", "c_source")
+        return x.drop("lang_v", "source_v", "c_lang", "c_source")
 
-    keyed = placed(lean)
-    cells = keyed.groupBy("h").agg(F.count("*").alias("n"))
+    # each step is written, so that the driver never holds the broadcasts of several in one plan
+    keyed = materialize(placed(lean).select("doc_id", "_size", "_crc", "cell"), "sharding-keyed")
+    drop(lean)
+    cells = _on_curve(keyed.groupBy("cell").agg(F.count("*").alias("n")), bits)
     cells = cells.select(
-        "h", F.ceil(F.sqrt("n")).alias("_buckets"),
-        (F.sum("n").over(W.orderBy("h")) - F.col("n")).alias("_before"), F.sum("n").over(W.partitionBy()).alias("_total"),
+        "cell", "h", F.ceil(F.sqrt("n")).alias("_buckets"),
+        (F.sum("n").over(W.orderBy("h")) - F.col("n")).alias("_before"), F.lit(whole).cast("long").alias("_total"),
     )
     cells = F.broadcast(materialize(cells, "sharding-cells"))  # a row for each cell of the curve at most
     bucket = F.pmod(F.xxhash64("doc_id", "_crc", "_size"), F.col("_buckets")).alias("_bucket")
-    counts = keyed.join(cells, "h").select("h", bucket, "_before").groupBy("h", "_bucket", "_before").agg(F.count("*").alias("n"))
-    offsets = counts.select("h", "_bucket", (F.col("_before") + F.sum("n").over(W.partitionBy("h").orderBy("_bucket")) - F.col("n")).alias("_offset"))
-    rows = (placed(base) if carry else keyed).join(cells, "h").select("*", bucket)
-    rows = rows.join(offsets, ["h", "_bucket"])
-    order = W.partitionBy("h", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "_crc", "_size")
+    counts = keyed.join(cells, "cell").select("cell", bucket, "_before").groupBy("cell", "_bucket", "_before").agg(F.count("*").alias("n"))
+    offsets = counts.select("cell", "_bucket", (F.col("_before") + F.sum("n").over(W.partitionBy("cell").orderBy("_bucket")) - F.col("n")).alias("_offset"))
+    rows = (placed(base) if carry else keyed).join(cells, "cell").select("*", bucket)
+    rows = rows.join(offsets, ["cell", "_bucket"])
+    order = W.partitionBy("cell", "_bucket").orderBy(F.col("doc_id").asc_nulls_first(), "_crc", "_size")
     rows = rows.withColumn("_rank", F.col("_offset") + F.row_number().over(order) - 1)
     rows = rows.withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)"))
     slot = F.col("_rank") - F.expr(f"(shard * _total + {shards - 1}) div {shards}")

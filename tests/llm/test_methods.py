@@ -201,6 +201,25 @@ def test_features_of_a_fit_are_bounded(spark):
     assert 0 <= float(model.probabilities(np.zeros(1))[0]) <= 1
 
 
+def test_features_of_a_fit_stay_on_executors(spark, monkeypatch):
+    """The driver collects ids, sizes and the model, which is that of a fit on the same features in order of id."""
+    ship_package(spark)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0 if i % 3 else 30, 60, 40)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    marks = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(self.columns) or collect(self))
+    model = classifier.train(docs, marks)
+    assert collected and not any({"f", "text"} & set(c) for c in collected)
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5]
+    ((_, _, r, f),) = classifier.features(pa.array([texts[i] for i in ids]))
+    y = np.array([i % 3 > 0 for i in ids], np.int64)
+    want = classifier.fit([f[r == k].astype(np.int32) for k in range(len(ids))], y, y.mean())
+    assert 0 < y.mean() < 1 and np.array_equal(model.ratio, want.ratio) and np.allclose(model.weights, want.weights)
+    assert np.allclose([model.bias, model.slope, model.shift], [want.bias, want.slope, want.shift])
+
+
 # --- Hilbert order ------------------------------------------------------------------------------------------------
 
 
@@ -256,6 +275,14 @@ def test_slots_follow_the_curve(spark):
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
 
 
+@pytest.mark.parametrize("carry", [(), ("text",)])
+def test_rows_meet_few_tables(spark, carry):
+    """What is known of names and cells is written before, so few broadcasts are in the driver at once."""
+    out = sharding.assign(q.table(spark, SF, "documents"), carry=carry)
+    assert out.count() == q.table(spark, SF, "documents").count()
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 5
+
+
 def test_written_shards_hold_every_row(spark):
     docs = spark.createDataFrame(fixture_rows(), DOCS)
     path = new_path(spark, "shards")
